@@ -202,8 +202,12 @@ def class_rows(df: DataFrame, probs: str, label: str, by=(), weight=None) -> Dat
             .withColumn("hit", (F.col("class") == F.col("_y")).cast("int")).drop("_y"))
 
 
-def ovr_auc(df, probs, label, by=(), weight=None, edges=None) -> DataFrame:
-    """One-vs-rest AUC: per class, and ``micro``, ``macro``, ``weighted`` rows in column ``scope``."""
+def ovr_auc(df, probs, label, by=(), weight=None, edges=None, one_class: float | None = 0.0) -> DataFrame:
+    """One-vs-rest AUC: per class, and ``micro``, ``macro``, ``weighted`` rows in column ``scope``.
+
+    ``one_class`` is the value of a class that has no positives or no negatives; with ``None`` such a class,
+    and then macro and weighted too, are null.
+    """
     rows = class_rows(df, probs, label, by, weight)
     if edges is None:
         edges = range_edges(rows, "score")
@@ -211,9 +215,11 @@ def ovr_auc(df, probs, label, by=(), weight=None, edges=None) -> DataFrame:
     per = curve_metrics(_curve_of(counts, [*by, "class"], edges), [*by, "class"])
     pooled = counts.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     micro = curve_metrics(_curve_of(pooled, list(by), edges), by)
-    auc = F.coalesce("roc_auc", F.lit(0.0))
-    means = per.groupBy(*by).agg(F.avg(auc).alias("macro"),
-                                 (F.sum(auc * F.col("n_pos")) / F.sum("n_pos")).alias("weighted"))
+    auc = F.coalesce("roc_auc", F.lit(one_class).cast("double"))
+    whole = F.count(auc) == F.count(F.lit(1))
+    means = per.groupBy(*by).agg(
+        F.when(whole, F.avg(auc)).alias("macro"),
+        F.when(whole, F.sum(auc * F.col("n_pos")) / F.sum("n_pos")).alias("weighted"))
     wide = means.select(*by, F.explode(F.create_map(
         F.lit("macro"), F.col("macro"), F.lit("weighted"), F.col("weighted"))).alias("scope", "auc"))
     return (per.select(*by, F.concat(F.lit("class_"), F.col("class").cast("string")).alias("scope"), auc.alias("auc"))

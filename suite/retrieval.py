@@ -1 +1,325 @@
+"""Vectors, graph, cohorts, walks."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortflow.operators import cohorts, entropy, retrieval, splits, vectors
+from cohortflow.operators.scoring import score_batches
+from cohortflow.plans.retrieve import RetrievalSettings, retrieve
+
+from .base import SEED, query, r6, sql_hash, table
+
+UNIT = """
+raw AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+un AS (SELECT vec_id, label, v, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u FROM raw)"""
+KNN = f"""{UNIT},
+pr AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.u, b.u), 12) AS weight FROM un a JOIN un b ON a.vec_id <> b.vec_id),
+knn AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM pr) WHERE rn <= 4),
+und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, avg(weight) AS weight FROM knn GROUP BY 1, 2)"""
+
+
+def _emb(spark, sf):
+    return table(spark, sf, "embeddings")
+
+
+@query("l2_normalize", f"WITH {UNIT} SELECT vec_id, round(u[1], 6) AS u1, round(u[64], 6) AS u64, round(list_dot_product(u, u), 6) AS len FROM un")
+def l2_normalize(spark, sf):
+    u = _emb(spark, sf).select("vec_id", vectors.l2_normalize(F.col("embedding")).alias("u"))
+    length = vectors.norm(F.col("u"))
+    return u.select("vec_id", r6(F.col("u")[0], "u1"), r6(F.col("u")[63], "u64"), r6(length * length, "len"))
+
+
+def _knn(spark, sf, **blocks):
+    return vectors.knn_graph(_emb(spark, sf), "vec_id", "embedding", 4, **blocks)
+
+
+@query("knn_graph", f"WITH {KNN} SELECT src, dst, round(weight, 6) AS weight FROM knn")
+def knn_graph(spark, sf):
+    return _knn(spark, sf).select("src", "dst", r6("weight"))
+
+
+@query("knn_graph_blocks", f"WITH {KNN} SELECT src, dst, round(weight, 6) AS weight FROM knn")
+def knn_graph_blocks(spark, sf):
+    return _knn(spark, sf, block_rows=200).select("src", "dst", r6("weight"))
+
+
+CENT = f"""{UNIT},
+ce AS (SELECT label AS cohort, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM
+        (SELECT label, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM raw) GROUP BY 1, 2) GROUP BY 1),
+cs AS (SELECT vec_id AS query_id, cohort, round(list_dot_product(u, c) / (sqrt(list_dot_product(c, c)) + 1e-12), 12) AS weight FROM un CROSS JOIN ce),
+tc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, cohort) AS rank FROM cs) WHERE rank <= 3)"""
+
+
+@query("cosine_pairs", f"WITH {CENT} SELECT query_id AS src, cohort AS dst, round(weight, 6) AS weight FROM cs")
+def cosine_pairs(spark, sf):
+    e = _emb(spark, sf)
+    rows = vectors.cosine_rows(e, vectors.centroids(e, "label", "embedding"), "vec_id", "embedding", "cohort", "centroid")
+    flat = rows.select("src", F.explode(F.arrays_zip("dst", "sims")).alias("p"))
+    return flat.select("src", F.col("p.dst").alias("dst"), r6(F.col("p.sims"), "weight"))
+
+
+@query("undirect", f"WITH {KNN} SELECT a, b, round(weight, 6) AS weight FROM und")
+def undirect(spark, sf):
+    return cohorts.undirect(_knn(spark, sf)).select("a", "b", r6("weight"))
+
+
+@query("rescale_weights", f"""WITH {KNN}
+SELECT a, b, round(1 + 2 * (weight - (SELECT min(weight) FROM und)) / ((SELECT max(weight) FROM und) - (SELECT min(weight) FROM und)), 6) AS width FROM und""")
+def rescale_weights(spark, sf):
+    return cohorts.rescale_weights(cohorts.undirect(_knn(spark, sf))).select("a", "b", r6("width"))
+
+
+@query("centroids", f"WITH {CENT} SELECT cohort, round(c[1], 6) AS c1, round(c[33], 6) AS c33, round(c[64], 6) AS c64 FROM ce")
+def centroids(spark, sf):
+    c = vectors.centroids(_emb(spark, sf), "label", "embedding")
+    v = F.col("centroid")
+    return c.select("cohort", r6(v[0], "c1"), r6(v[32], "c33"), r6(v[63], "c64"))
+
+
+@query("partition_quality", f"""WITH {KNN},
+sz AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label),
+s AS (SELECT CAST(sum(size) AS BIGINT) AS n_nodes, count(*) AS n_cohorts, min(size) AS min_size, max(size) AS max_size, sum(size * (size - 1) / 2) AS pairs FROM sz),
+i AS (SELECT sum(CASE WHEN x.label = y.label THEN weight ELSE 0 END) AS inner_weight, sum(weight) AS total FROM und
+      JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b)
+SELECT n_nodes, n_cohorts, min_size, max_size, round(inner_weight, 6) AS inner_weight,
+       round(inner_weight - 0.9 * 2 * total / (n_nodes * (n_nodes - 1)) * pairs, 6) AS quality FROM s CROSS JOIN i""")
+def partition_quality(spark, sf):
+    labels = _emb(spark, sf).select(F.col("vec_id").alias("node"), F.col("label").alias("cohort"))
+    q = cohorts.partition_quality(cohorts.undirect(_knn(spark, sf)), labels, 0.9)
+    return q.select("n_nodes", "n_cohorts", "min_size", "max_size", r6("inner_weight"), r6("quality"))
+
+
+@query("sample_subgraph", f"""WITH {KNN},
+k AS (SELECT vec_id AS node FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('vec_id', str(SEED))}, vec_id) AS rn FROM embeddings)
+      WHERE rn <= 200 // (SELECT count(DISTINCT label) FROM embeddings))
+SELECT a, b, round(weight, 6) AS weight FROM und WHERE a IN (SELECT node FROM k) AND b IN (SELECT node FROM k)""")
+def sample_subgraph(spark, sf):
+    nodes = _emb(spark, sf).select(F.col("vec_id").alias("node"), F.col("label").alias("cohort"))
+    _, edges = splits.sample_subgraph(nodes, cohorts.undirect(_knn(spark, sf)), 200, SEED)
+    return edges.select("a", "b", r6("weight"))
+
+
+@query("detect_cohorts")
+def detect_cohorts(spark, sf):
+    nodes = _emb(spark, sf).select(F.col("vec_id").alias("node"))
+    return cohorts.detect_cohorts(nodes, cohorts.undirect(_knn(spark, sf)))
+
+
+def _queries(spark, sf):
+    return _emb(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+def _members(spark, sf):
+    return _emb(spark, sf).select(F.col("label").alias("cohort"), F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
+
+
+def _cands(spark, sf):
+    return retrieval.top_cohorts(_queries(spark, sf), vectors.centroids(_emb(spark, sf), "label", "embedding"), 3)
+
+
+@query("top_cohorts", f"WITH {CENT} SELECT query_id, cohort, round(weight, 6) AS weight, rank FROM tc")
+def top_cohorts(spark, sf):
+    return _cands(spark, sf).select("query_id", "cohort", r6("weight"), "rank")
+
+
+FRONT = f"""{CENT},
+fw AS (SELECT t.query_id, t.cohort, m.vec_id AS node, round(list_dot_product(q.u, m.u), 12) AS weight FROM tc t
+       JOIN un q ON q.vec_id = t.query_id JOIN un m ON m.label = t.cohort),
+fr AS (SELECT DISTINCT query_id, node FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cohort ORDER BY weight DESC, node) AS rn FROM fw) WHERE rn <= 2)"""
+
+
+def _frontier(spark, sf):
+    return retrieval.frontier(_queries(spark, sf), _cands(spark, sf), _members(spark, sf), 2)
+
+
+@query("frontier", f"WITH {FRONT} SELECT query_id, node FROM fr")
+def frontier(spark, sf):
+    return _frontier(spark, sf)
+
+
+@query("frontier_growth", f"""WITH {FRONT}, {KNN.replace(UNIT + ',', '')},
+pk AS (SELECT query_id, min(node) AS node FROM fr GROUP BY 1)
+SELECT DISTINCT pk.query_id, dst AS node FROM pk JOIN knn ON src = pk.node WHERE dst <> pk.node
+AND NOT EXISTS (SELECT 1 FROM fr WHERE fr.query_id = pk.query_id AND fr.node = dst)""")
+def frontier_growth(spark, sf):
+    front = _frontier(spark, sf)
+    picked = front.groupBy("query_id").agg(F.min("node").alias("node"))
+    return retrieval.grow_frontier(picked, _knn(spark, sf), picked, front)
+
+
+@query("exemplar_join", f"""WITH {CENT}
+SELECT cohort, count(*) AS n, CAST(sum(d.n_chars) AS BIGINT) AS chars, CAST(sum(e.label) AS BIGINT) AS labels
+FROM tc JOIN documents d ON d.doc_id = tc.query_id JOIN embeddings e ON e.vec_id = tc.query_id GROUP BY cohort""")
+def exemplar_join(spark, sf):
+    train = table(spark, sf, "documents").join(_emb(spark, sf), F.col("doc_id") == F.col("vec_id")).select(
+        F.col("doc_id").alias("node"), "text", "n_chars", "label")
+    picks = _cands(spark, sf).select(F.col("cohort").alias("query_id"), "rank", F.col("query_id").alias("node"))
+    joined = retrieval.attach_exemplars(picks, train)
+    return joined.groupBy(F.col("query_id").alias("cohort")).agg(
+        F.count("text").alias("n"), F.sum("n_chars").alias("chars"), F.sum("label").alias("labels"))
+
+
+@query("reverse_lookup", """
+WITH t AS (SELECT d.doc_id, d.text, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
+w AS (SELECT doc_id, text, quality FROM t)
+SELECT w.doc_id AS query_id, min(t.doc_id) AS idx FROM w JOIN t ON t.text = w.text AND (w.quality IS NULL OR t.quality = w.quality) GROUP BY 1""")
+def reverse_lookup(spark, sf):
+    t = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
+        F.col("doc_id").alias("idx"), F.col("text").alias("detail"), F.col("quality").alias("label"))
+    ex = t.select(F.col("idx").alias("query_id"), F.lit(1).alias("rank"), "detail", "label")
+    return retrieval.reverse_lookup(ex, t).select("query_id", "idx")
+
+
+# ---- entropy and walks ---------------------------------------------------------------------------------------------
+
+TOK = r"[\p{L}\p{N}_]{2,}"
+WORDS = f"""
+qt AS (SELECT id AS query_id, term, count(*) AS c_q FROM (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM benchmark) GROUP BY 1, 2),
+nt AS (SELECT id AS node, term, count(*) AS c FROM (SELECT d.doc_id AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term
+        FROM documents d JOIN labels USING (doc_id)) GROUP BY 1, 2),
+voc AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM (SELECT term FROM qt UNION SELECT term FROM nt)),
+ql AS (SELECT query_id, sum(c_q) AS q_len FROM qt GROUP BY 1), nl AS (SELECT node, sum(c) AS n_len FROM nt GROUP BY 1),
+b0 AS (SELECT query_id, ln(v) AS base FROM ql CROSS JOIN voc),
+fr AS (SELECT l.doc_id AS node, q.item_id AS query_id FROM labels l JOIN benchmark q ON l.doc_id BETWEEN q.item_id * 10 AND q.item_id * 10 + 25
+       JOIN documents d ON d.doc_id = l.doc_id),
+ad AS (SELECT fr.query_id, fr.node, sum(c_q * ln(c + 1.0)) AS added FROM fr JOIN qt USING (query_id) JOIN nt ON nt.node = fr.node AND nt.term = qt.term GROUP BY 1, 2),
+sc AS (SELECT fr.query_id, fr.node, -(coalesce(added, 0) - q_len * ln(coalesce(n_len, 0) + v)) / q_len AS entropy FROM fr JOIN ql USING (query_id)
+       LEFT JOIN ad ON ad.query_id = fr.query_id AND ad.node = fr.node LEFT JOIN nl ON nl.node = fr.node CROSS JOIN voc)"""
+
+
+def _texts(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    bench = table(spark, sf, "benchmark")
+    return bench, docs
+
+
+def _text_frontier(spark, sf):
+    """Per benchmark item the labelled documents of a window of ids around ten times its id."""
+    bench, docs = _texts(spark, sf)
+    near = bench.select(F.col("item_id").alias("query_id"), F.explode(F.sequence(
+        F.col("item_id") * 10, F.col("item_id") * 10 + 25)).alias("node"))
+    return near.join(docs.select(F.col("doc_id").alias("node")), "node")
+
+
+def _scorer(spark, sf):
+    bench, docs = _texts(spark, sf)
+    return entropy.UnigramScorer(bench, docs, "item_id", "text", "doc_id", "text", 1.0)
+
+
+@query("unigram_entropy", f"WITH {WORDS} SELECT query_id, node, round(entropy, 6) AS entropy FROM sc")
+def unigram_entropy(spark, sf):
+    return _scorer(spark, sf).score(_text_frontier(spark, sf)).select("query_id", "node", r6("entropy"))
+
+
+@query("info_gain", f"WITH {WORDS} SELECT query_id, node, round(base - entropy, 6) AS gain FROM sc JOIN b0 USING (query_id)")
+def info_gain(spark, sf):
+    s = _scorer(spark, sf)
+    return entropy.info_gain(s.base(), s.score(_text_frontier(spark, sf))).select("query_id", "node", r6("gain"))
+
+
+@query("avg_entropy", f"WITH {WORDS} SELECT round(avg(entropy), 6) AS avg_entropy FROM sc")
+def avg_entropy(spark, sf):
+    return entropy.avg_entropy(_scorer(spark, sf).score(_text_frontier(spark, sf))).select(r6("avg_entropy"))
+
+
+FIRST = f"""{WORDS}, fp AS (SELECT query_id, node, base - entropy AS gain, row_number() OVER (PARTITION BY query_id ORDER BY round(base - entropy, 12) DESC, node) AS rn
+            FROM sc JOIN b0 USING (query_id) WHERE base - entropy > 0)"""
+
+
+@query("greedy_first_pick", f"WITH {FIRST} SELECT query_id, node, round(gain, 6) AS gain FROM fp WHERE rn = 1")
+def greedy_first_pick(spark, sf):
+    none = _knn(spark, sf)
+    return retrieval.greedy_walk(_text_frontier(spark, sf), none, _scorer(spark, sf), 1).select("query_id", "node", r6("gain"))
+
+
+def _doc_edges(spark, sf):
+    """A graph over document ids: every document leads to the next two."""
+    d = table(spark, sf, "labels").select(F.col("doc_id").alias("src"))
+    return d.select("src", F.explode(F.array(F.col("src") + 1, F.col("src") + 2)).alias("dst")).join(
+        d.withColumnRenamed("src", "dst"), "dst").withColumn("weight", F.lit(1.0))
+
+
+# Second and third pick spelled out as further SQL rounds over the grown frontier.
+def _round_sql(i: int) -> str:
+    p, c = i - 1, i
+    return f"""
+sel{p} AS (SELECT query_id, node FROM pick1 {' '.join(f'UNION ALL SELECT query_id, node FROM pick{j}' for j in range(2, i))}),
+fr{c} AS (SELECT f.query_id, f.node FROM (SELECT query_id, node FROM fr{p if p > 1 else ''} UNION
+             SELECT k.query_id, e.dst FROM pick{p} k JOIN eg e ON e.src = k.node) f
+          WHERE f.query_id IN (SELECT query_id FROM pick{p}) AND NOT EXISTS (SELECT 1 FROM sel{p} s WHERE s.query_id = f.query_id AND s.node = f.node)),
+cs{c} AS (SELECT s.query_id, nt.term, sum(c) AS c_s FROM sel{p} s JOIN nt ON nt.node = s.node GROUP BY 1, 2),
+ns{c} AS (SELECT s.query_id, sum(n_len) AS n_s FROM sel{p} s JOIN nl ON nl.node = s.node GROUP BY 1),
+tm{c} AS (SELECT qt.query_id, qt.term, c_q, coalesce(c_s, 0) AS c_s FROM qt LEFT JOIN cs{c} x ON x.query_id = qt.query_id AND x.term = qt.term),
+lg{c} AS (SELECT query_id, sum(c_q * ln(c_s + 1.0)) AS logs FROM tm{c} GROUP BY 1),
+ad{c} AS (SELECT f.query_id, f.node, sum(c_q * (ln(c_s + c + 1.0) - ln(c_s + 1.0))) AS added FROM fr{c} f JOIN tm{c} t ON t.query_id = f.query_id
+          JOIN nt ON nt.node = f.node AND nt.term = t.term GROUP BY 1, 2),
+gn{c} AS (SELECT f.query_id, f.node, (-(logs - q_len * ln(n_s + v)) / q_len) - (-(logs + coalesce(added, 0) - q_len * ln(n_s + coalesce(n_len, 0) + v)) / q_len) AS gain
+          FROM fr{c} f JOIN ql ON ql.query_id = f.query_id JOIN lg{c} l ON l.query_id = f.query_id JOIN ns{c} n ON n.query_id = f.query_id
+          LEFT JOIN ad{c} a ON a.query_id = f.query_id AND a.node = f.node LEFT JOIN nl ON nl.node = f.node CROSS JOIN voc),
+pick{c} AS (SELECT query_id, node, gain FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(gain, 12) DESC, node) AS rn FROM gn{c} WHERE gain > 0) WHERE rn = 1)"""
+
+
+@query("greedy_walk", f"""WITH {FIRST},
+eg AS (SELECT l.doc_id AS src, m.doc_id AS dst FROM labels l JOIN labels m ON m.doc_id IN (l.doc_id + 1, l.doc_id + 2)),
+pick1 AS (SELECT query_id, node, gain FROM fp WHERE rn = 1),{_round_sql(2)},{_round_sql(3)}
+SELECT query_id, 1 AS rank, node, round(gain, 6) AS gain FROM pick1 UNION ALL SELECT query_id, 2, node, round(gain, 6) FROM pick2
+UNION ALL SELECT query_id, 3, node, round(gain, 6) FROM pick3""")
+def greedy_walk(spark, sf):
+    w = retrieval.greedy_walk(_text_frontier(spark, sf), _doc_edges(spark, sf), _scorer(spark, sf), 3)
+    return w.select("query_id", "rank", "node", r6("gain"))
+
+
+@query("greedy_walk_lazy")
+def greedy_walk_lazy(spark, sf):
+    w = retrieval.lazy_walk(_text_frontier(spark, sf), _doc_edges(spark, sf), _scorer(spark, sf), 3)
+    return w.select("query_id", "rank", "node", r6("gain"))
+
+
+def _patients(spark, sf):
+    """Vectors with a text of the same id, split into train, val and test."""
+    p = _emb(spark, sf).join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select(
+        F.col("vec_id").alias("node"), F.col("embedding").alias("vec"), F.col("text").alias("detail"), "label")
+    return splits.split_ratio(p, "node", 0.8, SEED)
+
+
+def _retrieve(spark, sf, mode, known_cohorts=False):
+    p = _patients(spark, sf)
+    train = p.filter("split = 'train'").drop("split")
+    test = p.filter("split = 'test'").select(F.col("node").alias("query_id"), "vec", "detail")
+    given = train.select("node", F.col("label").alias("cohort")) if known_cohorts else None
+    found = retrieve(train, test, RetrievalSettings(mode=mode), given)
+    return found.select("query_id", "rank", "node", "label", F.length("detail").alias("detail_chars"))
+
+
+@query("retrieve")
+def retrieve_query(spark, sf):
+    return _retrieve(spark, sf, "rounds")
+
+
+@query("retrieve_random")
+def retrieve_random(spark, sf):
+    return _retrieve(spark, sf, "random", known_cohorts=True)
+
+
+@query("tfidf_embed", f"""
+WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM documents),
+c AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY 1, 2), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+vc AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM c CROSS JOIN n GROUP BY term, n ORDER BY sum(tf) DESC, term LIMIT 4096),
+w AS (SELECT id, term, tf * idf AS w FROM c JOIN vc USING (term)), l AS (SELECT id, sqrt(sum(w * w)) + 1e-12 AS len FROM w GROUP BY id)
+SELECT id, term, round(w / len, 6) AS w FROM w JOIN l USING (id)""")
+def tfidf_embed(spark, sf):
+    return vectors.tfidf_embed(table(spark, sf, "documents"), "doc_id", "text").select("id", "term", r6("w"))
+
+
+def _mean_scorer():
+    def score(pdf):
+        m = pdf["embedding"].apply(lambda v: float(sum(float(x) for x in v)))
+        return pdf[["vec_id"]].assign(total=m.round(4))
+    return score
+
+
+@query("score_batches", """
+SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings""")
+def score_batches_query(spark, sf):
+    return score_batches(_emb(spark, sf).select("vec_id", "embedding"), _mean_scorer, "vec_id bigint, total double")

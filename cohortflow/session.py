@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -35,6 +35,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """:func:`written`, plus aggregates observed while writing, so no second job is needed to count."""
+    watch = Observation()
+    table = written(df.observe(watch, *[c.alias(k) for k, c in counts.items()]), name)
+    return table, watch.get
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when at most ``max_rows`` rows exist; otherwise leave the choice to AQE."""
     seen = df.limit(max_rows + 1).count()

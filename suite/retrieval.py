@@ -173,71 +173,79 @@ def reverse_lookup(spark, sf):
 
 # ---- entropy and walks ---------------------------------------------------------------------------------------------
 
+def _patients(spark, sf):
+    """Vectors with a text of the same id, split into train, val and test."""
+    p = _emb(spark, sf).join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select(
+        F.col("vec_id").alias("node"), F.col("embedding").alias("vec"), F.col("text").alias("detail"), "label")
+    return splits.split_ratio(p, "node", 0.8, SEED)
+
+
+def _train_test(spark, sf):
+    p = _patients(spark, sf)
+    train = p.filter("split = 'train'").drop("split")
+    test = p.filter("split <> 'train'").select(F.col("node").alias("query_id"), "vec", "detail")
+    return train, test
+
+
+# Train patients are nodes, all others are queries; known labels serve as cohorts.
 TOK = r"[\p{L}\p{N}_]{2,}"
-WORDS = f"""
-qt AS (SELECT id AS query_id, term, count(*) AS c_q FROM (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM benchmark) GROUP BY 1, 2),
-nt AS (SELECT id AS node, term, count(*) AS c FROM (SELECT d.doc_id AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term
-        FROM documents d JOIN labels USING (doc_id)) GROUP BY 1, 2),
+WALK = f"""
+pt0 AS (SELECT vec_id AS node, label, text, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings JOIN documents ON vec_id = doc_id),
+pt AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u,
+         row_number() OVER (ORDER BY {sql_hash('node', str(SEED))}, node) - 1 < floor((SELECT count(*) FROM pt0) * CAST(0.8 AS DOUBLE)) AS train FROM pt0),
+ce AS (SELECT label AS cohort, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM
+        (SELECT label, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM pt WHERE train) GROUP BY 1, 2) GROUP BY 1),
+cs AS (SELECT node AS query_id, u, cohort, round(list_dot_product(u, c) / (sqrt(list_dot_product(c, c)) + 1e-12), 12) AS weight FROM pt CROSS JOIN ce WHERE NOT train),
+tc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, cohort) AS rank FROM cs) WHERE rank <= 3),
+fw AS (SELECT t.query_id, t.cohort, m.node, round(list_dot_product(t.u, m.u), 12) AS weight FROM tc t JOIN pt m ON m.label = t.cohort AND m.train),
+fr AS (SELECT DISTINCT query_id, node FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cohort ORDER BY weight DESC, node) AS rn FROM fw) WHERE rn <= 2),
+pr AS (SELECT a.node AS src, b.node AS dst, round(list_dot_product(a.u, b.u), 12) AS weight FROM pt a JOIN pt b ON a.node <> b.node WHERE a.train AND b.train),
+eg AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM pr) WHERE rn <= 3),
+qt AS (SELECT id AS query_id, term, count(*) AS c_q FROM (SELECT node AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM pt WHERE NOT train) GROUP BY 1, 2),
+nt AS (SELECT id AS node, term, count(*) AS c FROM (SELECT node AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM pt WHERE train) GROUP BY 1, 2),
 voc AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM (SELECT term FROM qt UNION SELECT term FROM nt)),
 ql AS (SELECT query_id, sum(c_q) AS q_len FROM qt GROUP BY 1), nl AS (SELECT node, sum(c) AS n_len FROM nt GROUP BY 1),
 b0 AS (SELECT query_id, ln(v) AS base FROM ql CROSS JOIN voc),
-fr AS (SELECT l.doc_id AS node, q.item_id AS query_id FROM labels l JOIN benchmark q ON l.doc_id BETWEEN q.item_id * 10 AND q.item_id * 10 + 25
-       JOIN documents d ON d.doc_id = l.doc_id),
 ad AS (SELECT fr.query_id, fr.node, sum(c_q * ln(c + 1.0)) AS added FROM fr JOIN qt USING (query_id) JOIN nt ON nt.node = fr.node AND nt.term = qt.term GROUP BY 1, 2),
 sc AS (SELECT fr.query_id, fr.node, -(coalesce(added, 0) - q_len * ln(coalesce(n_len, 0) + v)) / q_len AS entropy FROM fr JOIN ql USING (query_id)
        LEFT JOIN ad ON ad.query_id = fr.query_id AND ad.node = fr.node LEFT JOIN nl ON nl.node = fr.node CROSS JOIN voc)"""
 
 
-def _texts(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
-    bench = table(spark, sf, "benchmark")
-    return bench, docs
-
-
-def _text_frontier(spark, sf):
-    """Per benchmark item the labelled documents of a window of ids around ten times its id."""
-    bench, docs = _texts(spark, sf)
-    near = bench.select(F.col("item_id").alias("query_id"), F.explode(F.sequence(
-        F.col("item_id") * 10, F.col("item_id") * 10 + 25)).alias("node"))
-    return near.join(docs.select(F.col("doc_id").alias("node")), "node")
+def _walk_inputs(spark, sf):
+    """(frontier, edges, scorer) of the train/test patients with labels as cohorts."""
+    train, test = _train_test(spark, sf)
+    members = train.select(F.col("label").alias("cohort"), "node", "vec")
+    cands = retrieval.top_cohorts(test, vectors.centroids(members, "cohort", "vec"), 3)
+    front = retrieval.frontier(test, cands, members, 2)
+    edges = vectors.knn_graph(train, "node", "vec", 3)
+    return front, edges, entropy.UnigramScorer(test, train, "query_id", "detail", "node", "detail", 1.0)
 
 
-def _scorer(spark, sf):
-    bench, docs = _texts(spark, sf)
-    return entropy.UnigramScorer(bench, docs, "item_id", "text", "doc_id", "text", 1.0)
-
-
-@query("unigram_entropy", f"WITH {WORDS} SELECT query_id, node, round(entropy, 6) AS entropy FROM sc")
+@query("unigram_entropy", f"WITH {WALK} SELECT query_id, node, round(entropy, 6) AS entropy FROM sc")
 def unigram_entropy(spark, sf):
-    return _scorer(spark, sf).score(_text_frontier(spark, sf)).select("query_id", "node", r6("entropy"))
+    front, _, scorer = _walk_inputs(spark, sf)
+    return scorer.score(front).select("query_id", "node", r6("entropy"))
 
 
-@query("info_gain", f"WITH {WORDS} SELECT query_id, node, round(base - entropy, 6) AS gain FROM sc JOIN b0 USING (query_id)")
+@query("info_gain", f"WITH {WALK} SELECT query_id, node, round(base - entropy, 6) AS gain FROM sc JOIN b0 USING (query_id)")
 def info_gain(spark, sf):
-    s = _scorer(spark, sf)
-    return entropy.info_gain(s.base(), s.score(_text_frontier(spark, sf))).select("query_id", "node", r6("gain"))
+    front, _, scorer = _walk_inputs(spark, sf)
+    return entropy.info_gain(scorer.base(), scorer.score(front)).select("query_id", "node", r6("gain"))
 
 
-@query("avg_entropy", f"WITH {WORDS} SELECT round(avg(entropy), 6) AS avg_entropy FROM sc")
+@query("avg_entropy", f"WITH {WALK} SELECT round(avg(entropy), 6) AS avg_entropy FROM sc")
 def avg_entropy(spark, sf):
-    return entropy.avg_entropy(_scorer(spark, sf).score(_text_frontier(spark, sf))).select(r6("avg_entropy"))
+    front, _, scorer = _walk_inputs(spark, sf)
+    return entropy.avg_entropy(scorer.score(front)).select(r6("avg_entropy"))
 
 
-FIRST = f"""{WORDS}, fp AS (SELECT query_id, node, base - entropy AS gain, row_number() OVER (PARTITION BY query_id ORDER BY round(base - entropy, 12) DESC, node) AS rn
+FIRST = f"""{WALK}, fp AS (SELECT query_id, node, base - entropy AS gain, row_number() OVER (PARTITION BY query_id ORDER BY round(base - entropy, 12) DESC, node) AS rn
             FROM sc JOIN b0 USING (query_id) WHERE base - entropy > 0)"""
 
 
 @query("greedy_first_pick", f"WITH {FIRST} SELECT query_id, node, round(gain, 6) AS gain FROM fp WHERE rn = 1")
 def greedy_first_pick(spark, sf):
-    none = _knn(spark, sf)
-    return retrieval.greedy_walk(_text_frontier(spark, sf), none, _scorer(spark, sf), 1).select("query_id", "node", r6("gain"))
-
-
-def _doc_edges(spark, sf):
-    """A graph over document ids: every document leads to the next two."""
-    d = table(spark, sf, "labels").select(F.col("doc_id").alias("src"))
-    return d.select("src", F.explode(F.array(F.col("src") + 1, F.col("src") + 2)).alias("dst")).join(
-        d.withColumnRenamed("src", "dst"), "dst").withColumn("weight", F.lit(1.0))
+    return retrieval.greedy_walk(*_walk_inputs(spark, sf), 1).select("query_id", "node", r6("gain"))
 
 
 # Second and third pick spelled out as further SQL rounds over the grown frontier.
@@ -261,32 +269,22 @@ pick{c} AS (SELECT query_id, node, gain FROM (SELECT *, row_number() OVER (PARTI
 
 
 @query("greedy_walk", f"""WITH {FIRST},
-eg AS (SELECT l.doc_id AS src, m.doc_id AS dst FROM labels l JOIN labels m ON m.doc_id IN (l.doc_id + 1, l.doc_id + 2)),
 pick1 AS (SELECT query_id, node, gain FROM fp WHERE rn = 1),{_round_sql(2)},{_round_sql(3)}
 SELECT query_id, 1 AS rank, node, round(gain, 6) AS gain FROM pick1 UNION ALL SELECT query_id, 2, node, round(gain, 6) FROM pick2
 UNION ALL SELECT query_id, 3, node, round(gain, 6) FROM pick3""")
 def greedy_walk(spark, sf):
-    w = retrieval.greedy_walk(_text_frontier(spark, sf), _doc_edges(spark, sf), _scorer(spark, sf), 3)
+    w = retrieval.greedy_walk(*_walk_inputs(spark, sf), 3)
     return w.select("query_id", "rank", "node", r6("gain"))
 
 
 @query("greedy_walk_lazy")
 def greedy_walk_lazy(spark, sf):
-    w = retrieval.lazy_walk(_text_frontier(spark, sf), _doc_edges(spark, sf), _scorer(spark, sf), 3)
+    w = retrieval.lazy_walk(*_walk_inputs(spark, sf), 3)
     return w.select("query_id", "rank", "node", r6("gain"))
 
 
-def _patients(spark, sf):
-    """Vectors with a text of the same id, split into train, val and test."""
-    p = _emb(spark, sf).join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select(
-        F.col("vec_id").alias("node"), F.col("embedding").alias("vec"), F.col("text").alias("detail"), "label")
-    return splits.split_ratio(p, "node", 0.8, SEED)
-
-
 def _retrieve(spark, sf, mode, known_cohorts=False):
-    p = _patients(spark, sf)
-    train = p.filter("split = 'train'").drop("split")
-    test = p.filter("split = 'test'").select(F.col("node").alias("query_id"), "vec", "detail")
+    train, test = _train_test(spark, sf)
     given = train.select("node", F.col("label").alias("cohort")) if known_cohorts else None
     found = retrieve(train, test, RetrievalSettings(mode=mode), given)
     return found.select("query_id", "rank", "node", "label", F.length("detail").alias("detail_chars"))

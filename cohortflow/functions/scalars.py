@@ -56,35 +56,41 @@ def decode_category(channel: Column, code: Column) -> Column:
     return F.coalesce(F.try_element_at(names, key), py_number(code))
 
 
+def let(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` evaluated once, however often the body mentions it."""
+    return F.transform(F.array(c), body)[0]
+
+
 def py_number(c: Column) -> Column:
-    """Number text with a decimal point and no exponent for |x| in [1e-4, 1e16), as Python prints it.
+    """Number text as Python prints it: plain digits for |x| in [1e-4, 1e16), two-digit exponents outside.
 
-    The shortest digits come from the plain double-to-text cast; only the exponent form is re-laid out.
+    The shortest digits come from the plain double-to-text cast; only its exponent form is laid out anew.
     """
-    text = c.cast("double").cast("string")
-    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), "[-.]", "")
-    # Spark prints d.dddE<exp>; digits carries the mantissa without a useless trailing zero.
-    digits = F.when(F.length(mantissa) > 1, F.regexp_replace(mantissa, "0+$", "")).otherwise(mantissa)
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    exp = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    sign = F.when(c < 0, "-").otherwise("")
-    whole = F.rpad(digits, exp + 1, "0")
-    large = F.concat(sign, F.substring(whole, F.lit(1), exp + 1), F.lit("."),
-                     F.when(F.length(whole) > exp + 1, F.substring(whole, exp + 2, F.length(whole)))
-                     .otherwise("0"))
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    power = F.lpad(F.abs(exp).cast("string"), 2, "0")
-    power = F.when(F.abs(exp) >= 100, F.abs(exp).cast("string")).otherwise(power)
-    rest = F.substring(digits, F.lit(2), F.length(digits))
-    sci = F.concat(sign, F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""),
-                   F.when(exp < 0, "e-").otherwise("e+"), power)
-    return (F.when(F.isnan(c), "nan")
-            .when(c == float("inf"), "inf")
-            .when(c == float("-inf"), "-inf")
-            .when(exp.isNull(), text)
-            .when((exp >= 0) & (exp < 16), large)
-            .when((exp < 0) & (exp >= -4), small)
-            .otherwise(sci))
+    def plain(t):
+        special = F.try_element_at(literal_map({"NaN": "nan", "Infinity": "inf", "-Infinity": "-inf"}), t)
+        return F.when(F.contains(t, F.lit("E")), let(F.split(t, "E"), _plain_digits)).otherwise(F.coalesce(special, t))
+
+    return let(c.cast("double").cast("string"), plain)
+
+
+def _plain_digits(parts: Column) -> Column:
+    """``["-1.25", "7"]`` as ``-12500000.0``."""
+    def layout(s):
+        sign, digits, exp = s["sign"], s["digits"], s["exp"]
+        whole = F.rpad(digits, F.greatest(exp + 1, F.length(digits)), "0")
+        tail = F.substring(whole, exp + 2, F.length(whole))
+        large = F.concat(sign, F.substring(whole, F.lit(1), exp + 1), F.lit("."), F.when(tail == "", "0").otherwise(tail))
+        small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+        rest = F.substring(digits, F.lit(2), F.length(digits))
+        power = F.abs(exp).cast("string")
+        sci = F.concat(sign, F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)),
+                       F.when(exp < 0, "e-").otherwise("e+"), F.when(F.length(power) < 2, F.lit("0")).otherwise(""), power)
+        return F.when(exp.between(0, 15), large).when(exp.between(-4, -1), small).otherwise(sci)
+
+    mantissa = parts[0]
+    digits = F.regexp_replace(F.regexp_replace(mantissa, "[-.]", ""), "(?<=.)0+$", "")
+    return let(F.struct(F.when(F.startswith(mantissa, F.lit("-")), "-").otherwise("").alias("sign"), digits.alias("digits"),
+                        parts[1].cast("int").alias("exp")), layout)
 
 
 def bucketize_los(hours: Column, edges_days=LOS_DAY_EDGES) -> Column:

@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import (COMA_LABELS, argmax_letter, label_letter, leading_number, literal_map, null_if_missing,
-                                 py_number, risk, time_list)
+from ..functions.scalars import (COMA_LABELS, argmax_letter, label_letter, leading_number, let, literal_map,
+                                 null_if_missing, py_number, risk, time_list)
 from ..plans import catalogue
 from .grids import smooth_hourly
 
@@ -20,12 +20,12 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def _cell(channel: str, raw: Column) -> Column:
-    number = leading_number(raw)
     if channel in COMA_LABELS:
         names = literal_map(COMA_LABELS[channel])
-        text = F.coalesce(F.try_element_at(names, number.cast("int")), py_number(number), F.lit("NaN"))
+        text = let(leading_number(raw), lambda number: F.coalesce(
+            F.try_element_at(names, number.cast("int")), py_number(number), F.lit("NaN")))
     else:
-        text = F.coalesce(py_number(number), F.lit("nan"))
+        text = F.coalesce(py_number(leading_number(raw)), F.lit("nan"))
     return F.when(raw.isNull() | (raw == ""), "NaN").otherwise(text)
 
 

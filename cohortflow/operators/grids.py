@@ -137,13 +137,15 @@ def impute_grid(dense: DataFrame, normals: dict[str, float]) -> DataFrame:
     return dense.withColumn("value", F.coalesce(F.last("value", ignorenulls=True).over(carry), normal))
 
 
-def zscore_grid(dense: DataFrame, channels: list[str], fit_on: Column | None = None) -> DataFrame:
+def zscore_grid(dense: DataFrame, channels: list[str], fit_on: Column | None = None,
+                observed: DataFrame | None = None) -> DataFrame:
     """Masked z-score per channel (population deviation over observed cells), 0 where unobserved.
 
+    ``observed`` gives the observed cells directly (the sparse grid), so the statistics need no dense grid.
     The statistics table has one row per listed channel, which bounds the broadcast.
     """
     grid = dense.filter(F.col("channel").isin(channels))
-    seen = grid.filter(F.col("mask") == 1)
+    seen = grid.filter(F.col("mask") == 1) if observed is None else observed.filter(F.col("channel").isin(channels))
     if fit_on is not None:
         seen = seen.filter(fit_on)
     stats = seen.groupBy("channel").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std"))
@@ -153,6 +155,14 @@ def zscore_grid(dense: DataFrame, channels: list[str], fit_on: Column | None = N
             .drop("_mean", "_std"))
 
 
+def standardized(grid: DataFrame, stays: DataFrame, channels: list[str], slots: Column,
+                 fit_on: Column | None = None) -> DataFrame:
+    """Dense z-scored grid from a sparse one: only observed cells are scored, the rest is filled with 0."""
+    scored = zscore_grid(grid.withColumn("mask", F.lit(1)), channels, fit_on)
+    return (dense_grid(scored.select("stay_id", "slot", "channel", "value"), stays, channels, slots)
+            .withColumn("value", F.coalesce("value", F.lit(0.0))))
+
+
 def pack_samples(dense: DataFrame, channels: list[str]) -> DataFrame:
     """One row per stay: ``x`` and ``mask`` as time x channel arrays, ``lens`` slots. One shuffle by stay."""
     index = literal_map({c: i for i, c in enumerate(channels)})

@@ -211,26 +211,21 @@ def ovr_auc(df, probs, label, by=(), weight=None, edges=None, one_class: float |
     rows = class_rows(df, probs, label, by, weight)
     if edges is None:
         edges = range_edges(rows, "score")
-    counts = threshold_counts(rows, "score", "hit", [*by, "class"], weight)
-    per = curve_metrics(_curve_of(counts, [*by, "class"], edges), [*by, "class"])
-    pooled = counts.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    micro = curve_metrics(_curve_of(pooled, list(by), edges), by)
+    # Class -1 pools all classes, so per-class and micro curves come from one pass.
+    pooled = rows.withColumn("class", F.explode(F.array(F.col("class"), F.lit(-1))))
+    per = curve_metrics(threshold_curve(pooled, "score", "hit", [*by, "class"], weight, edges), [*by, "class"])
+    own = F.col("class") >= 0
     auc = F.coalesce("roc_auc", F.lit(one_class).cast("double"))
-    whole = F.count(auc) == F.count(F.lit(1))
-    means = per.groupBy(*by).agg(
-        F.when(whole, F.avg(auc)).alias("macro"),
-        F.when(whole, F.sum(auc * F.col("n_pos")) / F.sum("n_pos")).alias("weighted"))
-    wide = means.select(*by, F.explode(F.create_map(
-        F.lit("macro"), F.col("macro"), F.lit("weighted"), F.col("weighted"))).alias("scope", "auc"))
-    return (per.select(*by, F.concat(F.lit("class_"), F.col("class").cast("string")).alias("scope"), auc.alias("auc"))
-            .unionByName(micro.select(*by, F.lit("micro").alias("scope"), auc.alias("auc"))).unionByName(wide))
-
-
-def _curve_of(counts: DataFrame, by, edges) -> DataFrame:
-    rows = counts.select(*by, "score", F.explode(F.array(
-        F.struct(F.lit(1).alias("hit"), F.col("pos").alias("n")),
-        F.struct(F.lit(0).alias("hit"), F.col("neg").alias("n")))).alias("c"))
-    return threshold_curve(rows.select(*by, "score", "c.hit", "c.n"), "score", "hit", by, "n", edges)
+    whole = F.count_if(own & auc.isNull()) == 0
+    n_pos = F.when(own, F.col("n_pos"))
+    tables = per.groupBy(*by).agg(
+        F.collect_list(F.struct(F.when(own, F.concat(F.lit("class_"), F.col("class").cast("string"))).otherwise("micro")
+                                .alias("scope"), auc.alias("auc"))).alias("_each"),  # one entry per class
+        F.when(whole, F.avg(F.when(own, auc))).alias("_macro"),
+        F.when(whole, F.sum(auc * n_pos) / F.sum(n_pos)).alias("_weighted"))
+    means = F.array(F.struct(F.lit("macro").alias("scope"), F.col("_macro").alias("auc")),
+                    F.struct(F.lit("weighted").alias("scope"), F.col("_weighted").alias("auc")))
+    return tables.select(*by, F.inline(F.concat("_each", means)))
 
 
 def confusion_matrix(df, pred, label, by=(), weight=None) -> DataFrame:

@@ -46,8 +46,7 @@ def episode_samples(obs: DataFrame, labels: DataFrame, task: str, period: int, f
         grid = grids.grid_last(rows, period)
     else:
         grid = grids.grid_mean(rows.join(slots, "stay_id"), F.col("n_slots"), normals if compat else None)
-    dense = grids.dense_grid(grid, stays, channels, F.col("n_slots"))
-    packed = grids.pack_samples(grids.zscore_grid(dense, channels, fit_on), channels)
+    packed = grids.pack_samples(grids.standardized(grid, stays, channels, F.col("n_slots"), fit_on), channels)
     return packed.join(labels.select("stay_id", "label"), "stay_id")
 
 

@@ -44,8 +44,10 @@ def observations(spark, sf) -> DataFrame:
 
 def stay_labels(spark, sf) -> DataFrame:
     """One label row per stay: bound t in hours and a 0/1 outcome."""
-    return observations(spark, sf).groupBy("stay_id").agg(
-        (F.max("hours") * 0.75).alias("t"), (F.max("raw") > 300).cast("int").alias("y"))
+    raw = F.when(F.col("value") >= 8, F.col("value"))
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("stay_id")).agg(
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(3.6e9) * 0.75).alias("t"),
+        (F.max(raw) > 300).cast("int").alias("y"))
 
 
 OBS = """
@@ -91,3 +93,17 @@ curve0 AS (SELECT {head}s, CAST(pos AS DOUBLE) AS pos, CAST(neg AS DOUBLE) AS ne
                  CAST(sum(neg) OVER ({part} ORDER BY s DESC) AS DOUBLE) AS fp,
                  CAST(sum(pos) OVER ({part}) AS DOUBLE) AS np, CAST(sum(neg) OVER ({part}) AS DOUBLE) AS nn FROM cnt),
 curve AS (SELECT *, tp / (tp + fp) AS p, tp / np AS r FROM curve0)"""
+
+
+def floyd_sql(cand: str, placed: str, seed: int) -> str:
+    """Three distinct positions per query by Floyd's sampling over CTEs cand(query_id, cohort, size, start, pool_size)."""
+    return f"""
+fq AS (SELECT DISTINCT query_id, CAST(pool_size AS BIGINT) AS n FROM {cand}),
+d1 AS (SELECT query_id, n, CAST(floor({sql_uniform('query_id', '0', str(seed))} * (n - 2)) AS BIGINT) AS p1 FROM fq),
+d2 AS (SELECT *, CAST(floor({sql_uniform('query_id', '1', str(seed))} * (n - 1)) AS BIGINT) AS t2 FROM d1),
+e2 AS (SELECT *, CASE WHEN t2 = p1 THEN n - 2 ELSE t2 END AS p2 FROM d2),
+d3 AS (SELECT *, CAST(floor({sql_uniform('query_id', '2', str(seed))} * n) AS BIGINT) AS t3 FROM e2),
+e3 AS (SELECT *, CASE WHEN t3 IN (p1, p2) THEN n - 1 ELSE t3 END AS p3 FROM d3),
+targets AS (SELECT query_id, 1 AS rank, p1 AS target FROM e3 UNION ALL SELECT query_id, 2, p2 FROM e3 UNION ALL SELECT query_id, 3, p3 FROM e3),
+drawn AS (SELECT t.query_id, t.rank, m.node FROM targets t JOIN {cand} c ON c.query_id = t.query_id AND t.target >= c.start AND t.target < c.start + c.size
+          JOIN {placed} m ON m.cohort = c.cohort AND m.pos = t.target - c.start)"""

@@ -230,10 +230,26 @@ def bootstrap_regression(spark, sf):
     return _rounded(bootstrap.bootstrap_regression(e, "p", "y", DRAWS, id_col="vec_id"))
 
 
-@query("bootstrap_multiclass")
+@query("bootstrap_multiclass", f"""WITH {SOFT}, {draw_sql('sm', 20)},
+rr AS (SELECT replicate, label AS y, list_position(p, list_max(p)) - 1 AS pr, unnest(p) AS score, unnest(range(0, 10)) AS class FROM smp),
+oc2 AS (SELECT replicate, class, score, CAST(class = y AS INTEGER) AS hit, pr FROM rr),
+pc AS (SELECT replicate, class, score AS s, sum(hit) AS pos, sum(1 - hit) AS neg FROM oc2 GROUP BY 1, 2, 3),
+cc AS (SELECT *, sum(pos) OVER (PARTITION BY replicate, class ORDER BY s DESC) AS tp, sum(pos) OVER (PARTITION BY replicate, class) AS np, sum(neg) OVER (PARTITION BY replicate, class) AS nn FROM pc),
+per AS (SELECT replicate, class, sum(neg * (tp - pos + pos / 2)) / nullif(max(np * nn), 0) AS auc, max(np) AS np FROM cc GROUP BY 1, 2),
+ok AS (SELECT replicate FROM per GROUP BY 1 HAVING count(*) FILTER (auc IS NULL) = 0),
+mc AS (SELECT replicate, score AS s, sum(hit) AS pos, sum(1 - hit) AS neg FROM oc2 GROUP BY 1, 2),
+mm AS (SELECT *, sum(pos) OVER (PARTITION BY replicate ORDER BY s DESC) AS tp, sum(pos) OVER (PARTITION BY replicate) AS np, sum(neg) OVER (PARTITION BY replicate) AS nn FROM mc),
+mi AS (SELECT replicate, sum(neg * (tp - pos + pos / 2)) / max(np * nn) AS auc_micro FROM mm GROUP BY 1),
+ma AS (SELECT replicate, avg(auc) AS auc_macro, sum(auc * np) / sum(np) AS auc_weighted FROM per GROUP BY 1),
+k AS (SELECT replicate, class, count(*) FILTER (hit = 1 AND pr = class) AS tp, sum(hit) AS sup, count(*) FILTER (pr = class) AS prd,
+        count(*) FILTER (hit = 1 AND score >= 0.5) AS htp, count(*) FILTER (score >= 0.5) AS hprd FROM oc2 GROUP BY 1, 2),
+mf AS (SELECT replicate, sum(tp) / sum(sup) AS accuracy, sum(tp) / sum(sup) AS f1_micro, avg(CASE WHEN sup + prd > 0 THEN 2 * tp / (sup + prd) END) AS f1_macro,
+         avg(CASE WHEN sup + hprd > 0 THEN 2 * htp / (sup + hprd) ELSE 0 END) AS macro_f1 FROM k GROUP BY 1),
+m AS (SELECT replicate, auc_micro, auc_macro, auc_weighted, macro_f1, accuracy, f1_macro, f1_micro FROM mi JOIN ma USING (replicate) JOIN mf USING (replicate) JOIN ok USING (replicate)),
+u AS (UNPIVOT m ON auc_micro, auc_macro, auc_weighted, macro_f1, accuracy, f1_macro, f1_micro INTO NAME metric VALUE v) {stats_sql('u')}""")
 def bootstrap_multiclass(spark, sf):
     d = metrics.as_probabilities(_classes(spark, sf), "probs")
-    return bootstrap.bootstrap_multiclass(d, "probs", "label", 20, id_col="vec_id")
+    return _rounded(bootstrap.bootstrap_multiclass(d, "probs", "label", 20, id_col="vec_id"))
 
 
 @query("choice_accuracy_ci", f"""WITH ch AS (SELECT vec_id, CAST(CASE WHEN embedding[1] > 0 THEN 'A' ELSE 'B' END = CASE WHEN label < 5 THEN 'A' ELSE 'B' END AS INTEGER) AS ok FROM embeddings),

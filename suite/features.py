@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cohortflow.functions import arrays, scalars
 from cohortflow.operators import grids, splits
 
-from .base import (CHANNELS, DAY, NORMALS, OBS, SEED, observations, query, r6, sql_hash, sql_uniform, stay_labels,
-                   table)
+from .base import (CHANNELS, DAY, NORMALS, OBS, SEED, floyd_sql, observations, query, r6, sql_hash, sql_uniform,
+                   stay_labels, table)
 
 PERIOD = 20  # slots of 24 hours
 
@@ -280,12 +280,13 @@ z AS (SELECT stay_id, CAST(slot AS INTEGER) AS slot, channel, mask, CASE WHEN ma
 
 @query("zscore_grid", f"WITH {ZSCORE} SELECT stay_id, slot, channel, mask, round(value, 6) AS value FROM z")
 def zscore_grid(spark, sf):
-    z = grids.zscore_grid(_dense(spark, sf), CHANNELS)
+    z = grids.zscore_grid(_dense(spark, sf), CHANNELS, observed=_grid(spark, sf))
     return z.select("stay_id", "slot", "channel", "mask", r6("value"))
 
 
 def _samples(spark, sf):
-    return grids.pack_samples(grids.zscore_grid(_dense(spark, sf), CHANNELS), CHANNELS)
+    dense = grids.standardized(_grid(spark, sf), stay_labels(spark, sf), CHANNELS, F.lit(PERIOD))
+    return grids.pack_samples(dense, CHANNELS)
 
 
 @query("pack_samples", f"""WITH {ZSCORE}, x AS (
@@ -453,16 +454,9 @@ WITH pool AS (SELECT label AS cohort, count(*) AS size FROM embeddings GROUP BY
 cand AS (SELECT n_nationkey AS query_id, cohort, size, sum(size) OVER (PARTITION BY n_nationkey ORDER BY cohort) - size AS start,
                 sum(size) OVER (PARTITION BY n_nationkey) AS pool_size
          FROM nation JOIN pool ON cohort IN (n_nationkey // 3, n_regionkey + 4)),
-q AS (SELECT DISTINCT query_id, CAST(pool_size AS BIGINT) AS n FROM cand),
-d1 AS (SELECT query_id, n, CAST(floor({sql_uniform('query_id', '0', str(SEED))} * (n - 2)) AS BIGINT) AS p1 FROM q),
-d2 AS (SELECT *, CAST(floor({sql_uniform('query_id', '1', str(SEED))} * (n - 1)) AS BIGINT) AS t2 FROM d1),
-e2 AS (SELECT *, CASE WHEN t2 = p1 THEN n - 2 ELSE t2 END AS p2 FROM d2),
-d3 AS (SELECT *, CAST(floor({sql_uniform('query_id', '2', str(SEED))} * n) AS BIGINT) AS t3 FROM e2),
-e3 AS (SELECT *, CASE WHEN t3 IN (p1, p2) THEN n - 1 ELSE t3 END AS p3 FROM d3),
-picks AS (SELECT query_id, 1 AS rank, p1 AS target FROM e3 UNION ALL SELECT query_id, 2, p2 FROM e3 UNION ALL SELECT query_id, 3, p3 FROM e3),
-placed AS (SELECT label AS cohort, vec_id, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('vec_id', str(SEED))}, vec_id) - 1 AS pos FROM embeddings)
-SELECT p.query_id, p.rank, m.vec_id AS node FROM picks p JOIN cand c ON c.query_id = p.query_id AND p.target >= c.start AND p.target < c.start + c.size
-JOIN placed m ON m.cohort = c.cohort AND m.pos = p.target - c.start""")
+placed AS (SELECT label AS cohort, vec_id AS node, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('vec_id', str(SEED))}, vec_id) - 1 AS pos FROM embeddings),
+{floyd_sql('cand', 'placed', SEED)}
+SELECT query_id, rank, node FROM drawn""")
 def pick_random(spark, sf):
     n = table(spark, sf, "nation")
     cands = n.select(F.col("n_nationkey").alias("query_id"), F.explode(F.array_distinct(F.array(

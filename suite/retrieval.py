@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from cohortflow.operators import cohorts, entropy, retrieval, splits, vectors
 from cohortflow.operators.scoring import score_batches
 from cohortflow.plans.retrieve import RetrievalSettings, retrieve
+from cohortflow.session import written
 
-from .base import SEED, query, r6, sql_hash, table
+from .base import SEED, floyd_sql, query, r6, sql_hash, table
 
 UNIT = """
 raw AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
@@ -143,7 +144,7 @@ pk AS (SELECT query_id, min(node) AS node FROM fr GROUP BY 1)
 SELECT DISTINCT pk.query_id, dst AS node FROM pk JOIN knn ON src = pk.node WHERE dst <> pk.node
 AND NOT EXISTS (SELECT 1 FROM fr WHERE fr.query_id = pk.query_id AND fr.node = dst)""")
 def frontier_growth(spark, sf):
-    front = _frontier(spark, sf)
+    front = written(_frontier(spark, sf), "frontier")
     picked = front.groupBy("query_id").agg(F.min("node").alias("node"))
     return retrieval.grow_frontier(picked, _knn(spark, sf), picked, front)
 
@@ -181,7 +182,7 @@ def _patients(spark, sf):
 
 
 def _train_test(spark, sf):
-    p = _patients(spark, sf)
+    p = written(_patients(spark, sf), "patients")
     train = p.filter("split = 'train'").drop("split")
     test = p.filter("split <> 'train'").select(F.col("node").alias("query_id"), "vec", "detail")
     return train, test
@@ -215,8 +216,8 @@ def _walk_inputs(spark, sf):
     """(frontier, edges, scorer) of the train/test patients with labels as cohorts."""
     train, test = _train_test(spark, sf)
     members = train.select(F.col("label").alias("cohort"), "node", "vec")
-    cands = retrieval.top_cohorts(test, vectors.centroids(members, "cohort", "vec"), 3)
-    front = retrieval.frontier(test, cands, members, 2)
+    cands = written(retrieval.top_cohorts(test, vectors.centroids(members, "cohort", "vec"), 3), "candidates")
+    front = written(retrieval.frontier(test, cands, members, 2), "frontier")
     edges = vectors.knn_graph(train, "node", "vec", 3)
     return front, edges, entropy.UnigramScorer(test, train, "query_id", "detail", "node", "detail", 1.0)
 
@@ -268,16 +269,20 @@ gn{c} AS (SELECT f.query_id, f.node, (-(logs - q_len * ln(n_s + v)) / q_len) - (
 pick{c} AS (SELECT query_id, node, gain FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(gain, 12) DESC, node) AS rn FROM gn{c} WHERE gain > 0) WHERE rn = 1)"""
 
 
-@query("greedy_walk", f"""WITH {FIRST},
-pick1 AS (SELECT query_id, node, gain FROM fp WHERE rn = 1),{_round_sql(2)},{_round_sql(3)}
-SELECT query_id, 1 AS rank, node, round(gain, 6) AS gain FROM pick1 UNION ALL SELECT query_id, 2, node, round(gain, 6) FROM pick2
-UNION ALL SELECT query_id, 3, node, round(gain, 6) FROM pick3""")
+PICKS = f"""{FIRST},
+pick1 AS (SELECT query_id, node, gain FROM fp WHERE rn = 1),{_round_sql(2)},{_round_sql(3)},
+picks AS (SELECT query_id, 1 AS rank, node, gain FROM pick1 UNION ALL SELECT query_id, 2, node, gain FROM pick2
+          UNION ALL SELECT query_id, 3, node, gain FROM pick3)"""
+
+
+@query("greedy_walk", f"WITH {PICKS} SELECT query_id, rank, node, round(gain, 6) AS gain FROM picks")
 def greedy_walk(spark, sf):
     w = retrieval.greedy_walk(*_walk_inputs(spark, sf), 3)
     return w.select("query_id", "rank", "node", r6("gain"))
 
 
-@query("greedy_walk_lazy")
+# Gains shrink with the chosen set on these texts, so cached gains are upper bounds and both walks agree.
+@query("greedy_walk_lazy", f"WITH {PICKS} SELECT query_id, rank, node, round(gain, 6) AS gain FROM picks")
 def greedy_walk_lazy(spark, sf):
     w = retrieval.lazy_walk(*_walk_inputs(spark, sf), 3)
     return w.select("query_id", "rank", "node", r6("gain"))
@@ -295,7 +300,18 @@ def retrieve_query(spark, sf):
     return _retrieve(spark, sf, "rounds")
 
 
-@query("retrieve_random")
+@query("retrieve_given_cohorts", f"""WITH {PICKS}
+SELECT query_id, rank, p.node, label, CAST(length(text) AS INTEGER) AS detail_chars FROM picks p JOIN pt ON pt.node = p.node""")
+def retrieve_given_cohorts(spark, sf):
+    return _retrieve(spark, sf, "rounds", known_cohorts=True)
+
+
+@query("retrieve_random", f"""WITH {WALK},
+plc AS (SELECT label AS cohort, node, row_number() OVER (PARTITION BY label ORDER BY {sql_hash('node', str(SEED))}, node) - 1 AS pos FROM pt WHERE train),
+szs AS (SELECT cohort, count(*) AS size FROM plc GROUP BY 1),
+cnd AS (SELECT query_id, cohort, size, sum(size) OVER (PARTITION BY query_id ORDER BY cohort) - size AS start, sum(size) OVER (PARTITION BY query_id) AS pool_size
+        FROM tc JOIN szs USING (cohort)), {floyd_sql('cnd', 'plc', SEED)}
+SELECT query_id, rank, d.node, label, CAST(length(text) AS INTEGER) AS detail_chars FROM drawn d JOIN pt ON pt.node = d.node""")
 def retrieve_random(spark, sf):
     return _retrieve(spark, sf, "random", known_cohorts=True)
 

@@ -132,7 +132,7 @@ def read_channels(spark: SparkSession, config: str, codes: str) -> tuple[DataFra
         "idx", "name", F.element_at("is_categorical_channel", F.col("name")).alias("is_categorical"),
         F.element_at("normal_values", F.col("name")).alias("normal_value"))
     entry = "struct<possible_values:array<string>, values:map<string,int>>"
-    text = spark.read.option("wholetext", True).text(codes)
+    text = spark.read.text(codes, wholetext=True)
     maps = text.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("channel", "e"))
     return channels, maps.select("channel", F.explode("e.values").alias("label", "code")).withColumn(
         "code", F.col("code").cast("double"))

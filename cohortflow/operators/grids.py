@@ -10,31 +10,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.arrays import padded, valid_steps
 from ..functions.hashing import hash_uniform
 from ..functions.scalars import literal_map
+from .joins import crowded_keys, join_per_key
 
 EDGE = 1e-6
 
 
 def join_labels(obs: DataFrame, labels: DataFrame) -> DataFrame:
     """Observations with the columns of their stay's label row."""
-    return obs.join(labels, "stay_id")
+    return join_per_key(obs, labels, "stay_id")
 
 
 def clip_to_bound(obs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of a stay before the first one later than its bound ``t`` (in row order).
 
-    The first late row is an aggregate with map-side partials, so a stay with very many rows is not
-    sorted in one task.
+    The first late row is an aggregate with map-side partials, so a stay with very many rows is neither
+    sorted nor joined in one task.
     """
-    bounded = obs.join(labels.select("stay_id", "t"), "stay_id")
-    first_late = (bounded.filter(F.col("hours") > F.col("t") + EDGE)
-                  .groupBy("stay_id").agg(F.min("row_no").alias("_late")))
-    return (bounded.drop("t").join(first_late, "stay_id", "left")
+    crowded = crowded_keys(obs, "stay_id")
+    bounds = labels.select("stay_id", "t")
+    late = (join_per_key(obs.select("stay_id", "row_no", "hours"), bounds, "stay_id", crowded=crowded)
+            .filter(F.col("hours") > F.col("t") + EDGE).groupBy("stay_id").agg(F.min("row_no").alias("_late")))
+    ends = bounds.select("stay_id").join(late, "stay_id", "left")
+    return (join_per_key(obs, ends, "stay_id", crowded=crowded)
             .filter(F.col("_late").isNull() | (F.col("row_no") < F.col("_late"))).drop("_late"))
 
 
 def drop_empty(labels: DataFrame, obs: DataFrame) -> DataFrame:
     """Label rows whose stay still has observations."""
-    return labels.join(obs.select("stay_id"), "stay_id", "left_semi")
+    return labels.join(obs.select("stay_id").distinct(), "stay_id", "left_semi")
 
 
 def skipped_stays(labels: DataFrame, obs: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def slotted(obs: DataFrame, period: Column, bucket: float = 1.0) -> DataFrame:
     """Add ``slot``; a stay ends at its first row beyond the period, in row order."""
     placed = obs.withColumn("slot", hour_slot(F.col("hours"), period, "stop", bucket))
     ends = placed.filter(F.col("slot").isNull()).groupBy("stay_id").agg(F.min("row_no").alias("_end"))
-    return (placed.join(ends, "stay_id", "left")
+    return (join_per_key(placed, ends, "stay_id", "left")
             .filter(F.col("_end").isNull() | (F.col("row_no") < F.col("_end"))).drop("_end"))
 
 
@@ -181,7 +184,7 @@ def pack_samples(dense: DataFrame, channels: list[str]) -> DataFrame:
 def pad_samples(df: DataFrame, group: str, width: int) -> DataFrame:
     """Pad ``x`` and ``mask`` to the longest sample of the group; ``valid`` flags the real steps."""
     longest = df.groupBy(group).agg(F.max("lens").alias("padded_lens"))
-    out = df.join(longest, group)
+    out = join_per_key(df, longest, group)
     return (out.withColumn("x", padded(F.col("x"), F.col("padded_lens"), width))
             .withColumn("mask", padded(F.col("mask").cast("array<array<double>>"), F.col("padded_lens"), width)
                         .cast("array<array<int>>"))

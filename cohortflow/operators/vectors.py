@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.scalars import array_sum
 from ..session import written
+from .joins import join_per_key
 
 BLOCK_ROWS = 2048
 SMALL_BYTES = 32 * 1024 * 1024
@@ -204,7 +205,7 @@ def _blocked(left: DataFrame, right: DataFrame, k: int, n: int, block_rows: int,
         """Top k of every left row against one right block, per block pair."""
         a_side = a_rows.select(F.col("block").alias("ab"), F.col("id").alias("src"), "vec").join(pairs, "ab")
         b_side = b_rows.select(F.col("block").alias("bb"), "first", "ids", "vec").join(pairs, "bb")
-        both = a_side.groupBy("ab", "bb").cogroup(b_side.groupBy("ab", "bb"))
+        both = a_side.repartition("ab", "bb").groupBy("ab", "bb").cogroup(b_side.repartition("ab", "bb").groupBy("ab", "bb"))
 
         def multiply(x, y):
             if not len(x) or not len(y):
@@ -279,7 +280,8 @@ def cosine_rows(a: DataFrame, b: DataFrame, a_id: str = "id", a_vec: str = "vec"
         return pd.DataFrame({"src": p["id"].to_numpy(), "block": int(q["bb"].iloc[0]),
                              "dst": [q["id"].tolist()] * len(p), "sims": list(sims)})
 
-    return x.groupBy("ab", "bb").cogroup(y.groupBy("ab", "bb")).applyInPandas(multiply, schema)
+    return (x.repartition("ab", "bb").groupBy("ab", "bb").cogroup(y.repartition("ab", "bb").groupBy("ab", "bb"))
+            .applyInPandas(multiply, schema))
 
 
 def sparse_dots(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -309,13 +311,15 @@ def topk_in_groups(a: DataFrame, b: DataFrame, k: int, group: str = "cohort", bl
 
     sizes = sized(a, "_pa").join(sized(b, "_pb"), group)
 
+    keys = [group, "ab", "bb"]
+
     def cut(df, own, other, own_block, other_block):
         steps = F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)
-        return (unit(df).join(sizes, group).withColumn(own_block, F.pmod(F.xxhash64("id"), F.col(own)))
+        rows = (join_per_key(unit(df), sizes, group).withColumn(own_block, F.pmod(F.xxhash64("id"), F.col(own)))
                 .withColumn(other_block, F.explode(steps)).drop("_pa", "_pb"))
+        return rows.repartition(*keys)  # else a join by group would keep all blocks of a group in one task
 
     x, y = cut(a, "_pa", "_pb", "ab", "bb"), cut(b, "_pb", "_pa", "bb", "ab")
-    keys = [group, "ab", "bb"]
     schema = T.StructType([T.StructField("src", x.schema["id"].dataType), x.schema[group],
                            T.StructField("dst", y.schema["id"].dataType), T.StructField("weight", T.DoubleType())])
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.arrays import checked_width, presence_mask
 from ..functions.scalars import bucketize_los, encode_category
 from ..operators import grids
+from ..operators.joins import join_per_key
 from ..operators.splits import split_counts, split_ratio
 from . import catalogue
 
@@ -45,7 +46,7 @@ def episode_samples(obs: DataFrame, labels: DataFrame, task: str, period: int, f
     if task == "mortality":
         grid = grids.grid_last(rows, period)
     else:
-        grid = grids.grid_mean(rows.join(slots, "stay_id"), F.col("n_slots"), normals if compat else None)
+        grid = grids.grid_mean(join_per_key(rows, slots, "stay_id"), F.col("n_slots"), normals if compat else None)
     packed = grids.pack_samples(grids.standardized(grid, stays, channels, F.col("n_slots"), fit_on), channels)
     return packed.join(labels.select("stay_id", "label"), "stay_id")
 

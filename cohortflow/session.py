@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -42,7 +42,7 @@ def written_with(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame,
     return table, watch.get
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only when at most ``max_rows`` rows exist; otherwise leave the choice to AQE."""
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+def drop_written(spark: SparkSession) -> None:
+    """Remove all tables this application wrote through :func:`written`; results must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortflow.operators.joins import join_per_key
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 SEED = 3407
@@ -36,7 +38,7 @@ def observations(spark, sf) -> DataFrame:
     """Users are stays, event types are channels, small values are missing cells."""
     e = table(spark, sf, "events")
     first = e.groupBy("user_id").agg(F.min("ts").alias("t0"))
-    return e.join(first, "user_id").select(
+    return join_per_key(e, first, "user_id").select(
         F.col("user_id").alias("stay_id"), F.col("event_id").alias("row_no"),
         (F.expr("timestampdiff(MICROSECOND, t0, ts)") / F.lit(3.6e9)).alias("hours"),
         F.col("event_type").alias("channel"), F.when(F.col("value") >= 8, F.col("value")).alias("raw"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .scalars import array_sum, softmax
+from .scalars import array_sum, let, softmax
 
 # The answer formats that are recognised.
 THINKING = r"(?s)<think>.*?</think>"
@@ -69,6 +69,7 @@ def option_vector(scores: Column, options) -> Column:
     """Option scores rescaled to sum to one; missing counts as 0, nothing usable gives the uniform vector."""
     k = len(options)
     values = F.array(*[F.coalesce(F.try_element_at(scores, F.lit(o)).cast("double"), F.lit(0.0)) for o in options])
-    total = array_sum(values)
     uniform = F.array_repeat(F.lit(1.0 / k), k)
-    return F.when(scores.isNull() | (total <= 0), uniform).otherwise(F.transform(values, lambda v: v / total))
+    shares = let(values, lambda w: let(array_sum(w), lambda total: F.when(total > 0, F.transform(
+        w, lambda v: v / total)).otherwise(uniform)))
+    return F.when(scores.isNull(), uniform).otherwise(shares)

@@ -137,9 +137,9 @@ def array_sum(c: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Softmax shifted by the maximum."""
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda v: F.exp(v.cast("double") - top.cast("double")))
-    return F.transform(weights, lambda w: w / array_sum(weights))
+    weights = let(F.array_max(logits).cast("double"), lambda top: F.transform(
+        logits, lambda v: F.exp(v.cast("double") - top)))
+    return let(weights, lambda w: let(array_sum(w), lambda total: F.transform(w, lambda x: x / total)))
 
 
 def risk(logits: Column) -> Column:

@@ -32,7 +32,7 @@ def multinomial_weights(df: DataFrame, cols, draws: int, seed: int) -> DataFrame
     spark = df.sparkSession
     cells = written(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")), "cells")
     pieces = max(1, min(MAX_PIECES, -(-cells.count() // CELLS_PER_PIECE)))
-    cells = cells.withColumn("piece", F.pmod(F.xxhash64(*cols), F.lit(pieces)))
+    cells = cells.withColumn("_order", F.xxhash64(*cols)).withColumn("piece", F.pmod("_order", F.lit(pieces)))
     sizes = {r["piece"]: r["n"] for r in cells.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     keys = np.array(sorted(sizes), dtype=np.int64)
     counts = np.array([sizes[k] for k in keys], dtype=np.int64)
@@ -49,18 +49,21 @@ def multinomial_weights(df: DataFrame, cols, draws: int, seed: int) -> DataFrame
                           + [T.StructField("weight", T.LongType())])
 
     def place(cell_rows, share_rows):
-        cell_rows = cell_rows.sort_values(cols, kind="stable").reset_index(drop=True)
+        # Array cells have no pandas order; their hash gives one.
+        cell_rows = cell_rows.sort_values("_order", kind="stable").reset_index(drop=True)
         p = cell_rows["n"].to_numpy(dtype=float)
         p = p / p.sum()
-        parts = []
+        reps, places, weights = [], [], []
         for b, drawn, piece in zip(share_rows["replicate"], share_rows["drawn"], share_rows["piece"]):
             got = np.random.default_rng([seed, int(b), int(piece) + 1]).multinomial(int(drawn), p)
             hit = np.nonzero(got)[0]
-            part = cell_rows.loc[hit, cols].copy()
-            part.insert(0, "replicate", int(b))
-            part["weight"] = got[hit]
-            parts.append(part)
-        return pd.concat(parts) if parts else pd.DataFrame(columns=schema.names)
+            reps.append(np.full(len(hit), int(b)))
+            places.append(hit)
+            weights.append(got[hit])
+        out = cell_rows[cols].iloc[np.concatenate(places)].reset_index(drop=True)
+        out.insert(0, "replicate", np.concatenate(reps))
+        out["weight"] = np.concatenate(weights)
+        return out
 
     return cells.groupBy("piece").cogroup(shares.groupBy("piece")).applyInPandas(place, schema)
 

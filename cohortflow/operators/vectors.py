@@ -13,30 +13,35 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.scalars import array_sum
-from ..session import written
+from ..functions.scalars import array_sum, let
+from ..session import written, written_with
 from .joins import join_per_key
 
 BLOCK_ROWS = 2048
 SMALL_BYTES = 32 * 1024 * 1024
 MAX_PIVOTS = 256
+MAX_DENSE = 65536
 SLACK = 1e-9  # angles are compared with a little room, so rounding can only keep a block, never drop it
 
 
 def norm(c: Column) -> Column:
-    return F.sqrt(array_sum(F.transform(c, lambda v: v.cast("double") * v.cast("double"))))
+    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
 
 
 def l2_normalize(c: Column, eps: float = 1e-12) -> Column:
     """Row divided by (its length + eps)."""
-    return F.transform(c, lambda v: v.cast("double") / (norm(c) + F.lit(eps)))
+    return let(norm(c) + F.lit(eps), lambda n: F.transform(c, lambda v: v.cast("double") / n))
 
 
-def with_unit(df: DataFrame, id_col: str, vec: str, eps: float = 1e-12) -> DataFrame:
-    """(id, unit vector); the length is computed once per row."""
-    lengths = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).withColumn(
-        "n", norm(F.col("v")) + F.lit(eps))
-    return lengths.select("id", F.transform("v", lambda x: x / F.col("n")).alias("vec"))
+def with_unit(df: DataFrame, id_col: str, vec: str, *keep: str) -> DataFrame:
+    """(id, unit vector) and the columns to keep."""
+    return df.select(F.col(id_col).alias("id"), l2_normalize(F.col(vec)).alias("vec"), *keep)
+
+
+def _evened(df: DataFrame, *keys) -> DataFrame:
+    """Rows over all cores before a step whose work per byte is high; a few input files would else limit it."""
+    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(max(int(conf), df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def centroids(df: DataFrame, cohort: str, vec: str) -> DataFrame:
@@ -74,8 +79,10 @@ def tfidf_embed(df: DataFrame, id_col: str, text: str, max_features: int = 4096)
 
 
 def sparse_to_dense(sparse: DataFrame) -> DataFrame:
-    """``(id, vec)`` with one position per vocabulary term in term order."""
-    terms = sorted(r["term"] for r in sparse.select("term").distinct().collect())  # at most max_features terms
+    """``(id, vec)`` with one position per vocabulary term in term order; for capped vocabularies only."""
+    terms = sorted(r["term"] for r in sparse.select("term").distinct().limit(MAX_DENSE + 1).collect())
+    if len(terms) > MAX_DENSE:
+        raise ValueError(f"more than {MAX_DENSE} terms: keep the sparse form, or cap the vocabulary first")
     index = sparse.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")
     packed = sparse.join(F.broadcast(index), "term").groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
@@ -117,16 +124,48 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(a @ b.T, 12)
 
 
-def _copies(units: DataFrame, keep: int) -> DataFrame:
-    """Distinct vectors with the smallest ids that carry them: ``(first, ids, vec)``.
+def _copies(units: DataFrame, keep: int, by=()) -> DataFrame:
+    """Distinct vectors with the smallest ids that carry them: ``(*by, first, ids, vec)``.
 
     Of a group of exact copies only the ``keep`` smallest ids can ever be among the nearest, ties being
     broken by id; so copies cost one vector each search, however many there are.
     """
-    w = Window.partitionBy("vec").orderBy("id")
+    w = Window.partitionBy(*by, "vec").orderBy("id")
     few = units.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
-    grouped = few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return grouped.select(F.element_at("ids", 1).alias("first"), "ids", "vec")
+    grouped = few.groupBy(*by, "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return grouped.select(*by, F.element_at("ids", 1).alias("first"), "ids", "vec")
+
+
+def _packed(rows: DataFrame, keys, id_col: str, prefix: str) -> DataFrame:
+    """One row per block: its ids in order and all its vectors in one flat array."""
+    content = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), "vec")))  # at most block_rows or so
+    return rows.groupBy(*keys).agg(content.alias("_c")).select(
+        *keys, F.transform("_c", lambda c: c["id"]).alias(f"{prefix}_ids"),
+        F.flatten(F.transform("_c", lambda c: c["vec"])).alias(f"{prefix}_flat"))
+
+
+def _block_products(blocks: DataFrame, k: int, schema: T.StructType, keep=()) -> DataFrame:
+    """k best right rows of every left row, per row of ``blocks`` (one packed left and one packed right block)."""
+    keep = list(keep)
+
+    def multiply(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                left, right = np.asarray(row.a_ids), np.asarray(row.b_ids)
+                weights = _products(np.asarray(row.a_flat, dtype=np.float64).reshape(len(left), -1),
+                                    np.asarray(row.b_flat, dtype=np.float64).reshape(len(right), -1))
+                r, c = _best(weights, k)
+                out = {"src": left[r], "first": right[c], "weight": weights[r, c]}
+                out.update({name: getattr(row, name) for name in keep})
+                yield pd.DataFrame(out)[schema.names]
+
+    return blocks.mapInPandas(multiply, schema)
+
+
+def _spread(pairs: DataFrame, n_pairs: int, *keys) -> DataFrame:
+    """Block pairs over enough tasks: a small pair table would else stay in a few partitions."""
+    width = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(max(1, min(n_pairs, width)), *keys)
 
 
 def all_pairs_topk(a: DataFrame, b: DataFrame, k: int, a_id: str = "id", a_vec: str = "vec", b_id: str = "id",
@@ -137,42 +176,40 @@ def all_pairs_topk(a: DataFrame, b: DataFrame, k: int, a_id: str = "id", a_vec:
     Order: weight descending (to 12 decimals), then the smaller id. With ``exclude_self`` a row is not its
     own neighbour.
     """
-    left = with_unit(a, a_id, a_vec)
+    left = with_unit(_evened(a.select(a_id, a_vec), a_id), a_id, a_vec)
     groups = k + 1 if exclude_self else k
     right = written(_copies(with_unit(b, b_id, b_vec), groups), "vectors")
     shape = right.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     n, dim = shape["n"], shape["d"] or 1
-    src_type, dst_type = left.schema["id"].dataType, right.schema["first"].dataType
-    schema = T.StructType([T.StructField("src", src_type), T.StructField("first", dst_type),
-                           T.StructField("ids", T.ArrayType(dst_type)), T.StructField("weight", T.DoubleType())])
+    schema = T.StructType([T.StructField("src", left.schema["id"].dataType),
+                           T.StructField("first", right.schema["first"].dataType), T.StructField("weight", T.DoubleType())])
+    carriers = right.select("first", "ids")
     if n <= block_rows and n * dim * 8 <= small_bytes:
-        rows = right.toPandas().sort_values("first")  # size checked just above
-        first, ids, mat = rows["first"].to_numpy(), rows["ids"].tolist(), _matrix(rows["vec"]) if n else None
+        rows = right.select("first", "vec").toPandas().sort_values("first")  # size checked just above
+        first, mat = rows["first"].to_numpy(), _matrix(rows["vec"]) if n else None
 
         def search(batches):
             for pdf in batches:
-                for start in range(0, len(pdf), block_rows):
+                for start in range(0, len(pdf) if n else 0, block_rows):
                     part = pdf.iloc[start:start + block_rows]
-                    if n == 0 or len(part) == 0:
-                        continue
                     weights = _products(_matrix(part["vec"]), mat)
                     r, c = _best(weights, groups)
-                    yield pd.DataFrame({"src": part["id"].to_numpy()[r], "first": first[c],
-                                        "ids": [ids[i] for i in c], "weight": weights[r, c]})
+                    yield pd.DataFrame({"src": part["id"].to_numpy()[r], "first": first[c], "weight": weights[r, c]})
 
         found = left.mapInPandas(search, schema)
+        carriers = F.broadcast(carriers)
     else:
-        found = _blocked(left, right, groups, n, block_rows, schema)
         top = Window.partitionBy("src").orderBy(F.desc("weight"), "first")
+        found = _blocked(left, right, groups, n, block_rows, schema)
         found = found.withColumn("_g", F.row_number().over(top)).filter(F.col("_g") <= groups).drop("_g")
-    pairs = found.select("src", F.explode("ids").alias("dst"), "weight")
+    pairs = found.join(carriers, "first").select("src", F.explode("ids").alias("dst"), "weight")
     if exclude_self:
         pairs = pairs.filter(F.col("src") != F.col("dst"))
     order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _blocked(left: DataFrame, right: DataFrame, k: int, n: int, block_rows: int, schema) -> DataFrame:
+def _blocked(left: DataFrame, right: DataFrame, k: int, n: int, block_rows: int, schema: T.StructType) -> DataFrame:
     """Pivot cells, bounded blocks inside cells, and block products limited by an angle bound."""
     m = min(MAX_PIVOTS, max(2, -(-n // block_rows)))
     chosen = right.orderBy(F.xxhash64("first"), "first").limit(m).select("vec").collect()
@@ -197,32 +234,24 @@ def _blocked(left: DataFrame, right: DataFrame, k: int, n: int, block_rows: int,
         piece = F.pmod(F.xxhash64(id_col, F.lit(7)), F.col("pieces"))
         return rows.join(F.broadcast(pieces), "cell").withColumn("block", F.shiftleft("cell", 32) + piece).drop("pieces")
 
-    a_rows, b_rows = placed(left, "id", "left"), placed(right, "first", "right")
+    a_rows = placed(left, "id", "left")
+    b_rows = placed(right.select("first", "vec"), "first", "right")
     b_meta = b_rows.groupBy("block", "cell").agg(F.max("angle").alias("radius"))
     a_meta = a_rows.groupBy("block", "cell").agg(F.max("angle").alias("radius"))
+    a_pack = written(_packed(a_rows.withColumnRenamed("block", "ab"), ["ab"], "id", "a"), "left-blocks")
+    b_pack = written(_packed(b_rows.withColumnRenamed("block", "bb"), ["bb"], "first", "b"), "right-blocks")
+    with_block = T.StructType(schema.fields + [T.StructField("ab", T.LongType())])
 
-    def products(pairs: DataFrame) -> DataFrame:
+    def products(pairs: DataFrame, name: str) -> DataFrame:
         """Top k of every left row against one right block, per block pair."""
-        a_side = a_rows.select(F.col("block").alias("ab"), F.col("id").alias("src"), "vec").join(pairs, "ab")
-        b_side = b_rows.select(F.col("block").alias("bb"), "first", "ids", "vec").join(pairs, "bb")
-        both = a_side.repartition("ab", "bb").groupBy("ab", "bb").cogroup(b_side.repartition("ab", "bb").groupBy("ab", "bb"))
-
-        def multiply(x, y):
-            if not len(x) or not len(y):
-                return pd.DataFrame(columns=[*schema.names, "ab"])
-            y = y.sort_values("first").reset_index(drop=True)
-            weights = _products(_matrix(x["vec"]), _matrix(y["vec"]))
-            r, c = _best(weights, k)
-            return pd.DataFrame({"src": x["src"].to_numpy()[r], "first": y["first"].to_numpy()[c],
-                                 "ids": y["ids"].iloc[c].tolist(), "weight": weights[r, c],
-                                 "ab": x["ab"].iloc[0]})
-
-        return both.applyInPandas(multiply, T.StructType(schema.fields + [T.StructField("ab", T.LongType())]))
+        pairs, seen = written_with(pairs, name, n=F.count(F.lit(1)))
+        blocks = _spread(pairs, seen["n"], "ab", "bb").join(a_pack, "ab").join(b_pack, "bb")
+        return _block_products(blocks, k, with_block, ["ab"])
 
     # Round one: each left block meets one right block of its own cell, which gives a first k-th weight.
-    home = b_meta.groupBy("cell").agg(F.min("block").alias("bb"))
+    home = b_meta.groupBy("cell").agg(F.min("block").alias("bb"))  # one row per pivot cell
     near_pairs = a_meta.select(F.col("block").alias("ab"), "cell").join(F.broadcast(home), "cell").select("ab", "bb")
-    first_found = written(products(near_pairs), "near")
+    first_found = written(products(near_pairs, "near-pairs"), "near")
     per_row = first_found.groupBy("ab", "src").agg(F.count(F.lit(1)).alias("c"), F.min("weight").alias("w"))
     floors = per_row.groupBy("ab").agg(F.min(F.when(F.col("c") < k, F.lit(-2.0)).otherwise(F.col("w"))).alias("floor"))
 
@@ -245,7 +274,7 @@ def _blocked(left: DataFrame, right: DataFrame, k: int, n: int, block_rows: int,
     bound = F.cos(F.greatest(F.lit(0.0), F.col("gap") - F.col("radius") - F.col("r_b") - SLACK))
     far_pairs = (targets.join(other, "cell").filter(bound >= F.col("floor") - SLACK).select("ab", "bb")
                  .join(near_pairs, ["ab", "bb"], "left_anti"))
-    far = products(written(far_pairs, "pairs"))
+    far = products(far_pairs, "pairs")
     return first_found.select(*schema.names).unionByName(far.select(*schema.names))
 
 
@@ -262,26 +291,25 @@ def cosine_rows(a: DataFrame, b: DataFrame, a_id: str = "id", a_vec: str = "vec"
     with the right side and no pair table is shuffled.
     """
     left, right = with_unit(a, a_id, a_vec), with_unit(b, b_id, b_vec)
-    n_b, n_a = right.count(), left.count()
-    pb, pa = max(1, -(-n_b // block_rows)), max(1, -(-n_a // block_rows))
-    x = (left.withColumn("ab", F.pmod(F.xxhash64("id"), F.lit(pa)))
-         .withColumn("bb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pb - 1).cast("bigint")))))
-    y = (right.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(pb)))
-         .withColumn("ab", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pa - 1).cast("bigint")))))
+    n_a, n_b = left.count(), right.count()
+    pa, pb = max(1, -(-n_a // block_rows)), max(1, -(-n_b // block_rows))
+    a_pack = _packed(left.withColumn("ab", F.pmod(F.xxhash64("id"), F.lit(pa))), ["ab"], "id", "a")
+    b_pack = _packed(right.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(pb))), ["bb"], "id", "b")
+    pairs = a.sparkSession.range(pa * pb).select(F.floor(F.col("id") / pb).alias("ab"), (F.col("id") % pb).alias("bb"))
+    blocks = _spread(pairs, pa * pb, "ab", "bb").join(a_pack, "ab").join(b_pack, "bb")
     schema = T.StructType([T.StructField("src", left.schema["id"].dataType), T.StructField("block", T.LongType()),
                            T.StructField("dst", T.ArrayType(right.schema["id"].dataType)),
                            T.StructField("sims", T.ArrayType(T.DoubleType()))])
 
-    def multiply(p, q):
-        if not len(p) or not len(q):
-            return pd.DataFrame(columns=schema.names)
-        q = q.sort_values("id")
-        sims = _products(_matrix(p["vec"]), _matrix(q["vec"]))
-        return pd.DataFrame({"src": p["id"].to_numpy(), "block": int(q["bb"].iloc[0]),
-                             "dst": [q["id"].tolist()] * len(p), "sims": list(sims)})
+    def multiply(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x = np.asarray(row.a_flat, dtype=np.float64).reshape(len(row.a_ids), -1)
+                y = np.asarray(row.b_flat, dtype=np.float64).reshape(len(row.b_ids), -1)
+                yield pd.DataFrame({"src": row.a_ids, "block": int(row.bb), "dst": [row.b_ids] * len(x),
+                                    "sims": list(_products(x, y))})
 
-    return (x.repartition("ab", "bb").groupBy("ab", "bb").cogroup(y.repartition("ab", "bb").groupBy("ab", "bb"))
-            .applyInPandas(multiply, schema))
+    return blocks.mapInPandas(multiply, schema)
 
 
 def sparse_dots(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -301,37 +329,35 @@ def topk_in_groups(a: DataFrame, b: DataFrame, k: int, group: str = "cohort", bl
     ``a(group, id, vec)``, ``b(group, id, vec)``. Groups are cut into blocks of bounded size on both sides and
     only the k best of a block leave it, so a group may hold any share of the rows.
     """
-    def sized(df, name):
-        return df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))
+    left = written(with_unit(_evened(a, "id"), "id", "vec", group), "asked")
+    right = written(_copies(with_unit(_evened(b, "id"), "id", "vec", group), k, [group]), "members")
 
-    def unit(df):
-        lengths = df.select(group, "id", F.col("vec").cast("array<double>").alias("v")).withColumn(
-            "n", norm(F.col("v")) + F.lit(1e-12))
-        return lengths.select(group, "id", F.transform("v", lambda x: x / F.col("n")).alias("vec"))
-
-    sizes = sized(a, "_pa").join(sized(b, "_pb"), group)
+    def blocks_of(df, name):
+        return df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))
 
-    keys = [group, "ab", "bb"]
+    sizes = written(blocks_of(left, "pa").join(blocks_of(right, "pb"), group), "sizes")
 
-    def cut(df, own, other, own_block, other_block):
-        steps = F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)
-        rows = (join_per_key(unit(df), sizes, group).withColumn(own_block, F.pmod(F.xxhash64("id"), F.col(own)))
-                .withColumn(other_block, F.explode(steps)).drop("_pa", "_pb"))
-        return rows.repartition(*keys)  # else a join by group would keep all blocks of a group in one task
+    def cut(df, id_col, pieces, block):
+        known = join_per_key(df, sizes.select(group, pieces), group)
+        return known.withColumn(block, F.pmod(F.xxhash64(id_col), F.col(pieces))).drop(pieces)
 
-    x, y = cut(a, "_pa", "_pb", "ab", "bb"), cut(b, "_pb", "_pa", "bb", "ab")
-    schema = T.StructType([T.StructField("src", x.schema["id"].dataType), x.schema[group],
-                           T.StructField("dst", y.schema["id"].dataType), T.StructField("weight", T.DoubleType())])
+    # Explicit repartitioning: after a join by group all blocks of a group would be packed in one task.
+    a_pack = _packed(cut(left, "id", "pa", "ab").repartition(group, "ab"), [group, "ab"], "id", "a")
+    b_pack = _packed(cut(right.select(group, "first", "vec"), "first", "pb", "bb").repartition(group, "bb"),
+                     [group, "bb"], "first", "b")
 
-    def multiply(p, q):
-        if not len(p) or not len(q):
-            return pd.DataFrame(columns=schema.names)
-        q = q.sort_values("id")
-        weights = _products(_matrix(p["vec"]), _matrix(q["vec"]))
-        r, c = _best(weights, k)
-        return pd.DataFrame({"src": p["id"].to_numpy()[r], group: p[group].iloc[0],
-                             "dst": q["id"].to_numpy()[c], "weight": weights[r, c]})
+    def steps(c):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
 
-    found = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(multiply, schema)
+    pairs = sizes.select(group, "pb", steps("pa").alias("ab")).select(group, "ab", steps("pb").alias("bb"))
+    n_pairs = sizes.agg(F.sum(F.col("pa") * F.col("pb")).alias("n")).first()["n"] or 1
+    blocks = _spread(pairs, n_pairs, group, "ab", "bb").join(a_pack, [group, "ab"]).join(b_pack, [group, "bb"])
+    schema = T.StructType([T.StructField("src", left.schema["id"].dataType), left.schema[group],
+                           T.StructField("first", right.schema["first"].dataType), T.StructField("weight", T.DoubleType())])
+    found = _block_products(blocks, k, schema, [group])
+    near = Window.partitionBy("src", group).orderBy(F.desc("weight"), "first")
+    best = found.withColumn("_g", F.row_number().over(near)).filter(F.col("_g") <= k).drop("_g")
     w = Window.partitionBy("src", group).orderBy(F.desc("weight"), "dst")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (best.join(right.select(group, "first", "ids"), [group, "first"])
+            .select("src", group, F.explode("ids").alias("dst"), "weight")
+            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))

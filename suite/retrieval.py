@@ -131,7 +131,8 @@ fr AS (SELECT DISTINCT query_id, node FROM (SELECT *, row_number() OVER (PARTITI
 
 
 def _frontier(spark, sf):
-    return retrieval.frontier(_queries(spark, sf), _cands(spark, sf), _members(spark, sf), 2)
+    cands = written(_cands(spark, sf).select("query_id", "cohort"), "candidates")
+    return retrieval.frontier(_queries(spark, sf), cands, _members(spark, sf), 2)
 
 
 @query("frontier", f"WITH {FRONT} SELECT query_id, node FROM fr")

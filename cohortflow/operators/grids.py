@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import padded, valid_steps
 from ..functions.hashing import hash_uniform
-from ..functions.scalars import literal_map
+from ..functions.scalars import let, literal_map
 from .joins import crowded_keys, join_per_key
 
 EDGE = 1e-6
@@ -191,32 +191,35 @@ def pad_samples(df: DataFrame, group: str, width: int) -> DataFrame:
             .withColumn("valid", valid_steps(F.col("lens"), F.col("padded_lens"))))
 
 
+def _pairwise(a: Column, b: Column, fn) -> Column:
+    """Cell by cell function of two equally shaped matrices."""
+    return F.zip_with(a, b, lambda p, q: F.zip_with(p, q, fn))
+
+
 def mask_cells(df: DataFrame, id_col: str, lo: float, hi: float, seed: int, only: Column | None = None) -> DataFrame:
     """Random cell masking: the ratio is drawn per row in [lo, hi], a cell is hidden when its draw is below it.
 
     Adds ``kept_mask`` and ``hidden_mask`` and zeroes hidden cells of ``x``. ``only`` limits the rows touched.
     """
-    ratio = hash_uniform(id_col, seed) * F.lit(hi - lo) + F.lit(lo)
     active = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
-
-    def cells(matrix, fn):
-        return F.transform(matrix, lambda row, i: F.transform(
-            row, lambda v, j: fn(v, active & (hash_uniform(id_col, i, j, seed) < ratio))))
-
-    return (df.withColumn("kept_mask", cells(F.col("mask"), lambda m, hide: F.when(hide, 0).otherwise(m)))
-            .withColumn("hidden_mask", cells(F.col("mask"), lambda m, hide: F.when(hide, m).otherwise(0)))
-            .withColumn("x", cells(F.col("x"), lambda v, hide: F.when(hide, 0.0).otherwise(v.cast("double")))))
+    ratio = hash_uniform(id_col, seed) * F.lit(hi - lo) + F.lit(lo)
+    hide = let(ratio, lambda r: F.transform("mask", lambda row, i: F.transform(
+        row, lambda m, j: active & (hash_uniform(id_col, i, j, seed) < r))))
+    h = F.col("_hide")
+    return (df.withColumn("_hide", hide)
+            .withColumn("kept_mask", _pairwise(F.col("mask"), h, lambda m, hid: F.when(hid, 0).otherwise(m)))
+            .withColumn("hidden_mask", _pairwise(F.col("mask"), h, lambda m, hid: F.when(hid, m).otherwise(0)))
+            .withColumn("x", _pairwise(F.col("x"), h, lambda v, hid: F.when(hid, 0.0).otherwise(v.cast("double"))))
+            .drop("_hide"))
 
 
 def drop_cells(df: DataFrame, id_col: str, rate: float, seed: int, only: Column | None = None) -> DataFrame:
     """Hide present cells at a fixed rate: a hidden cell gets x = 0 and mask = 0."""
     active = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
-
-    def hide(i, j, m):
-        return active & (m == 1) & (hash_uniform(id_col, i, j, seed) < F.lit(rate))
-
-    new_x = F.transform(F.col("x"), lambda row, i: F.transform(row, lambda v, j: F.when(
-        hide(i, j, F.element_at(F.element_at(F.col("mask"), i + 1), j + 1)), 0.0).otherwise(v.cast("double"))))
-    new_mask = F.transform(F.col("mask"), lambda row, i: F.transform(row, lambda m, j: F.when(
-        hide(i, j, m), 0).otherwise(m)))
-    return df.withColumn("_x", new_x).withColumn("mask", new_mask).drop("x").withColumnRenamed("_x", "x")
+    hide = F.transform("mask", lambda row, i: F.transform(
+        row, lambda m, j: active & (m == 1) & (hash_uniform(id_col, i, j, seed) < F.lit(rate))))
+    h = F.col("_hide")
+    return (df.withColumn("_hide", hide)
+            .withColumn("x", _pairwise(F.col("x"), h, lambda v, hid: F.when(hid, 0.0).otherwise(v.cast("double"))))
+            .withColumn("mask", _pairwise(F.col("mask"), h, lambda m, hid: F.when(hid, 0).otherwise(m)))
+            .drop("_hide"))

@@ -30,3 +30,10 @@ def join_per_key(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     few = F.broadcast(small.filter(hot))  # one row per crowded key
     rest = big.filter(~F.coalesce(hot, F.lit(False))).join(small.filter(~hot), key, how)
     return rest.unionByName(big.filter(hot).join(few, key, how))
+
+
+def lookup(df: DataFrame, dim: DataFrame, key: str, max_rows: int = 100_000) -> DataFrame:
+    """Left join with a settings table: broadcast when it has at most ``max_rows`` rows, else by key."""
+    if dim.limit(max_rows + 1).count() <= max_rows:
+        return df.join(F.broadcast(dim), key, "left")
+    return join_per_key(df, dim, key, "left")

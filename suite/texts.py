@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from cohortflow.functions import answers
-from cohortflow.operators import entropy, metrics, rendering
+from cohortflow.operators import entropy, metrics, rendering, splits
+from cohortflow.operators.joins import lookup
+from cohortflow.operators.vectors import l2_normalize
 from cohortflow.plans import catalogue
+from cohortflow.session import work_folder
 from cohortflow.sources import tables
-from cohortflow.sources.episodes import channel_header, pool, visits
+from cohortflow.sources.episodes import channel_header, pool, read_questions, visits
 
-from .base import CHANNELS, DAY, OBS, observations, query, r6, table
+from .base import CHANNELS, DAY, OBS, PRED, SEED, observations, predictions, query, r6, sql_hash, table
 
 UNITS = {"click": "Unit: n.", "error": "Unit: /.", "purchase": "Unit: EUR.", "signup": "Unit: /.", "view": "Unit: n."}
 RANGES = {c: f"Reference range: 0 - {100 + i}." for i, c in enumerate(CHANNELS)}
@@ -332,3 +337,64 @@ p AS (SELECT split, piece, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS d
 SELECT split, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(d, '' ORDER BY piece)) AS digest FROM p GROUP BY split""")
 def fingerprint(spark, sf):
     return tables.fingerprint(table(spark, sf, "documents"), "doc_id", "text", "lang")
+
+
+@query("lookup", """
+SELECT c_custkey, n_name, n_regionkey FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def lookup_query(spark, sf):
+    dim = table(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    return lookup(table(spark, sf, "customer"), dim, "c_nationkey").select("c_custkey", "n_name", "n_regionkey")
+
+
+# ---- stored tables -------------------------------------------------------------------------------------------------
+
+def _fresh_folder(spark):
+    return f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}/stored-{uuid.uuid4().hex}"
+
+
+@query("stored_embeddings", """
+SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-12), 6) AS u1 FROM embeddings""")
+def stored_embeddings(spark, sf):
+    """Computed once under the key of the texts, then read back under the same key."""
+    e = table(spark, sf, "embeddings")
+    prints = tables.fingerprint(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    key, base = tables.cache_key(prints, {"vectors": "unit"}), _fresh_folder(spark)
+
+    def compute():
+        return e.select("vec_id", l2_normalize(F.col("embedding")).alias("vec"))
+
+    tables.cached(spark, base, key, ["vec_id", "vec"], compute)
+    found = tables.cached(spark, base, key, ["vec_id", "vec"], lambda: e.limit(0))
+    return found.select("vec_id", r6(F.col("vec")[0], "u1"))
+
+
+@query("prepared_table", f"""
+WITH r AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY {sql_hash('c_custkey', str(SEED))}, c_custkey) - 1 AS rank0, count(*) OVER () AS n FROM customer)
+SELECT CASE WHEN rank0 < floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN rank0 < floor(n * CAST(0.8 AS DOUBLE)) + floor(n * ((1 - CAST(0.8 AS DOUBLE)) / 2)) THEN 'val' ELSE 'test' END AS split,
+       count(*) AS n, round(sum(c_acctbal), 2) AS total FROM r GROUP BY 1""")
+def prepared_table(spark, sf):
+    base = _fresh_folder(spark)
+    rows = splits.split_ratio(table(spark, sf, "customer"), "c_custkey", 0.8, SEED)
+    tables.write_prepared(rows, base, "customers", SEED, 48)
+    back = tables.read_prepared(spark, base, "customers", SEED, 48)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("question_file", """
+SELECT p_type AS question_type, p_name AS question, p_brand AS option_a, CAST(p_size AS VARCHAR) AS option_b FROM part""")
+def question_file(spark, sf):
+    """Parts written as question lines and read by the question source."""
+    path = _fresh_folder(spark)
+    option = F.create_map(F.lit("A"), F.col("p_brand"), F.lit("B"), F.col("p_size").cast("string"))
+    table(spark, sf, "part").select(F.col("p_type").alias("question_type"), F.col("p_name").alias("question"),
+                                    option.alias("option")).write.json(path)
+    q = read_questions(spark, path)
+    return q.select("question_type", "question", F.col("option")["A"].alias("option_a"), F.col("option")["B"].alias("option_b"))
+
+
+@query("metric_file", f"""WITH {PRED}
+SELECT l_linestatus, round(avg((score - label) * (score - label)), 6) AS brier FROM pred GROUP BY 1""")
+def metric_file(spark, sf):
+    path = _fresh_folder(spark)
+    tables.write_metrics(metrics.brier(predictions(spark, sf), "score", "label", ["l_linestatus"]), path)
+    return spark.read.schema("l_linestatus string, brier double").json(path).select("l_linestatus", r6("brier"))

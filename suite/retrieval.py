@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortflow.operators import cohorts, entropy, retrieval, splits, vectors
 from cohortflow.operators.scoring import score_batches
 from cohortflow.plans.retrieve import RetrievalSettings, retrieve
-from cohortflow.session import written
+from cohortflow.session import written, written_with
 
 from .base import SEED, floyd_sql, query, r6, sql_hash, table
 
@@ -107,6 +107,34 @@ def detect_cohorts(spark, sf):
     return cohorts.detect_cohorts(nodes, cohorts.undirect(_knn(spark, sf)))
 
 
+@query("cohort_properties", """
+SELECT count(*) AS n_nodes, count(*) AS n_covered, 0 AS n_unreached, TRUE AS beats_singletons, TRUE AS beats_one_cohort FROM embeddings""")
+def cohort_properties(spark, sf):
+    """Found cohorts cover all nodes, each is connected, and the quality beats both trivial labellings."""
+    nodes = _emb(spark, sf).select(F.col("vec_id").alias("node"))
+    und = written(cohorts.undirect(_knn(spark, sf)), "edges")
+    found = written(cohorts.detect_cohorts(nodes, und), "cohorts")
+    ends = found.select(F.col("node").alias("b"), F.col("cohort").alias("cb"))
+    inner = und.join(found.withColumnRenamed("node", "a"), "a").join(ends, "b").filter("cohort = cb").select("a", "b")
+    both = written(inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"))), "inner")
+    # A cohort is named by its smallest member: everything in it must be reached from there.
+    reached = found.select("cohort").distinct().select(F.col("cohort").alias("node"))
+    size = 0
+    while True:
+        step = reached.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"))
+        reached, seen = written_with(reached.union(step).distinct(), "reached", n=F.count(F.lit(1)))
+        if seen["n"] == size:
+            break
+        size = seen["n"]
+    quality = [cohorts.partition_quality(und, c).select("quality") for c in (
+        found, nodes.withColumn("cohort", F.col("node")), nodes.withColumn("cohort", F.lit(0)))]
+    got, single, one = (q.first()["quality"] for q in quality)
+    counts = nodes.join(found, "node", "left").join(reached.withColumn("hit", F.lit(1)), "node", "left")
+    return counts.agg(F.count("node").alias("n_nodes"), F.count("cohort").alias("n_covered"),
+                      F.count_if(F.col("hit").isNull()).cast("int").alias("n_unreached")).select(
+        "*", F.lit(got > single).alias("beats_singletons"), F.lit(got > one).alias("beats_one_cohort"))
+
+
 def _queries(spark, sf):
     return _emb(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
 

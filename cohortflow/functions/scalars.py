@@ -160,7 +160,8 @@ def argmax_letter(logits: Column) -> Column:
 def attention_map(names: Column, scores: Column) -> Column:
     """Name -> score; the last score belongs to the demographics and is keyed ``demo``.
 
-    Only as many names as there are feature scores are used.
+    Names beyond the feature scores, and scores beyond the names, are left out.
     """
-    n = F.size(scores) - 1
-    return F.map_from_arrays(F.concat(F.slice(names, F.lit(1), n), F.array(F.lit("demo"))), scores)
+    n = F.least(F.size(names), F.size(scores) - 1)
+    return F.map_from_arrays(F.concat(F.slice(names, F.lit(1), n), F.array(F.lit("demo"))),
+                             F.concat(F.slice(scores, F.lit(1), n), F.slice(scores, -1, 1)))

@@ -122,7 +122,8 @@ def bootstrap_regression(df, pred, label, draws: int = 1000, level: float = 0.95
     return summary(per, regression_metrics(df, pred, label), REGRESSION, level)
 
 
-def _multiclass_wide(df, probs, label, by=(), weight=None, edges=None) -> DataFrame:
+def multiclass_wide(df, probs, label, by=(), weight=None, edges=None) -> DataFrame:
+    """AUC means and the class report in one row per group."""
     # A class without both kinds of rows has no AUC, and then neither macro nor weighted is defined.
     auc = ovr_auc(df, probs, label, by, weight, edges, one_class=None)
     scopes = [F.max(F.when(F.col("scope") == s, F.col("auc"))).alias(f"auc_{s}") for s in ("micro", "macro", "weighted")]
@@ -138,8 +139,8 @@ def bootstrap_multiclass(df, probs, label, draws: int = 1000, level: float = 0.9
     flat = df.select(*([id_col] if id_col else []), F.col(probs).cast("array<double>").alias(probs), label)
     edges = range_edges(flat.select(F.explode(probs).alias("s")), "s")
     sample = replicates(flat, [probs, label], draws, seed, id_col)
-    per = _multiclass_wide(sample, probs, label, ["replicate"], "weight", edges).filter(F.col("auc_macro").isNotNull())
-    return summary(per, _multiclass_wide(flat, probs, label, edges=edges), MULTICLASS, level)
+    per = multiclass_wide(sample, probs, label, ["replicate"], "weight", edges).filter(F.col("auc_macro").isNotNull())
+    return summary(per, multiclass_wide(flat, probs, label, edges=edges), MULTICLASS, level)
 
 
 def choice_accuracy_ci(df, pred, label, draws: int = 1000, level: float = 0.95, seed: int = 42,

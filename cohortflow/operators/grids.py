@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import padded, valid_steps
+from ..functions.arrays import checked_width, dynamic_part, padded, static_part, valid_steps, with_static
 from ..functions.hashing import hash_uniform
 from ..functions.scalars import let, literal_map
 from .joins import crowded_keys, join_per_key
@@ -191,6 +191,17 @@ def pad_samples(df: DataFrame, group: str, width: int) -> DataFrame:
             .withColumn("valid", valid_steps(F.col("lens"), F.col("padded_lens"))))
 
 
+def split_static(df: DataFrame, id_col: str, d: int, width: int) -> DataFrame:
+    """Move the first ``d`` features of the first step to ``static``; a row of another width is an error."""
+    whole = df.withColumn("x", checked_width(F.col("x"), width, F.col(id_col)))
+    return whole.withColumn("static", static_part(F.col("x"), d)).withColumn("x", dynamic_part(F.col("x"), d))
+
+
+def attach_static(df: DataFrame) -> DataFrame:
+    """Repeat ``static`` at the end of every step of ``x``."""
+    return df.withColumn("x", with_static(F.col("x"), F.col("static")))
+
+
 def _pairwise(a: Column, b: Column, fn) -> Column:
     """Cell by cell function of two equally shaped matrices."""
     return F.zip_with(a, b, lambda p, q: F.zip_with(p, q, fn))

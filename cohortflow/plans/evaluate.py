@@ -37,7 +37,8 @@ def task_metrics(df: DataFrame, task: str, pred: str = "pred", label: str = "lab
         df = m.as_probabilities(df, pred, 1e-5, check_range=False)
         if bootstrap:
             return bs.bootstrap_multiclass(df, pred, label, **boot)
-        return _long(bs._multiclass_wide(df, pred, label), bs.MULTICLASS)
+        # A class without both kinds of rows makes the AUC means 0 here.
+        return _long(bs.multiclass_wide(df, pred, label), bs.MULTICLASS).withColumn("value", F.coalesce("value", F.lit(0.0)))
     if task == "multitask":
         keep = [id_col] if id_col else []
         first = df.select(*keep, F.element_at(pred, 1).alias(pred), F.element_at(label, 1).alias(label))

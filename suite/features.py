@@ -371,10 +371,9 @@ SELECT vec_id, p - 1 AS step, CAST(embedding[1] AS DOUBLE) AS s1, CAST(embedding
        CAST(embedding[2] AS DOUBLE) AS last_joined
 FROM embeddings CROSS JOIN (SELECT unnest(range(1, 17)) AS p)""")
 def split_static(spark, sf):
-    v = _visits(spark, sf).select("vec_id", arrays.static_part(F.col("x"), 2).alias("static"),
-                                  arrays.dynamic_part(F.col("x"), 2).alias("dyn"))
-    joined = arrays.with_static(F.col("dyn"), F.col("static"))
-    rows = v.select("vec_id", "static", F.posexplode(F.arrays_zip("dyn", joined.alias("j"))).alias("step", "r"))
+    v = grids.split_static(_visits(spark, sf).select("vec_id", "x"), "vec_id", 2, 4)
+    j = grids.attach_static(v.withColumn("dyn", F.col("x")))
+    rows = j.select("vec_id", "static", F.posexplode(F.arrays_zip("dyn", F.col("x").alias("j"))).alias("step", "r"))
     return rows.select("vec_id", F.col("step").cast("bigint").alias("step"), F.col("static")[0].alias("s1"),
                        F.col("static")[1].alias("s2"), F.col("r.dyn")[0].alias("d1"), F.col("r.dyn")[1].alias("d2"),
                        F.col("r.j")[3].alias("last_joined"))

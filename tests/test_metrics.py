@@ -173,5 +173,13 @@ def test_task_dispatch(spark):
     assert got["auroc"] == pytest.approx(0.75) and set(got) == {"auroc", "auprc", "minpse", "f1", "best_f1", "accuracy"}
     vec = df.withColumn("label", F.array(F.lit(0), F.lit(0), "label"))
     assert {r["metric"]: r["value"] for r in task_metrics(vec, "readmission").collect()} == got
+    probs = df.select(F.array(F.lit(1) - F.col("pred"), "pred").alias("pred"), "label")
+    multi = {r["metric"]: r["value"] for r in task_metrics(probs, "multiclass").collect()}
+    assert multi["auc_macro"] == pytest.approx(0.75) and multi["accuracy"] == pytest.approx(
+        np.mean(np.stack([1 - np.array(SCORES), SCORES], 1).argmax(1) == np.array(LABELS)))  # 0.5 against 0.5 is class 0
+    one = {r["metric"]: r["value"] for r in task_metrics(probs.filter("label = 1"), "multiclass").collect()}
+    assert one["auc_macro"] == 0.0
+    los = task_metrics(df.withColumn("label", F.col("pred") + 1), "los", los_info={"los_mean": 3.0, "los_std": 2.0}, bootstrap=True, draws=20)
+    assert {r["metric"]: r["mean"] for r in los.collect()}["mae"] == pytest.approx(2.0)
     with pytest.raises(ValueError):
         task_metrics(df, "other")

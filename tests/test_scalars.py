@@ -61,6 +61,7 @@ def test_attention_map(spark):
     m = one(spark, [0.1, 0.2, 0.7], "array<double>", lambda c: scalars.attention_map(
         F.array(F.lit("a"), F.lit("b"), F.lit("unused")), c))
     assert m == {"a": 0.1, "b": 0.2, "demo": 0.7}
+    assert one(spark, [0.1, 0.2, 0.7], "array<double>", lambda c: scalars.attention_map(F.array(F.lit("a")), c)) == {"a": 0.1, "demo": 0.7}
 
 
 def test_width_check_names_the_row(spark):

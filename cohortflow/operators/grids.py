@@ -15,18 +15,23 @@ from .joins import crowded_keys, join_per_key
 EDGE = 1e-6
 
 
-def join_labels(obs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Observations with the columns of their stay's label row."""
-    return join_per_key(obs, labels, "stay_id")
+def join_labels(obs: DataFrame, labels: DataFrame, crowded: list | None = None) -> DataFrame:
+    """Observations with the columns of their stay's label row.
+
+    Here and below ``crowded`` takes the stays with very many rows if they are already known
+    (:func:`joins.crowded_keys`); otherwise they are counted first.
+    """
+    return join_per_key(obs, labels, "stay_id", crowded=crowded)
 
 
-def clip_to_bound(obs: DataFrame, labels: DataFrame) -> DataFrame:
+def clip_to_bound(obs: DataFrame, labels: DataFrame, crowded: list | None = None) -> DataFrame:
     """Rows of a stay before the first one later than its bound ``t`` (in row order).
 
     The first late row is an aggregate with map-side partials, so a stay with very many rows is neither
     sorted nor joined in one task.
     """
-    crowded = crowded_keys(obs, "stay_id")
+    if crowded is None:
+        crowded = crowded_keys(obs, "stay_id")
     bounds = labels.select("stay_id", "t")
     late = (join_per_key(obs.select("stay_id", "row_no", "hours"), bounds, "stay_id", crowded=crowded)
             .filter(F.col("hours") > F.col("t") + EDGE).groupBy("stay_id").agg(F.min("row_no").alias("_late")))
@@ -77,11 +82,11 @@ def window_slots(t: Column, period: int) -> Column:
     return F.least((t + F.lit(1.0) - F.lit(EDGE)).cast("int"), F.lit(period))
 
 
-def slotted(obs: DataFrame, period: Column, bucket: float = 1.0) -> DataFrame:
+def slotted(obs: DataFrame, period: Column, bucket: float = 1.0, crowded: list | None = None) -> DataFrame:
     """Add ``slot``; a stay ends at its first row beyond the period, in row order."""
     placed = obs.withColumn("slot", hour_slot(F.col("hours"), period, "stop", bucket))
     ends = placed.filter(F.col("slot").isNull()).groupBy("stay_id").agg(F.min("row_no").alias("_end"))
-    return (join_per_key(placed, ends, "stay_id", "left")
+    return (join_per_key(placed, ends, "stay_id", "left", crowded)
             .filter(F.col("_end").isNull() | (F.col("row_no") < F.col("_end"))).drop("_end"))
 
 
@@ -102,14 +107,15 @@ def grid_last(obs: DataFrame, period: int, bucket: float = 1.0) -> DataFrame:
     return cells.select("stay_id", "slot", "channel", value.alias("value"))
 
 
-def grid_mean(obs: DataFrame, period: Column, normals: dict[str, float] | None = None, bucket: float = 1.0) -> DataFrame:
+def grid_mean(obs: DataFrame, period: Column, normals: dict[str, float] | None = None, bucket: float = 1.0,
+              crowded: list | None = None) -> DataFrame:
     """Mean of the values per (stay, slot, channel), rows beyond the window ignored.
 
     With ``normals`` the compatible form: when the first row of a slot is empty for a channel, the normal
     value of that channel is added to the sum (not to the count).
     """
     value = F.col("raw").cast("double")
-    cells = (slotted(obs, period, bucket).groupBy("stay_id", "slot", "channel")
+    cells = (slotted(obs, period, bucket, crowded).groupBy("stay_id", "slot", "channel")
              .agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"),
                   F.min_by(F.struct(value.alias("v")), F.col("row_no")).alias("_first"))
              .filter(F.col("_n") > 0))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.arrays import checked_width, presence_mask
 from ..functions.scalars import bucketize_los, encode_category
 from ..operators import grids
-from ..operators.joins import join_per_key
+from ..operators.joins import crowded_keys, join_per_key
 from ..operators.splits import split_counts, split_ratio
 from . import catalogue
 
@@ -40,13 +40,15 @@ def episode_samples(obs: DataFrame, labels: DataFrame, task: str, period: int, f
         slots = labels.select("stay_id", grids.window_slots(F.col("t"), period).alias("n_slots"))
     else:
         raise ValueError("task must be 'mortality' or 'los'")
-    rows = coded(grids.clip_to_bound(obs, labels), codes)
+    crowded = crowded_keys(obs, "stay_id")
+    rows = coded(grids.clip_to_bound(obs, labels, crowded), codes)
     labels = grids.drop_empty(labels, rows)
     stays = slots.join(labels.select("stay_id"), "stay_id", "left_semi")
     if task == "mortality":
         grid = grids.grid_last(rows, period)
     else:
-        grid = grids.grid_mean(join_per_key(rows, slots, "stay_id"), F.col("n_slots"), normals if compat else None)
+        windowed = join_per_key(rows, slots, "stay_id", crowded=crowded)
+        grid = grids.grid_mean(windowed, F.col("n_slots"), normals if compat else None, crowded=crowded)
     packed = grids.pack_samples(grids.standardized(grid, stays, channels, F.col("n_slots"), fit_on), channels)
     return packed.join(labels.select("stay_id", "label"), "stay_id")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortflow.operators.joins import join_per_key
+from cohortflow.operators.joins import crowded_keys, join_per_key
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,11 +34,15 @@ NORMALS = {"click": 20.0, "error": 30.0, "purchase": 40.0, "signup": 50.0, "view
 DAY = 24.0
 
 
-def observations(spark, sf) -> DataFrame:
+def crowded_stays(spark, sf) -> list:
+    return crowded_keys(table(spark, sf, "events"), "user_id")
+
+
+def observations(spark, sf, crowded: list | None = None) -> DataFrame:
     """Users are stays, event types are channels, small values are missing cells."""
     e = table(spark, sf, "events")
     first = e.groupBy("user_id").agg(F.min("ts").alias("t0"))
-    return join_per_key(e, first, "user_id").select(
+    return join_per_key(e, first, "user_id", crowded=crowded).select(
         F.col("user_id").alias("stay_id"), F.col("event_id").alias("row_no"),
         (F.expr("timestampdiff(MICROSECOND, t0, ts)") / F.lit(3.6e9)).alias("hours"),
         F.col("event_type").alias("channel"), F.when(F.col("value") >= 8, F.col("value")).alias("raw"))

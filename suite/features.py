@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortflow.functions import arrays, scalars
 from cohortflow.operators import grids, splits
 
-from .base import (CHANNELS, DAY, NORMALS, OBS, SEED, floyd_sql, observations, query, r6, sql_hash, sql_uniform,
+from .base import (CHANNELS, DAY, NORMALS, OBS, SEED, crowded_stays, floyd_sql, observations, query, r6, sql_hash, sql_uniform,
                    stay_labels, table)
 
 PERIOD = 20  # slots of 24 hours
@@ -170,7 +170,8 @@ clipped AS (SELECT stay_id, row_no, hours, channel, raw, t, y FROM flag WHERE up
 
 
 def _clipped(spark, sf):
-    return grids.clip_to_bound(observations(spark, sf), stay_labels(spark, sf))
+    crowded = crowded_stays(spark, sf)
+    return grids.clip_to_bound(observations(spark, sf, crowded), stay_labels(spark, sf), crowded)
 
 
 @query("clip_to_bound", f"WITH {CLIP} SELECT stay_id, row_no, round(hours, 6) AS hours, channel, raw FROM clipped")
@@ -181,7 +182,8 @@ def clip_to_bound(spark, sf):
 @query("join_labels", f"""WITH {OBS}
 SELECT channel, y, count(*) AS n, round(sum(raw), 6) AS total FROM obs JOIN stays USING (stay_id) GROUP BY channel, y""")
 def join_labels(spark, sf):
-    joined = grids.join_labels(observations(spark, sf), stay_labels(spark, sf))
+    crowded = crowded_stays(spark, sf)
+    joined = grids.join_labels(observations(spark, sf, crowded), stay_labels(spark, sf), crowded)
     return joined.groupBy("channel", "y").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("raw"), "total"))
 
 
@@ -246,23 +248,24 @@ agg AS (SELECT stay_id, slot, channel, sum(raw) AS total, count(raw) AS n_seen,
 ch AS (SELECT unnest({CHANNELS}) AS channel, unnest({list(NORMALS.values())}) AS normal)"""
 
 
-def _windowed(spark, sf):
+def _mean(spark, sf, normals=None):
+    crowded = crowded_stays(spark, sf)
     t = stay_labels(spark, sf).select("stay_id", grids.window_slots(F.col("t") / 24, PERIOD).alias("n_slots"))
-    return observations(spark, sf).join(t, "stay_id")
+    rows = grids.join_labels(observations(spark, sf, crowded), t, crowded)
+    g = grids.grid_mean(rows, F.col("n_slots"), normals, DAY, crowded)
+    return g.select("stay_id", "slot", "channel", r6("value"))
 
 
 @query("grid_mean", f"WITH {MEAN} SELECT stay_id, slot, channel, round(total / n_seen, 6) AS value FROM agg WHERE n_seen > 0")
 def grid_mean(spark, sf):
-    g = grids.grid_mean(_windowed(spark, sf), F.col("n_slots"), bucket=DAY)
-    return g.select("stay_id", "slot", "channel", r6("value"))
+    return _mean(spark, sf)
 
 
 @query("grid_mean_compat", f"""WITH {MEAN}
 SELECT stay_id, slot, channel, round((total + CASE WHEN first_empty THEN normal ELSE 0 END) / n_seen, 6) AS value
 FROM agg JOIN ch USING (channel) WHERE n_seen > 0""")
 def grid_mean_compat(spark, sf):
-    g = grids.grid_mean(_windowed(spark, sf), F.col("n_slots"), NORMALS, DAY)
-    return g.select("stay_id", "slot", "channel", r6("value"))
+    return _mean(spark, sf, NORMALS)
 
 
 @query("impute_grid", f"""WITH {GRID}

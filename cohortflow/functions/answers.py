@@ -20,19 +20,21 @@ def parse_probability(response: Column) -> Column:
         F.regexp_extract_all(F.regexp_replace(response, THINKING, ""), F.lit(NUMBER), F.lit(0)),
         lambda t: t.try_cast("double"),
     )
-    inside = F.filter(numbers, lambda v: v.between(0.0, 1.0))
-    return F.coalesce(F.try_element_at(inside, F.lit(-1)), F.try_element_at(numbers, F.lit(1)), F.lit(-1.0))
+    return let(numbers, lambda v: F.coalesce(
+        F.try_element_at(F.filter(v, lambda x: x.between(0.0, 1.0)), F.lit(-1)), F.try_element_at(v, F.lit(1)), F.lit(-1.0)))
 
 
 def _letter(text: Column, letters: str, keywords: str) -> Column:
-    t = F.upper(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    tries = [
-        (t, f"^([{letters}])"),
-        (t, f"{OPENING}([{letters}]){CLOSING}"),
-        (t, f"(?iU)(?:{keywords})[:：\\s]*([{letters}])"),
-        (F.substring(t, 1, 50), f"(?U)\\b([{letters}])\\b"),
-    ]
-    return F.coalesce(*[F.nullif(F.upper(F.regexp_extract(c, p, 1)), F.lit("")) for c, p in tries])
+    def tries(t):
+        steps = [
+            (t, f"^([{letters}])"),
+            (t, f"{OPENING}([{letters}]){CLOSING}"),
+            (t, f"(?iU)(?:{keywords})[:：\\s]*([{letters}])"),
+            (F.substring(t, 1, 50), f"(?U)\\b([{letters}])\\b"),
+        ]
+        return F.coalesce(*[F.nullif(F.upper(F.regexp_extract(c, p, 1)), F.lit("")) for c, p in steps])
+
+    return let(F.upper(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), tries)
 
 
 def parse_letter_ad(response: Column) -> Column:

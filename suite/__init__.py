@@ -2,3 +2,9 @@
 
 from . import evaluation, features, retrieval, texts  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as for the library: task functions travel with the job

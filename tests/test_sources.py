@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cohortflow.operators.grids import drop_empty, skipped_stays
 from cohortflow.operators.scoring import score_batches
 from cohortflow.plans import prepare
-from cohortflow.session import work_folder, written, written_with
+from cohortflow.session import drop_written, work_folder, written, written_with
 from cohortflow.sources import episodes, tables
 
 
@@ -155,3 +155,12 @@ def test_batch_scorer_sets_up_once_per_partition(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["batch"] for r in rows} == {1, 2, 3}
+
+
+def test_written_tables_can_be_dropped(spark):
+    table = written(spark.range(5), "gone")
+    assert table.count() == 5
+    drop_written(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(table.inputFiles()[0]).count()
+    assert written(spark.range(2), "again").count() == 2

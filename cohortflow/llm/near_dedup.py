@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortflow.session import written
 
-from .textkit import SHINGLE, Hasher, distinct_shingles, mix
+from .textkit import SHINGLE, Hasher, arrow_batch, distinct_shingles, mix
 
 TREES, DEPTH, LEAST, REACH = 16, 8, 3, 8
+SIGNED = "doc_id long, n_shingles long, node long, keys binary, sketch binary"
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -39,26 +40,29 @@ def min_hashes(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def node_of(x: np.ndarray) -> int | None:
+    """Hash of a set; none for an empty one."""
+    return int(mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(x))])).astype(np.int64)[0]) if len(x) else None
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_shingles, node, keys, sketch): the set's size and hash; ``keys`` has 2 bytes a value, tree by tree."""
 
     def run(batches):
-        import pandas as pd
-
         hasher, a = Hasher(), multipliers(trees * depth)
-        for pdf in batches:
+        for batch in batches:
             n, node, keys, sketch = [], [], [], []
-            for x in distinct_shingles(pdf["text"].tolist(), hasher, k):
+            for x in distinct_shingles(batch.column(1).to_pylist(), hasher, k):
                 n.append(len(x))
-                node.append(int(mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(x))]))[0].astype(np.int64)) if len(x) else None)
+                node.append(node_of(x))
                 h = min_hashes(x, a) if len(x) else np.zeros(0, np.uint64)
                 keys.append((h & np.uint64(0xFFFF)).astype(">u2").tobytes())
                 sketch.append((h >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "node": pd.array(node, "Int64"), "keys": keys, "sketch": sketch})
+            yield arrow_batch(SIGNED, [batch.column(0), n, node, keys, sketch])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, node long, keys binary, sketch binary")
+    return rows.mapInArrow(run, SIGNED)
 
 
 def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, reach: int = REACH) -> DataFrame:
@@ -122,7 +126,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
         for pdf in batches:
             node, full = [], []
             for x in distinct_shingles(pdf["text"].tolist(), hasher, k):
-                node.append(int(mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(x))]))[0].astype(np.int64)))
+                node.append(node_of(x))
                 full.append(x.tobytes())
             yield pd.DataFrame({"node": node, "full": full})
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_dedup
+from cohortflow.session import work_folder, written
+
+from . import decontamination, deobfuscation, fertility, line_crf, near_dedup, packing, slots, suffix_tree, wrappers
 
+SHARDS = 24
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -36,3 +41,65 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""")
 def op10_lsh_forest(spark, sf_dir):
     """Components of near duplicates among all documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_virtual_slots")
+def op7_virtual_slots(spark, sf_dir):
+    """All documents in 24 shards of near equal bytes, by a stored map of virtual slots."""
+    rows = written(slots.records(table(spark, sf_dir, "documents")), "slot-rows")
+    sizes = slots.slot_sizes(rows)
+    maps = f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}/slot-map-{uuid.uuid4().hex}"
+    slot_map = slots.save_map(slots.first_map(sizes, SHARDS), maps, 1)
+    placed = slots.place(rows, slot_map, sizes)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query("op8_nnls_packing")
+def op8_nnls_packing(spark, sf_dir):
+    """All documents packed into windows of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op1_suffix_tree")
+def op1_suffix_tree(spark, sf_dir):
+    """Log probabilities of all texts by a suffix tree learned from four fifths of them."""
+    return suffix_tree.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op2_fertility")
+def op2_fertility(spark, sf_dir):
+    """Fertility measures and verdicts of all documents."""
+    found = fertility.measured(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
+    return fertility.judged(written(found, "measured")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_piece", "chars_per_pair", "byte_share", "entropy")
+
+
+@query("op4_deobfuscation")
+def op4_deobfuscation(spark, sf_dir):
+    """Plain and disguised identifiers of all documents."""
+    return deobfuscation.found(table(spark, sf_dir, "documents"))
+
+
+@query("op6_simhash_windows")
+def op6_simhash_windows(spark, sf_dir):
+    """Documents and benchmark items that match, with the place and the similarity."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_line_crf")
+def op3_line_crf(spark, sf_dir):
+    """Quality scores of all documents by a field over their lines."""
+    return line_crf.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_wrappers")
+def op9_wrappers(spark, sf_dir):
+    """Main text of all pages by wrappers of their hosts."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))

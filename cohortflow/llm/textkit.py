@@ -35,6 +35,23 @@ def pieces(texts: list, most: int = PIECE):
         yield lo, len(texts)
 
 
+def arrow_batch(schema: str, columns: list):
+    """A record batch of the Spark ``schema`` from arrays or lists; ids stay Arrow arrays, so nulls and long ids survive."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+             "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    fields = pa.schema([pa.field(x.split(" ")[0], kinds[x.split(" ")[1]]) for x in schema.split(", ")])
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c if isinstance(c, np.ndarray) else list(c), f.type)
+                                       for c, f in zip(columns, fields)], schema=fields)
+
+
+def source_array(rows: list):
+    import pyarrow as pa
+
+    return pa.array(rows, pa.int64())
+
+
 class Piece:
     """Code points ``cp`` of some texts; ``offs[d] .. offs[d + 1]`` are those of text d."""
 

@@ -1,9 +1,10 @@
 """Quality rules by tokeniser fertility, with rejection bands per language or script.
 
 Two public vocabularies read every text: one of pieces with byte fallback, one of byte pairs. Measures of a text: characters
-per token for each, the share of byte-fallback tokens, and token entropy (mean over consecutive windows of ``SPAN`` tokens,
+per token for each (over words without digits), the share of byte-fallback tokens, and token entropy (mean over consecutive windows of ``SPAN`` tokens,
 each divided by what its size allows, so that it does not drift with length). Bands are Tukey's far fences, three
-interquartile ranges beyond the quartiles, over all texts of a language that pass the base rules; a text without a language
+interquartile ranges beyond the quartiles, over all texts of a language that pass the base rules; short texts, whose measures
+scatter, are drawn towards the median (``STEADY``). A text without a language
 belongs to the script of most of its letters. A text is rejected if it fails the base rules or leaves a band on the bad side.
 
 A null or empty text has no words and fails the base rules. Repeated rows are judged each. Other columns are kept as they
@@ -22,6 +23,7 @@ from .textkit import Hasher, Piece, SpanTokens, arrow_batch, byte_bpe, mix, piec
 SYMBOLS = "#*$%&|<>"
 SPAN = 128
 FENCE = 3.0
+STEADY = 50  # words at which a measure counts for half of its distance from the median
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_piece double, "
             "chars_per_pair double, byte_share double, entropy double")
 # First code points of blocks of letters, and their scripts.
@@ -99,6 +101,10 @@ def measure(texts: list, hasher: Hasher, piece_tokens: SpanTokens, pair_tokens:
         number = piece_tokens.table(p, hasher, a, b) if len(a) else a
         sizes = piece_tokens.sizes[number]
         ids, td = ragged(piece_tokens.ids, piece_tokens.starts[number], sizes), np.repeat(d, sizes)
+        # Words with a digit (numbers, codes) say nothing about a language: the ratios leave them out.
+        digits = np.concatenate([[0], np.cumsum((p.cp >= 48) & (p.cp <= 57))])
+        plain = digits[a] == digits[b]
+        o.plain_chars, o.plain_tokens = per_doc((b - a) * plain, d, n), per_doc(sizes * plain, d, n)
         o.tokens, o.bytes = np.bincount(td, minlength=n), per_doc(ids < 0, td, n)
         first = np.cumsum(o.tokens) - o.tokens
         window = (np.arange(len(ids)) - first[td]) // SPAN
@@ -115,7 +121,7 @@ def measure(texts: list, hasher: Hasher, piece_tokens: SpanTokens, pair_tokens:
         else:
             o.entropy = np.zeros(n)
         number = pair_tokens.table(p, hasher, a, b) if len(a) else a
-        o.pairs = per_doc(pair_tokens.sizes[number], d, n)
+        o.pairs = per_doc(pair_tokens.sizes[number] * plain, d, n)
         letters = np.searchsorted([x[0] for x in SCRIPTS], p.cp, "right")
         share = np.bincount(p.docs_of(np.arange(len(p.cp))) * 32 + letters, weights=letters > 0, minlength=32 * n).reshape(n, 32) if len(p.cp) else np.zeros((n, 32))
         best = share.argmax(axis=1)
@@ -126,7 +132,7 @@ def measure(texts: list, hasher: Hasher, piece_tokens: SpanTokens, pair_tokens:
     cat = lambda k: np.concatenate([getattr(o, k) for o in found])
     ratio = lambda x, y: np.divide(x, y, out=np.zeros(len(x)), where=y > 0)
     whole = [cat(k).astype(np.int64) for k in ("words", "chars", "symbols", "dups", "repeats")]
-    return [*whole, [s for o in found for s in o.script], ratio(cat("chars"), cat("tokens").astype(float)), ratio(cat("chars"), cat("pairs")),
+    return [*whole, [s for o in found for s in o.script], ratio(cat("plain_chars"), cat("plain_tokens")), ratio(cat("plain_chars"), cat("pairs")),
             ratio(cat("bytes"), cat("tokens").astype(float)), cat("entropy")]
 
 
@@ -151,11 +157,17 @@ def judged(found: DataFrame, fence: float = FENCE) -> DataFrame:
     """``found`` with ``base_failed`` and ``kept``; ``found`` is read twice, so it should be a written table."""
     found = found.withColumn("band", F.coalesce("lang", "script")).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    quart = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10000).alias(f"q_{c}")
+    quart = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q_{c}")
     names = ["chars_per_piece", "chars_per_pair", "byte_share", "entropy"]
     bands = found.where("NOT base_failed").groupBy("band").agg(*[quart(c) for c in names])
-    low = lambda c: F.col(c) < F.col(f"q_{c}")[0] - fence * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0])
-    high = lambda c: F.col(c) > F.col(f"q_{c}")[1] + fence * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0])
+
+    def off(c):  # distance from the median, less for short texts, in interquartile ranges beyond the quartile on that side
+        q = F.col(f"q_{c}")
+        away = (F.col(c) - q[1]) * F.col("n_words") / (F.col("n_words") + STEADY)
+        return away, q[0] - q[1] - fence * (q[2] - q[0]), q[2] - q[1] + fence * (q[2] - q[0])
+
+    low = lambda c: off(c)[0] < off(c)[1]
+    high = lambda c: off(c)[0] > off(c)[2]
     out = low("chars_per_piece") | low("chars_per_pair") | high("byte_share") | low("entropy")
     return found.join(bands, "band", "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(out, F.lit(False)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortflow.session import work_folder, written
 
-from . import decontamination, deobfuscation, fertility, line_crf, near_dedup, packing, slots, suffix_tree, wrappers
+from . import decontamination, deobfuscation, fertility, line_crf, near_dedup, packing, separators, slots, suffix_tree, wrappers
 
 SHARDS = 24
 QUERIES: dict = {}
@@ -103,3 +103,11 @@ def op3_line_crf(spark, sf_dir):
 def op9_wrappers(spark, sf_dir):
     """Main text of all pages by wrappers of their hosts."""
     return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_separator_scan")
+def op5_separator_scan(spark, sf_dir):
+    """Token counts of all documents, found in flat token files by their end ids."""
+    blocks, manifest = separators.flat_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    found = separators.documents(written(separators.searched(blocks), "searched"))
+    return found.join(manifest, ["file", "doc_no"], "left").select("doc_id", "file", "doc_no", "start", "n_tokens", "ended")

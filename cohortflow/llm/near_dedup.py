@@ -132,7 +132,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = wanted.select("doc_id").distinct()
-    sets = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text").mapInPandas(run, "node long, full binary")
+    sets = texts.join(ids.hint("merge"), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text").mapInPandas(run, "node long, full binary")
     return sets.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("full").alias("full"))
 
 
@@ -221,5 +221,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     cannot be named apart: one of them stays if any is near to no row with an id."""
     found = near_duplicates(docs, id_col=id_col, **options).where("kept").groupBy(F.col("doc_id").alias("__kept_id")).count()
     found = written(found.withColumnRenamed("count", "__kept_rows"), "kept")
-    stay = docs.join(found.select("__kept_id"), docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    stay = docs.join(found.select("__kept_id").hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
     return stay if found.where("__kept_rows > 1").isEmpty() else stay.dropDuplicates([id_col])

@@ -25,7 +25,7 @@ from cohortflow.session import written
 
 from .textkit import SHINGLE, Hasher, arrow_batch, distinct_shingles, mix
 
-TREES, DEPTH, LEAST, REACH = 16, 8, 3, 8
+TREES, DEPTH, LEAST, REACH = 16, 8, 3, 6
 SIGNED = "doc_id long, n_shingles long, node long, keys binary, sketch binary"
 
 

@@ -105,7 +105,7 @@ def hits(docs: DataFrame, items: DataFrame, percent: int = PERCENT, radius: int
     start = F.greatest(F.least(F.col("pos") - F.col("inside"), F.col("n") - F.col("size")), F.lit(0))
     windows = written(met.select("th", start.alias("start"), "size", "n").distinct(), "windows")
 
-    held = texts.join(windows.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    held = texts.join(windows.select("th").distinct().hint("merge"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     grams = shingled(held, "th").select("th", "pos", "shingle")
     last = F.greatest(F.least(F.col("start") + F.col("size"), F.col("n")) - K, F.col("start"))
     inside = windows.select(*WINDOW, F.explode(F.sequence("start", last)).alias("pos")).join(grams, ["th", "pos"])

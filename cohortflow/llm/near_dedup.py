@@ -2,9 +2,9 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes). Texts with equal sets are one *node*; the other
    steps see nodes only, so copies cost nothing more.
-2. A node gets ``trees * depth`` min-hashes. In each tree the nodes are sorted by their ``depth`` values; a node is
-   compared with its ``reach`` next nodes that share a prefix of ``least`` values or more. In a thin region that is the
-   whole region at the least depth, in a crowded one the neighbours with the longest prefix: the depth adapts.
+2. A node gets ``trees * depth`` min-hashes. In each tree the nodes are sorted by their ``depth`` values. A region
+   is a run with a common prefix of ``least`` values; one of at most ``crowd`` nodes is compared as a whole. In a larger
+   region a node is compared with the neighbours of longest prefix, ``reach`` on either side: there the depth adapts.
 3. Candidates are checked in rounds: each node's best one first, then 4, 16, ... more. A round estimates the similarity
    from one-byte sketches, confirms on full sets, and unites. Candidates inside one component need no more checks, so a
    crowd of copies costs a few checks a node. Rounds end when no candidate is left.
@@ -25,7 +25,7 @@ from cohortflow.session import written
 
 from .textkit import SHINGLE, Hasher, arrow_batch, distinct_shingles, mix
 
-TREES, DEPTH, LEAST, REACH = 16, 8, 3, 6
+TREES, DEPTH, LEAST, REACH, CROWD = 16, 8, 3, 6, 256
 SIGNED = "doc_id long, n_shingles long, node long, keys binary, sketch binary"
 
 
@@ -65,7 +65,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, SIGNED)
 
 
-def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, reach: int = REACH) -> DataFrame:
+def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, reach: int = REACH,
+               crowd: int = CROWD) -> DataFrame:
     """(a, b, score): candidate pairs a < b; the score sums the prefixes they share over all trees."""
     spark = nodes.sparkSession
     keys = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
@@ -74,32 +75,64 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keys.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
 
-    def near(tree, key, node, before, after):
-        """Pairs at most ``reach`` apart in the order, the first ahead of position ``before``, the second from ``after`` on."""
+    def runs(tree, key):
+        """Values as rows, and the run of each row: neighbours that share ``least`` values or more."""
         vals = np.frombuffer(b"".join(key), ">u2").reshape(len(key), depth)
-        for step in range(1, min(reach, len(node) - 1) + 1):
-            same = (vals[:-step] == vals[step:]) & (tree[:-step] == tree[step:])[:, None]
-            lcp = np.cumprod(same, axis=1).sum(axis=1)
-            at = np.arange(len(lcp))
-            i = np.flatnonzero((lcp >= least) & (at < before) & (at + step >= after))
-            x, y = node[i], node[i + step]
-            yield np.minimum(x, y), np.maximum(x, y), lcp[i]
+        apart = (tree[1:] != tree[:-1]) | (vals[1:, :least] != vals[:-1, :least]).any(axis=1)
+        return vals, np.concatenate([[0], np.cumsum(apart)])
+
+    def near(vals, run, crowded, node, before, after):
+        """Pairs of a run, the first ahead of position ``before``, the second from ``after`` on; in a crowded run at most
+        ``reach`` apart in the order."""
+        step, at = 1, np.arange(len(node))
+        while True:
+            at = at[at + step < len(node)]
+            at = at[(run[at] == run[at + step]) & ((step <= reach) | ~crowded[at])]
+            if not len(at):
+                return
+            i = at[(at < before) & (at + step >= after)]
+            if len(i):
+                lcp = np.cumprod(vals[i] == vals[i + step], axis=1).sum(axis=1)
+                x, y = node[i], node[i + step]
+                yield np.minimum(x, y), np.maximum(x, y), lcp
+            step += 1
 
     def scan(batches):
         import pandas as pd
         from pyspark import TaskContext
 
-        part, head, tail = TaskContext.get().partitionId(), None, None
-        for pdf in batches:
-            old = 0 if tail is None else len(tail)
-            pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-            head = pdf.head(reach) if head is None or len(head) < reach else head
-            for a, b, s in near(pdf["tree"].to_numpy(), pdf["key"].tolist(), pdf["node"].to_numpy(), len(pdf), old):
+        part, head, held, size, done = TaskContext.get().partitionId(), None, None, 0, 0
+
+        def pairs(pdf, last):
+            """Pairs of complete and of crowded runs. ``held`` becomes what later rows may pair with: the last run, or
+            the end of it if it is crowded; ``size`` counts that run, ``done`` its rows already paired with each other."""
+            nonlocal held, size, done
+            node = pdf["node"].to_numpy()
+            vals, run = runs(pdf["tree"].to_numpy(), pdf["key"].tolist())
+            sizes = np.bincount(run)
+            sizes[0] += max(size - (0 if held is None else len(held)), 0)
+            crowded = sizes[run] > crowd
+            first = int(np.searchsorted(run, run[-1]))
+            open_ = not last and not crowded[-1]
+            stop = first if open_ else len(node)
+            for a, b, s in near(vals[:stop], run[:stop], crowded[:stop], node[:stop], stop, done):
                 yield pd.DataFrame({"a": a, "b": b, "score": s, "part": -1, "tree": 0, "key": None, "pos": 0})
-            tail = pdf.tail(reach)
+            size = int(sizes[-1])
+            held = pdf.iloc[first:] if open_ else pdf.iloc[max(first, len(pdf) - reach):]
+            done = 0 if open_ else len(held)
+
+        tail = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            head = pdf.head(crowd) if head is None else head if len(head) == crowd else pd.concat([head, pdf]).head(crowd)
+            tail = (pdf if tail is None else pd.concat([tail, pdf])).tail(crowd)
+            yield from pairs(pdf if held is None else pd.concat([held, pdf], ignore_index=True), False)
+        if held is not None and not done:
+            yield from pairs(held.reset_index(drop=True), True)
         if tail is not None:  # the ends of this partition meet those of the next
             for rows, at, pos in ((tail, part, np.arange(len(tail)) - len(tail)), (head, part - 1, np.arange(len(head)))):
-                yield pd.DataFrame({"a": rows["node"], "b": rows["node"], "score": 0, "part": at, "tree": rows["tree"], "key": rows["key"], "pos": pos})
+                yield pd.DataFrame({"a": rows["node"].to_numpy(), "b": rows["node"].to_numpy(), "score": 0, "part": at, "tree": rows["tree"].to_numpy(), "key": rows["key"].tolist(), "pos": pos})
 
     found = written(ordered.mapInPandas(scan, "a long, b long, score long, part int, tree int, key binary, pos int"), "forest-pairs")
 
@@ -107,7 +140,9 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
         import pandas as pd
 
         pdf = pdf.sort_values("pos")
-        got = list(near(pdf["tree"].to_numpy(), pdf["key"].tolist(), pdf["a"].to_numpy(), *[int((pdf["pos"] < 0).sum())] * 2))
+        vals, run = runs(pdf["tree"].to_numpy(), pdf["key"].tolist())
+        cut, node = int((pdf["pos"] < 0).sum()), pdf["a"].to_numpy()
+        got = list(near(vals, run, np.bincount(run)[run] > crowd, node, cut, cut))
         a, b, s = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
         return pd.DataFrame({"a": a, "b": b, "score": s})
 

@@ -15,7 +15,7 @@ from .joins import crowded_keys, join_per_key
 EDGE = 1e-6
 
 
-def join_labels(obs: DataFrame, labels: DataFrame, crowded: list | None = None) -> DataFrame:
+def join_labels(obs: DataFrame, labels: DataFrame, crowded=None) -> DataFrame:
     """Observations with the columns of their stay's label row.
 
     Here and below ``crowded`` takes the stays with very many rows if they are already known
@@ -24,7 +24,7 @@ def join_labels(obs: DataFrame, labels: DataFrame, crowded: list | None = None)
     return join_per_key(obs, labels, "stay_id", crowded=crowded)
 
 
-def clip_to_bound(obs: DataFrame, labels: DataFrame, crowded: list | None = None) -> DataFrame:
+def clip_to_bound(obs: DataFrame, labels: DataFrame, crowded=None) -> DataFrame:
     """Rows of a stay before the first one later than its bound ``t`` (in row order).
 
     The first late row is an aggregate with map-side partials, so a stay with very many rows is neither
@@ -82,7 +82,7 @@ def window_slots(t: Column, period: int) -> Column:
     return F.least((t + F.lit(1.0) - F.lit(EDGE)).cast("int"), F.lit(period))
 
 
-def slotted(obs: DataFrame, period: Column, bucket: float = 1.0, crowded: list | None = None) -> DataFrame:
+def slotted(obs: DataFrame, period: Column, bucket: float = 1.0, crowded=None) -> DataFrame:
     """Add ``slot``; a stay ends at its first row beyond the period, in row order."""
     placed = obs.withColumn("slot", hour_slot(F.col("hours"), period, "stop", bucket))
     ends = placed.filter(F.col("slot").isNull()).groupBy("stay_id").agg(F.min("row_no").alias("_end"))
@@ -108,7 +108,7 @@ def grid_last(obs: DataFrame, period: int, bucket: float = 1.0) -> DataFrame:
 
 
 def grid_mean(obs: DataFrame, period: Column, normals: dict[str, float] | None = None, bucket: float = 1.0,
-              crowded: list | None = None) -> DataFrame:
+              crowded=None) -> DataFrame:
     """Mean of the values per (stay, slot, channel), rows beyond the window ignored.
 
     With ``normals`` the compatible form: when the first row of a slot is empty for a channel, the normal

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hash_key, hash_prefix
+from ..session import written
 
 HASH_DIGITS = 4  # 65536 pieces
 
@@ -36,13 +37,24 @@ def ranked(df: DataFrame, ids, seed, by=(), rank: str = "rank0", total: str = "n
             .drop("_key", "_piece", "_at", "_before"))
 
 
+def numbered(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Add the 0-based place of each row in the order of ``col``, which has no repeats: ranges are sorted on their own and
+    shifted by the rows before them."""
+    ranges = written(df.repartitionByRange(F.col(col)).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(col)) - 1
+    return ranges.withColumn("_at", place).join(starts, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def range_edges(df: DataFrame, col: str, pieces: int | None = None) -> list[float]:
     """Ascending quantiles of a column that cut it into about equal pieces.
 
     One pass with a bounded quantile sketch. The edges only balance the work; results never depend on them.
     """
     if pieces is None:
-        pieces = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512)
+        pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if pieces < 2:
         return []
     cuts = [i / pieces for i in range(1, pieces)]

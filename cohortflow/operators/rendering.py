@@ -68,10 +68,10 @@ def render_visits(x: Column, header: Column, any_missing: bool = False) -> Colum
     return F.array_join(lines, "\n")
 
 
-# How an expert's output and a label are written; the risk form has two blanks.
+# How an expert's output is written; the risk form has two blanks.
 EXPERT_RISK = "Expert Model Outputs:  "
 EXPERT_LETTER = "Expert Model Outputs: "
-FOCUS = "\nPlease focus on the Expert model's results and provide your answer based on the ICL examples:"
+FOCUS = "\nGive the expert model's output the most weight, and answer in the manner of the examples above:"
 
 
 def expert_text(logits: Column, kind: str) -> Column:
@@ -157,10 +157,11 @@ def sft_target(label: Column) -> Column:
     return F.concat(label.cast("int").cast("string"), F.lit(".0"))
 
 
-def sft_pairs(prompt_ids: Column, target_ids: Column, max_len: int) -> Column:
-    """Struct of ``input_ids``, ``attention_mask`` and ``labels`` (-100 over the prompt), cut to ``max_len``."""
+def sft_pairs(prompt_ids: Column, target_ids: Column, max_len: int, max_target: int | None = None) -> Column:
+    """Struct of ``input_ids``, ``attention_mask`` and ``labels`` (-100 over the prompt), cut to ``max_len``; ``max_target``
+    limits the target alone."""
     prompt = F.slice(prompt_ids, 1, max_len)
-    joined = F.slice(F.concat(prompt, F.slice(target_ids, 1, min(16, max_len))), 1, max_len)
+    joined = F.slice(F.concat(prompt, F.slice(target_ids, 1, min(max_target or max_len, max_len))), 1, max_len)
     n = F.size(prompt)
     labels = F.concat(F.array_repeat(F.lit(-100), n), F.slice(joined, n + 1, F.greatest(F.size(joined) - n, F.lit(0))))
     return F.struct(joined.alias("input_ids"), F.array_repeat(F.lit(1), F.size(joined)).alias("attention_mask"),

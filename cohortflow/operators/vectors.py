@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.scalars import array_sum, let
 from ..session import written, written_with
 from .joins import join_per_key
+from .ordering import numbered
 
 BLOCK_ROWS = 2048
 SMALL_BYTES = 32 * 1024 * 1024
 MAX_PIVOTS = 256
-MAX_DENSE = 65536
 SLACK = 1e-9  # angles are compared with a little room, so rounding can only keep a block, never drop it
 
 
@@ -62,43 +62,45 @@ def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def tfidf_embed(df: DataFrame, id_col: str, text: str, max_features: int = 4096) -> DataFrame:
-    """Sparse TF-IDF rows ``(id, term, w)`` with unit length.
+def tfidf_embed(df: DataFrame, id_col: str, text: str, max_features: int | None = None) -> DataFrame:
+    """Sparse TF-IDF rows ``(id, term, w)`` with unit length; a text without terms has one row with a null term, weight 0.
 
-    The vocabulary keeps the ``max_features`` terms with the highest corpus frequency (ties by term), which
-    also bounds its broadcast. idf = ln((1 + n) / (1 + df)) + 1.
+    The vocabulary is whole unless ``max_features`` asks for the terms of highest corpus frequency (ties by term); texts
+    without any of them keep their null row. idf = ln((1 + n) / (1 + df)) + 1. Texts are read once.
     """
-    n = df.count()
-    counts = term_counts(df, id_col, text)
-    vocab = (counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-             .orderBy(F.desc("cf"), "term").limit(max_features)
-             .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")))
-    raw = counts.join(F.broadcast(vocab), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    each = df.select(F.col(id_col).alias("id"), F.explode_outer(F.coalesce(tokens, F.array().cast("array<string>"))).alias("term"))
+    counts, seen = written_with(each.groupBy("id", "term").agg(F.count("term").alias("tf")), "terms", rows=F.count(F.lit(1)))
+    ids = counts.select("id").distinct()
+    n = ids.count() if seen["rows"] else 0
+    vocab = counts.where("term IS NOT NULL").groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    if max_features is not None:
+        vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_features)
+    idf = vocab.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+    raw = counts.where("term IS NOT NULL").join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("w") / (length + F.lit(1e-12))).alias("w"))
+    scaled = raw.select("id", "term", (F.col("w") / (length + F.lit(1e-12))).alias("w"))
+    if max_features is None:
+        none = counts.where("term IS NULL").join(counts.where("term IS NOT NULL").select("id"), "id", "left_anti").select("id")
+    else:
+        none = ids.join(raw.select("id"), "id", "left_anti")
+    return scaled.unionByName(none.select("id", F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w")))
 
 
 def sparse_to_dense(sparse: DataFrame) -> DataFrame:
-    """``(id, vec)`` with one position per vocabulary term in term order; for capped vocabularies only."""
-    terms = sorted(r["term"] for r in sparse.select("term").distinct().limit(MAX_DENSE + 1).collect())
-    if len(terms) > MAX_DENSE:
-        raise ValueError(f"more than {MAX_DENSE} terms: keep the sparse form, or cap the vocabulary first")
-    index = sparse.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")
-    packed = sparse.join(F.broadcast(index), "term").groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
-
-    def fill(batches):
-        for pdf in batches:
-            out = []
-            for m in pdf["m"]:
-                row = np.zeros(len(terms))
-                for i, w in m.items():
-                    row[i] = w
-                out.append(row)
-            yield pd.DataFrame({"id": pdf["id"], "vec": out})
-
-    schema = T.StructType([packed.schema["id"], T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    return packed.mapInPandas(fill, schema)
+    """``(id, vec)`` with one position per term in term order.
+
+    Terms are numbered by a shuffle and a rank over the vocabulary; each vector is filled inside the engine, so neither the
+    vocabulary nor a vector list passes through the driver. A dense vector is as long as the vocabulary: use it for
+    limited ones.
+    """
+    terms = written(numbered(sparse.where("term IS NOT NULL").select("term").distinct(), "term", "i"), "numbered")
+    size = terms.count()
+    pairs = sparse.join(terms, "term", "left")
+    packed = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "w")))).alias("m"))
+    zero = F.lit(0.0)
+    vec = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.coalesce(F.element_at("m", (i - 1).cast("long")), zero)) if size else F.array().cast("array<double>")
+    return packed.select("id", vec.alias("vec"))
 
 
 # ---- exact top-k cosine search -------------------------------------------------------------------------------------

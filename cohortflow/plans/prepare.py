@@ -9,6 +9,7 @@ from ..functions.scalars import bucketize_los, encode_category
 from ..operators import grids
 from ..operators.joins import crowded_keys, join_per_key
 from ..operators.splits import split_counts, split_ratio
+from ..session import written
 from . import catalogue
 
 
@@ -22,20 +23,37 @@ def coded(obs: DataFrame, codes: dict[str, dict] | None = None) -> DataFrame:
     return obs.withColumn("raw", value)
 
 
+def per_sample(obs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Observations and labels keyed by sample: every label row is a sample with the rows of its stay.
+
+    ``labels`` may bring a ``sample_id``; without one, samples are named by stay and time, so equal lines are one. Both
+    results have the sample in ``stay_id``, the key of all grid operators, and the stay in ``of_stay``. A stay's rows are
+    repeated for each of its samples, as each sample has a grid of its own; crowded stays are salted.
+    """
+    if "sample_id" not in labels.columns:
+        labels = labels.withColumn("sample_id", F.concat_ws("@", F.col("stay_id").cast("string"), F.col("t").cast("string"))).dropDuplicates(["sample_id"])
+    keys = labels.select("stay_id", "sample_id")
+    rows = join_per_key(obs, keys, "stay_id").withColumn("of_stay", F.col("stay_id")).withColumn("stay_id", F.col("sample_id")).drop("sample_id")
+    return rows, labels.withColumn("of_stay", F.col("stay_id")).withColumn("stay_id", F.col("sample_id")).drop("sample_id")
+
+
 def episode_samples(obs: DataFrame, labels: DataFrame, task: str, period: int, fit_on: Column | None = None,
                     compat: bool = False, channels: list[str] | None = None, normals: dict | None = None,
                     codes: dict | None = None) -> DataFrame:
-    """``(stay_id, x, mask, lens, label)`` for task ``mortality`` or ``los``.
+    """``(stay_id, sample_id, x, mask, lens, label)`` for task ``mortality`` or ``los``.
 
-    mortality: rows up to ``period`` hours, last value per hour. los: rows up to the label time ``t``, mean
-    per hour, label in four classes. Stays without rows are dropped.
+    mortality: one sample a stay, rows up to ``period`` hours, last value per hour. los: one sample for each label row,
+    rows up to its own time ``t``, mean per hour, label in four classes. Samples without rows are dropped. ``fit_on`` is a
+    condition on the sample's ``stay_id``.
     """
     channels = channels or catalogue.CHANNELS
     normals = catalogue.normal_codes() if normals is None else normals
     if task == "mortality":
-        labels = labels.withColumn("t", F.lit(float(period))).withColumn("label", F.col("y"))
+        labels = labels.withColumn("t", F.lit(float(period))).withColumn("label", F.col("y")).withColumn("of_stay", F.col("stay_id"))
         slots = labels.select("stay_id", F.lit(period).alias("n_slots"))
     elif task == "los":
+        obs, labels = per_sample(obs, labels)
+        obs = written(obs.drop("of_stay"), "sample_rows")
         labels = labels.withColumn("label", bucketize_los(F.col("y")))
         slots = labels.select("stay_id", grids.window_slots(F.col("t"), period).alias("n_slots"))
     else:
@@ -50,7 +68,8 @@ def episode_samples(obs: DataFrame, labels: DataFrame, task: str, period: int, f
         windowed = join_per_key(rows, slots, "stay_id", crowded=crowded)
         grid = grids.grid_mean(windowed, F.col("n_slots"), normals if compat else None, crowded=crowded)
     packed = grids.pack_samples(grids.standardized(grid, stays, channels, F.col("n_slots"), fit_on), channels)
-    return packed.join(labels.select("stay_id", "label"), "stay_id")
+    found = packed.join(labels.select("stay_id", "of_stay", "label"), "stay_id")
+    return found.select(F.col("of_stay").alias("stay_id"), F.col("stay_id").alias("sample_id"), *[c for c in packed.columns if c != "stay_id"], "label")
 
 
 def visit_samples(visits: DataFrame, width: int) -> DataFrame:

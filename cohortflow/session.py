@@ -8,19 +8,29 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+_LOCAL: dict[str, str] = {}  # of local sessions without a setting, by application
+
+
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder for written tables: ``spark.checkpoint.dir``, which must be shared by all executors.
 
-    Only a local session without that setting gets a temporary folder; a cluster must name a folder
-    that every executor can reach.
+    A path without a scheme is read by the session's default file system; on a cluster whose default is the local disk
+    such a path is refused, as executors would each write their own. Only a local session may leave the setting unset
+    and then gets a temporary folder for its lifetime.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="cohortflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if folder:
+        default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if not local and "://" not in folder and not folder.startswith("file:") and default.startswith("file:"):
+            raise ValueError(f"spark.checkpoint.dir is {folder}: name a shared store with its scheme, as in hdfs://... or file:///mount")
+        return folder.rstrip("/")
+    if not local:
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="cohortflow-")
+    return _LOCAL[app]
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

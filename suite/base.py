@@ -34,11 +34,11 @@ NORMALS = {"click": 20.0, "error": 30.0, "purchase": 40.0, "signup": 50.0, "view
 DAY = 24.0
 
 
-def crowded_stays(spark, sf) -> list:
+def crowded_stays(spark, sf):
     return crowded_keys(table(spark, sf, "events"), "user_id")
 
 
-def observations(spark, sf, crowded: list | None = None) -> DataFrame:
+def observations(spark, sf, crowded=None) -> DataFrame:
     """Users are stays, event types are channels, small values are missing cells."""
     e = table(spark, sf, "events")
     first = e.groupBy("user_id").agg(F.min("ts").alias("t0"))

@@ -348,9 +348,10 @@ def retrieve_random(spark, sf):
 @query("tfidf_embed", f"""
 WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM documents),
 c AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY 1, 2), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
-vc AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM c CROSS JOIN n GROUP BY term, n ORDER BY sum(tf) DESC, term LIMIT 4096),
+vc AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM c CROSS JOIN n GROUP BY term, n),
 w AS (SELECT id, term, tf * idf AS w FROM c JOIN vc USING (term)), l AS (SELECT id, sqrt(sum(w * w)) + 1e-12 AS len FROM w GROUP BY id)
-SELECT id, term, round(w / len, 6) AS w FROM w JOIN l USING (id)""")
+SELECT id, term, round(w / len, 6) AS w FROM w JOIN l USING (id)
+UNION ALL SELECT doc_id, NULL, 0.0 FROM documents WHERE doc_id NOT IN (SELECT id FROM c)""")
 def tfidf_embed(spark, sf):
     return vectors.tfidf_embed(table(spark, sf, "documents"), "doc_id", "text").select("id", "term", r6("w"))
 

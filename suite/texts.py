@@ -111,7 +111,7 @@ def _prompt_inputs(spark, sf):
 @query("render_prompt", f"""WITH {EXAMPLES}
 SELECT stay_id AS query_id, md5({_prompt_sql(catalogue.ZERO_SHOT, "''")}) AS zero_shot,
        {_prompt_sql(catalogue.FEW_SHOT_EXPERT, 'example')} || chr(10) || 'Expert Model Outputs: ' || chr(CAST(64 + list_position(z, list_max(z)) AS INTEGER))
-         || chr(10) || 'Please focus on the Expert model''s results and provide your answer based on the ICL examples:' AS few_shot FROM q""")
+         || chr(10) || 'Give the expert model''s output the most weight, and answer in the manner of the examples above:' AS few_shot FROM q""")
 def render_prompt(spark, sf):
     q, ex = _prompt_inputs(spark, sf)
     zero = rendering.render_prompt(q, "icu_los").select("query_id", F.md5("prompt").alias("zero_shot"))
@@ -161,7 +161,7 @@ def prompt_entropy_sum(spark, sf):
 
 
 @query("render_question", """
-SELECT p_partkey, '以下是一道' || p_type || '：' || p_name || chr(10) || chr(10) || '选项：' || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || CAST(p_size AS VARCHAR) || chr(10) || chr(10) AS detail FROM part""")
+SELECT p_partkey, '题型：' || p_type || chr(10) || '题目：' || p_name || chr(10) || chr(10) || '可选答案：' || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || CAST(p_size AS VARCHAR) || chr(10) || chr(10) AS detail FROM part""")
 def render_question(spark, sf):
     option = F.create_map(F.lit("A"), F.col("p_brand"), F.lit("B"), F.col("p_size").cast("string"))
     return table(spark, sf, "part").select("p_partkey", rendering.render_question(F.col("p_type"), F.col("p_name"), option).alias("detail"))

@@ -110,6 +110,18 @@ def test_episode_samples(spark):
     assert {r["lens"] for r in got} == {3} and {r["label"] for r in got} == {1}
 
 
+def test_each_label_row_is_a_sample(spark):
+    o = spark.createDataFrame([("s1", h, h + 0.5, "Heart Rate", str(60.0 + h)) for h in range(10)], SCHEMA)
+    los = spark.createDataFrame([("s1", 3.0, 80.0), ("s1", 8.0, 10.0), ("s2", 4.0, 10.0)], "stay_id string, t double, y double")
+    got = {r["lens"]: r for r in prepare.episode_samples(o, los, "los", 48).collect()}
+    assert sorted(got) == [3, 8] and {r["stay_id"] for r in got.values()} == {"s1"} and len({r["sample_id"] for r in got.values()}) == 2
+    heart = catalogue.CHANNELS.index("Heart Rate")
+    for n, r in got.items():
+        assert [m[heart] for m in r["mask"]] == [1] * n
+        assert all(b > a for a, b in zip([x[heart] for x in r["x"]], [x[heart] for x in r["x"]][1:]))
+    assert (got[3]["label"], got[8]["label"]) == (1, 0)
+
+
 def test_unknown_label_in_episode_fails(spark):
     o = spark.createDataFrame([("p", 0, 0.5, "Glascow coma scale total", "99")], SCHEMA)
     with pytest.raises(Exception, match="unknown category label"):

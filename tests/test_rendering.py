@@ -45,13 +45,13 @@ def test_prompts(spark):
     hint = rendering.render_prompt(q, "icu_mortality", ex, expert="risk", query_expert="risk").first()["prompt"]
     assert "one\nExpert Model Outputs:  0.5000\nLabel: 1" in hint and hint.endswith("\nExpert Model Outputs:  0.5000")
     letter = rendering.render_prompt(q, "icu_los", ex, "letter", "letter", "letter").first()["prompt"]
-    assert "one\nExpert Model Outputs: A\nLabel: B" in letter and letter.endswith("based on the ICL examples:")
+    assert "one\nExpert Model Outputs: A\nLabel: B" in letter and letter.endswith("in the manner of the examples above:")
 
 
 def test_questions(spark):
     df = spark.createDataFrame([("单选题", "Q?", {"A": "x", "B": "y"})], "t string, q string, o map<string,string>")
     text = df.select(rendering.render_question(F.col("t"), F.col("q"), F.col("o")).alias("d")).first()["d"]
-    assert text == "以下是一道单选题：Q?\n\n选项：\nA. x\nB. y\n\n"
+    assert text == "题型：单选题\n题目：Q?\n\n可选答案：\nA. x\nB. y\n\n"
     q = spark.createDataFrame([(1, text)], "query_id int, detail string")
     ex = spark.createDataFrame([(1, 1, "old", "C")], "query_id int, rank int, detail string, label string")
     assert "例子 1:\nold\n答案: C" in rendering.render_question_prompt(q, ex).first()["prompt"]

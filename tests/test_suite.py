@@ -10,10 +10,11 @@ sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as driver  # noqa: E402
+import suite  # noqa: E402
 from check_oracle import compare, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = suite.QUERIES, suite.SQL
 
 
 @pytest.fixture(scope="module")

@@ -104,14 +104,15 @@ def test_dense_rows(spark):
 def test_tfidf(spark):
     df = spark.createDataFrame([(0, "Der Hund, der hund!"), (1, "a Katze é1 der"), (2, "")], "id int, text string")
     rows = {(r["id"], r["term"]): r["w"] for r in vectors.tfidf_embed(df, "id", "text").collect()}
-    assert set(rows) == {(0, "der"), (0, "hund"), (1, "katze"), (1, "é1"), (1, "der")}
+    assert set(rows) == {(0, "der"), (0, "hund"), (1, "katze"), (1, "é1"), (1, "der"), (2, None)} and rows[(2, None)] == 0
     idf = {t: np.log(4 / (1 + n)) + 1 for t, n in (("der", 2), ("hund", 1))}
     a, b = 2 * idf["der"], 2 * idf["hund"]
     assert rows[(0, "der")] == pytest.approx(a / np.hypot(a, b))
     two = vectors.tfidf_embed(df, "id", "text", 2)
-    assert {r["term"] for r in two.collect()} == {"der", "hund"}
+    assert {r["term"] for r in two.collect()} == {"der", "hund", None}
     dense = {r["id"]: r["vec"] for r in vectors.sparse_to_dense(two).collect()}
     assert dense[0] == pytest.approx([a / np.hypot(a, b), b / np.hypot(a, b)]) and dense[1] == pytest.approx([1, 0])
+    assert dense[2] == [0, 0]
     pairs = spark.createDataFrame([(0, 1), (0, 2)], "src int, dst int")
     dots = {(r["src"], r["dst"]): r["weight"] for r in vectors.sparse_dots(two, two, pairs).collect()}
     assert dots[(0, 1)] == pytest.approx(a / np.hypot(a, b)) and dots[(0, 2)] == 0

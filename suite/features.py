@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions import arrays, scalars
 from cohortflow.operators import grids, splits
+from cohortflow.plans import prepare
 
 from .base import (CHANNELS, DAY, NORMALS, OBS, SEED, crowded_stays, floyd_sql, observations, query, r6, sql_hash, sql_uniform,
                    stay_labels, table)
@@ -239,6 +240,24 @@ def dense_grid(spark, sf):
     return _dense(spark, sf)
 
 
+@query("los_samples", f"""WITH {OBS},
+lab AS (SELECT stay_id, t * f AS t FROM stays CROSS JOIN (VALUES (0.05), (0.1)) v(f)),
+lim AS (SELECT o.*, l.t, CAST(least(floor(l.t + 1 - 1e-6), 72) AS INTEGER) AS n FROM obs o JOIN lab l USING (stay_id)),
+late AS (SELECT stay_id, t, min(row_no) AS late FROM lim WHERE hours > t + 1e-6 GROUP BY ALL),
+cl AS (SELECT lim.*, CAST(trunc(hours) AS INTEGER) AS h FROM lim LEFT JOIN late USING (stay_id, t) WHERE late IS NULL OR row_no < late),
+pl AS (SELECT *, CASE WHEN h = n THEN h - 1 ELSE h END AS slot, max(h - n) OVER (PARTITION BY stay_id, t ORDER BY row_no) AS over_by FROM cl)
+SELECT stay_id, round(t, 6) AS t, any_value(n) AS lens, count(DISTINCT slot || channel) FILTER (raw IS NOT NULL AND over_by <= 0) AS n_observed,
+       any_value(CASE WHEN t < 72 THEN 0 WHEN t < 168 THEN 1 WHEN t < 336 THEN 2 ELSE 3 END) AS label FROM pl GROUP BY stay_id, t""")
+def los_samples(spark, sf):
+    both = F.explode(F.array(F.lit(0.05), F.lit(0.1))).alias("f")
+    labels = stay_labels(spark, sf).select("stay_id", "t", both).select("stay_id", (F.col("t") * F.col("f")).alias("t"))
+    labels = labels.withColumn("y", F.col("t")).withColumn("sample_id", F.concat_ws("@", "stay_id", F.round("t", 6)))
+    obs = observations(spark, sf).withColumn("raw", F.col("raw").cast("string"))
+    s = prepare.episode_samples(obs, labels, "los", 72, channels=CHANNELS, normals=NORMALS, codes={})
+    seen = F.aggregate(F.flatten("mask"), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return s.select("stay_id", F.element_at(F.split("sample_id", "@"), 2).cast("double").alias("t"), "lens", seen.alias("n_observed"), "label")
+
+
 MEAN = f"""{OBS},
 lim AS (SELECT o.*, CAST(least(floor(s.t / 24 + 1 - 1e-6), {PERIOD}) AS INTEGER) AS n FROM obs o JOIN stays s USING (stay_id)),
 sl AS (SELECT *, CAST(trunc(hours / 24) AS INTEGER) AS h FROM lim),

@@ -10,12 +10,12 @@ from cohortflow.functions import answers
 from cohortflow.operators import entropy, metrics, rendering, splits
 from cohortflow.operators.joins import lookup
 from cohortflow.operators.vectors import l2_normalize
-from cohortflow.plans import catalogue
+from cohortflow.plans import catalogue, evaluate
 from cohortflow.session import work_folder
 from cohortflow.sources import tables
 from cohortflow.sources.episodes import channel_header, pool, read_questions, visits
 
-from .base import CHANNELS, DAY, OBS, PRED, SEED, observations, predictions, query, r6, sql_hash, table
+from .base import CHANNELS, DAY, OBS, PRED, SEED, curve_sql, observations, predictions, query, r6, sql_hash, table
 
 UNITS = {"click": "Unit: n.", "error": "Unit: /.", "purchase": "Unit: EUR.", "signup": "Unit: /.", "view": "Unit: n."}
 RANGES = {c: f"Reference range: 0 - {100 + i}." for i, c in enumerate(CHANNELS)}
@@ -288,6 +288,20 @@ def choice_validity(spark, sf):
     return v.select("l_linestatus", "n_valid", "n_dropped", r6("accuracy"))
 
 
+@query("response_report", f"""WITH {PRED}, r AS (SELECT CASE WHEN l_linenumber = 7 THEN -1.0 ELSE coarse END AS s, label FROM pred),
+inv AS (SELECT 1 - s AS score, 1 - label AS label FROM r), {curve_sql('inv', 'score', 'label')}
+SELECT 'inverted' AS report, 'auroc' AS metric, round(sum(neg * (tp - pos + pos / 2)) / max(np * nn), 6) AS value FROM curve
+UNION ALL SELECT 'inverted', 'auprc', round(sum(pos / np * p), 6) FROM curve
+UNION ALL SELECT 'recall_point', 'threshold', round(max(s) FILTER (r >= 0.9), 6) FROM curve
+UNION ALL SELECT 'plain', 'brier', round(avg((s - label) * (s - label)), 6) FROM r
+UNION ALL SELECT 'answers', 'n', count(*) FROM r UNION ALL SELECT 'answers', 'unread', count(*) FILTER (s < 0) FROM r""")
+def response_report(spark, sf):
+    said = F.when(F.col("l_linenumber") == 7, "no idea").otherwise(F.concat(F.lit("<think>3 of 7</think> My estimate: "), F.col("coarse").cast("string")))
+    report = evaluate.response_metrics(predictions(spark, sf).withColumn("said", said), "mortality", "said", "label")
+    wanted = F.concat_ws(".", "report", "metric").isin("inverted.auroc", "inverted.auprc", "recall_point.threshold", "plain.brier", "answers.n", "answers.unread")
+    return report.where(wanted).select("report", "metric", r6("value"))
+
+
 @query("strip_prompt", """
 SELECT conv_id, turn, CASE WHEN role = 'user' THEN trim(text, ' ' || chr(10)) ELSE 'and ' || role END AS answer FROM conversations""")
 def strip_prompt(spark, sf):
@@ -323,11 +337,12 @@ def option_vector(spark, sf):
 
 
 @query("option_probs", f"""WITH {SCORES}
-SELECT event_id, round(exp(a) / (exp(a) + coalesce(exp(b), 0)), 6) AS pa, round(coalesce(exp(b), 0) / (exp(a) + coalesce(exp(b), 0)), 6) AS pb, 0.0 AS pc
-FROM sc WHERE event_type <> 'view'""")
+SELECT event_id, round(CASE WHEN event_type = 'view' THEN 0.25 ELSE exp(a) / (exp(a) + coalesce(exp(b), 0)) END, 6) AS pa,
+       round(CASE WHEN event_type = 'view' THEN 0.25 ELSE coalesce(exp(b), 0) / (exp(a) + coalesce(exp(b), 0)) END, 6) AS pb,
+       CASE WHEN event_type = 'view' THEN 0.25 ELSE 0.0 END AS pc FROM sc""")
 def option_probs(spark, sf):
     v = answers.option_probs(F.col("m"), ["A", "B", "C", "D"])
-    return _scores(spark, sf).filter(F.col("m").isNotNull()).select("event_id", v.alias("v")).select(
+    return _scores(spark, sf).select("event_id", v.alias("v")).select(
         "event_id", r6(F.col("v")[0], "pa"), r6(F.col("v")[1], "pb"), F.col("v")[2].alias("pc"))
 
 

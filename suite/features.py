@@ -12,6 +12,7 @@ from .base import (CHANNELS, DAY, NORMALS, OBS, SEED, crowded_stays, floyd_sql,
                    stay_labels, table)
 
 PERIOD = 20  # slots of 24 hours
+WHOLE = 32  # slots that hold all rows of the 30-day table
 
 
 # ---- scalars -------------------------------------------------------------------------------------------------------
@@ -212,22 +213,21 @@ def window_slots(spark, sf):
 
 
 GRID = f"""{CLIP},
-slot AS (SELECT *, CASE WHEN CAST(trunc(hours / 24) AS INTEGER) >= {PERIOD} THEN {PERIOD - 1} ELSE CAST(trunc(hours / 24) AS INTEGER) END AS slot
-         FROM clipped WHERE hours < {(PERIOD + 1) * 24}),
+slot AS (SELECT *, CASE WHEN CAST(trunc(hours / 24) AS INTEGER) >= {WHOLE} THEN {WHOLE - 1} ELSE CAST(trunc(hours / 24) AS INTEGER) END AS slot
+         FROM clipped),
 grid AS (SELECT stay_id, slot, channel, arg_max(raw, row_no) AS value FROM slot WHERE raw IS NOT NULL GROUP BY ALL),
 ch AS (SELECT unnest({CHANNELS}) AS channel, unnest({list(NORMALS.values())}) AS normal),
 dense AS (SELECT s.stay_id, g.generate_series AS slot, c.channel, c.normal, grid.value, CAST(grid.value IS NOT NULL AS INTEGER) AS mask
-          FROM stays s CROSS JOIN generate_series(0, {PERIOD - 1}) g CROSS JOIN ch c
+          FROM stays s CROSS JOIN generate_series(0, {WHOLE - 1}) g CROSS JOIN ch c
           LEFT JOIN grid ON grid.stay_id = s.stay_id AND grid.slot = g.generate_series AND grid.channel = c.channel)"""
 
 
 def _grid(spark, sf):
-    obs = _clipped(spark, sf).filter(F.col("hours") < (PERIOD + 1) * DAY)
-    return grids.grid_last(obs, PERIOD, DAY)
+    return grids.grid_last(_clipped(spark, sf), WHOLE, DAY)
 
 
 def _dense(spark, sf):
-    return grids.dense_grid(_grid(spark, sf), stay_labels(spark, sf), CHANNELS, F.lit(PERIOD))
+    return grids.dense_grid(_grid(spark, sf), stay_labels(spark, sf), CHANNELS, F.lit(WHOLE))
 
 
 @query("grid_last", f"WITH {GRID} SELECT stay_id, slot, channel, value FROM grid")
@@ -307,13 +307,13 @@ def zscore_grid(spark, sf):
 
 
 def _samples(spark, sf):
-    dense = grids.standardized(_grid(spark, sf), stay_labels(spark, sf), CHANNELS, F.lit(PERIOD))
+    dense = grids.standardized(_grid(spark, sf), stay_labels(spark, sf), CHANNELS, F.lit(WHOLE))
     return grids.pack_samples(dense, CHANNELS)
 
 
 @query("pack_samples", f"""WITH {ZSCORE}, x AS (
   SELECT stay_id, slot, list(value ORDER BY channel) AS x, list(mask ORDER BY channel) AS m FROM z GROUP BY stay_id, slot)
-SELECT stay_id, slot, {PERIOD} AS lens, round(x[1], 6) AS x1, round(x[5], 6) AS x5,
+SELECT stay_id, slot, {WHOLE} AS lens, round(x[1], 6) AS x1, round(x[5], 6) AS x5,
        concat_ws('', m[1], m[2], m[3], m[4], m[5]) AS mask FROM x""")
 def pack_samples(spark, sf):
     s = _samples(spark, sf)

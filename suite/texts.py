@@ -121,14 +121,14 @@ def render_prompt(spark, sf):
 
 @query("scored_span", """
 WITH p AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'Some intro words' || chr(10) || 'Clinical Features Over Time:' || chr(10) || text || chr(10) || 'Label:'
-             WHEN lang = 'fr' THEN 'Only three words ' || text || ' Label: x Label: y' ELSE 'One Label: two Label: ' || lang END AS prompt, lang,
+             WHEN lang = 'fr' THEN 'Only three words ' || text || ' Label: x Label: y' ELSE 'One Label: ' || reverse(text) || ' Label: ' || lang END AS prompt, lang,
            len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents)
-SELECT doc_id, CASE lang WHEN 'en' THEN 7 WHEN 'fr' THEN 3 ELSE 3 END AS mask_start, CASE lang WHEN 'en' THEN 8 + n WHEN 'fr' THEN 6 + n ELSE 4 END AS mask_end FROM p""")
+SELECT doc_id, CASE lang WHEN 'en' THEN 7 WHEN 'fr' THEN 3 ELSE n + 2 END AS mask_start, CASE lang WHEN 'en' THEN 8 + n WHEN 'fr' THEN 6 + n ELSE n + 3 END AS mask_end FROM p""")
 def scored_span(spark, sf):
     d = table(spark, sf, "documents")
     prompt = (F.when(F.col("lang") == "en", F.concat(F.lit("Some intro words\n" + entropy.MARKER), "text", F.lit("\nLabel:")))
               .when(F.col("lang") == "fr", F.concat(F.lit("Only three words "), "text", F.lit(" Label: x Label: y")))
-              .otherwise(F.concat(F.lit("One Label: two Label: "), "lang")))
+              .otherwise(F.concat(F.lit("One Label: "), F.reverse("text"), F.lit(" Label: "), "lang")))
     return d.select("doc_id", entropy.scored_span(prompt, F.col("text")).alias("s")).select("doc_id", "s.*")
 
 

@@ -358,7 +358,9 @@ def tfidf_embed(spark, sf):
 
 def _mean_scorer():
     def score(pdf):
-        m = pdf["embedding"].apply(lambda v: float(sum(float(x) for x in v)))
+        import numpy as np
+
+        m = np.array(pdf["embedding"].tolist(), dtype=float).reshape(len(pdf), -1).sum(axis=1)
         return pdf[["vec_id"]].assign(total=m.round(4))
     return score
 

@@ -23,6 +23,7 @@ from .textkit import Hasher, Piece, SpanTokens, arrow_batch, byte_bpe, mix, piec
 SYMBOLS = "#*$%&|<>"
 SPAN = 128
 FENCE = 3.0
+MOST_BANDS = 10_000
 STEADY = 50  # words at which a measure counts for half of its distance from the median
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_piece double, "
             "chars_per_pair double, byte_share double, entropy double")
@@ -159,7 +160,9 @@ def judged(found: DataFrame, fence: float = FENCE) -> DataFrame:
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     quart = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q_{c}")
     names = ["chars_per_piece", "chars_per_pair", "byte_share", "entropy"]
-    bands = found.where("NOT base_failed").groupBy("band").agg(*[quart(c) for c in names])
+    bands = written(found.where("NOT base_failed").groupBy("band").agg(*[quart(c) for c in names]), "bands")
+    if bands.count() <= MOST_BANDS:  # twelve numbers a language; more than that are joined by shuffle
+        bands = F.broadcast(bands)
 
     def off(c):  # distance from the median, less for short texts, in interquartile ranges beyond the quartile on that side
         q = F.col(f"q_{c}")

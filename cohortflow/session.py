@@ -33,6 +33,29 @@ def work_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+_SCOPE: dict[str, str] = {}  # folder for tables written now, by application
+
+
+def new_scope(spark: SparkSession) -> str:
+    """Until :func:`end_scope`, tables go to a folder of their own, which :func:`drop_scope` removes when nothing reads it."""
+    name = _SCOPE[spark.sparkContext.applicationId] = f"scope-{uuid.uuid4().hex}"
+    return name
+
+
+def end_scope(spark: SparkSession) -> None:
+    _SCOPE.pop(spark.sparkContext.applicationId, None)
+
+
+def drop_scope(spark: SparkSession, name: str) -> None:
+    """Remove the tables of a scope; what was computed from them must be stored before."""
+    _drop(spark, f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}/{name}")
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
@@ -40,7 +63,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     of recomputing every earlier round, and the next plan knows the real table size.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{work_folder(spark)}/cohortflow/{app}/{_SCOPE.get(app, 'tables')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,5 +78,4 @@ def written_with(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame,
 
 def drop_written(spark: SparkSession) -> None:
     """Remove all tables this application wrote through :func:`written`; results must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _drop(spark, f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}")

@@ -329,12 +329,13 @@ def test_wrappers_without_article(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        docs = stage(spark, before, SF)
+        stage(spark, before, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
         if name != "pack":
             assert docs.columns == before.columns and docs.schema.names == before.schema.names
         rows, had = docs.collect(), [(r.doc_id, r.text) for r in before.collect()]

@@ -5,6 +5,7 @@
 2. A node gets ``trees * depth`` min-hashes. In each tree the nodes are sorted by their ``depth`` values. A region
    is a run with a common prefix of ``least`` values; one of at most ``crowd`` nodes is compared as a whole. In a larger
    region a node is compared with the neighbours of longest prefix, ``reach`` on either side: there the depth adapts.
+   What these leave apart in a crowded region is compared with the whole region at the end, in blocks.
 3. Candidates are checked in rounds: each node's best one first, then 4, 16, ... more. A round estimates the similarity
    from one-byte sketches, confirms on full sets, and unites. Candidates inside one component need no more checks, so a
    crowd of copies costs a few checks a node. Rounds end when no candidate is left.
@@ -66,8 +67,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, reach: int = REACH,
-               crowd: int = CROWD) -> DataFrame:
-    """(a, b, score): candidate pairs a < b; the score sums the prefixes they share over all trees."""
+               crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, score), a < b, the score being the prefixes they share, summed over all trees; and the nodes
+    (node, region) of regions that are too crowded to be compared as a whole."""
     spark = nodes.sparkSession
     keys = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
                         lambda t: F.substring(F.col("keys"), t * (2 * depth) + 1, F.lit(2 * depth)))).alias("tree", "key"))
@@ -81,6 +83,13 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
         apart = (tree[1:] != tree[:-1]) | (vals[1:, :least] != vals[:-1, :least]).any(axis=1)
         return vals, np.concatenate([[0], np.cumsum(apart)])
 
+    def region(tree, vals):
+        """Number of a row's region, from its tree and prefix."""
+        out = mix(tree.astype(np.uint64) + np.uint64(1))
+        for i in range(least):
+            out = mix(out ^ vals[:, i].astype(np.uint64))
+        return out.astype(np.int64)
+
     def near(vals, run, crowded, node, before, after):
         """Pairs of a run, the first ahead of position ``before``, the second from ``after`` on; in a crowded run at most
         ``reach`` apart in the order."""
@@ -117,6 +126,8 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
             stop = first if open_ else len(node)
             for a, b, s in near(vals[:stop], run[:stop], crowded[:stop], node[:stop], stop, done):
                 yield pd.DataFrame({"a": a, "b": b, "score": s, "part": -1, "tree": 0, "key": None, "pos": 0})
+            new = np.flatnonzero(crowded[done:stop]) + done
+            yield pd.DataFrame({"a": node[new], "b": region(pdf["tree"].to_numpy()[new], vals[new]), "score": 0, "part": -2, "tree": 0, "key": None, "pos": 0})
             size = int(sizes[-1])
             held = pdf.iloc[first:] if open_ else pdf.iloc[max(first, len(pdf) - reach):]
             done = 0 if open_ else len(held)
@@ -141,14 +152,17 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
 
         pdf = pdf.sort_values("pos")
         vals, run = runs(pdf["tree"].to_numpy(), pdf["key"].tolist())
-        cut, node = int((pdf["pos"] < 0).sum()), pdf["a"].to_numpy()
-        got = list(near(vals, run, np.bincount(run)[run] > crowd, node, cut, cut))
+        cut, node, crowded = int((pdf["pos"] < 0).sum()), pdf["a"].to_numpy(), np.bincount(run)[run] > crowd
+        got = list(near(vals, run, crowded, node, cut, cut))
         a, b, s = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
-        return pd.DataFrame({"a": a, "b": b, "score": s})
+        at = np.flatnonzero(crowded & np.isin(run, np.intersect1d(run[:cut], run[cut:])))
+        over = pd.DataFrame({"a": node[at], "b": region(pdf["tree"].to_numpy()[at], vals[at]), "score": 0, "part": -2})
+        return pd.concat([pd.DataFrame({"a": a, "b": b, "score": s, "part": -1}), over])
 
-    over = found.where("part >= 0").groupBy("part").applyInPandas(meet, "a long, b long, score long")
-    both = found.where("part = -1 AND a <> b").select("a", "b", "score").unionByName(over.where("a <> b"))
-    return both.groupBy("a", "b").agg(F.sum("score").alias("score"))
+    over = written(found.where("part >= 0").groupBy("part").applyInPandas(meet, "a long, b long, score long, part int"), "forest-edges")
+    all_ = found.where("part < 0").select("a", "b", "score", "part").unionByName(over)
+    pairs = all_.where("part = -1 AND a <> b").groupBy("a", "b").agg(F.sum("score").alias("score"))
+    return pairs, all_.where("part = -2").select(F.col("a").alias("node"), F.col("b").alias("region")).distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -190,19 +204,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            good = []
-            for u, v in zip(pdf["full_a"], pdf["full_b"]):
-                x, y = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [enough(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), percent) for u, v in zip(pdf["full_a"], pdf["full_b"])]
             yield pdf.loc[np.array(good, bool), ["a", "b"]]
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "full_a", "full_b").mapInPandas(run, "a long, b long")
 
 
+def strays(crowds: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, floor: float, block: int = 512) -> DataFrame:
+    """Links (a, b) in crowded regions between nodes of different components, all that there are.
+
+    In each region the nodes outside its largest component are a query set against all of its nodes, in blocks of both;
+    blocks meet in tasks of bounded size, sketches sort out the unlikely, and only links leave a task (one for each query
+    and component). A region that is one component already costs nothing.
+    """
+    member = written(crowds.join(labels, "node"), "crowd")
+    sizes = member.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    shape = sizes.groupBy("region").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    dealt = member.join(shape, "region").select(
+        "region", "node", "label", (F.col("label") != F.col("main.label")).alias("asks"), F.ceil(F.col("total") / block).cast("int").alias("nb"),
+        F.ceil((F.col("total") - F.col("main.n")) / block).cast("int").alias("nq"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = dealt.select("region", "node", "label", F.lit(False).alias("asks"), own("nb").alias("bb"), each("nq").alias("qb"))
+    asks = dealt.where("asks").select("region", "node", "label", F.lit(True).alias("asks"), own("nq").alias("qb"), each("nb").alias("bb"))
+    rows = base.unionByName(asks).join(nodes.select("node", "sketch"), "node").join(sets, "node")
+
+    def compare(pdf):
+        import pandas as pd
+
+        base, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
+        links = []
+        if len(base) and len(asking):
+            sketch, label, node = np.stack([np.frombuffer(x, np.uint8) for x in base["sketch"]]), base["label"].to_numpy(), base["node"].to_numpy()
+            full = [np.frombuffer(x, np.uint64) for x in base["full"]]
+            for v, lab, sk, raw in zip(asking["node"], asking["label"], asking["sketch"], asking["full"]):
+                alike = ((sketch == np.frombuffer(sk, np.uint8)).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                x, seen = np.frombuffer(raw, np.uint64), {lab}
+                for i in np.flatnonzero(alike >= percent / 100 - floor).tolist():
+                    if label[i] not in seen and enough(x, full[i], percent):
+                        seen.add(label[i])
+                        links.append((min(v, node[i]), max(v, node[i])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("region", "bb", "qb").applyInPandas(compare, "a long, b long").distinct()
+
+
+def enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct values."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def united(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) after spreading the smallest label over links, and from each label's own node to its followers."""
     edges = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))), "edges")
@@ -223,7 +280,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_shingles, component_id) of every row of ``docs``; ``floor``: how far below ``percent`` a sketch may say."""
     rows = written(signatures(docs, id_col, text_col, k), "signatures")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
-    pairs = written(neighbours(nodes, **forest), "candidates")
+    pairs, crowds = neighbours(nodes, **forest)
+    pairs, crowds = written(pairs, "candidates"), written(crowds, "crowds")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "sketch"), "in-pairs")
     sets = written(full_sets(docs, wanted, id_col, text_col, k), "sets")
@@ -241,6 +299,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
         pairs = written(rest.join(one, "a").join(two, "b").where("label_a <> label_b").select("a", "b", "score"), "candidates")
         best *= 4
+    if not crowds.isEmpty():
+        labels = united(labels, written(strays(crowds, wanted, sets, labels, percent, floor), "links"))
     labels = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce(F.when(F.col("label") < 2**63 - 1, F.col("label")), "doc_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "node").join(written(labels, "components"), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -6,8 +6,6 @@ text is a piece of its own. Hashes are 64-bit: a random polynomial over code poi
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 PIECE = 1 << 17
@@ -273,5 +271,3 @@ def token_ids(texts: list, spans: SpanTokens, hasher: Hasher):
         for i in range(p.n):
             yield flat[at[i]:at[i + 1]]
 
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -191,8 +191,8 @@ def main_text(page: str, wrapper: list[list], region: list[str] | None) -> str:
         if region is None:
             return in_article(path)
         node = wrapper[seen[place[index]]] if place[index] in seen else None
-        fixed = node is not None and node[3] is not None and len(wrapper) and not node[1]
-        return list(path[:len(region)]) == region and not (fixed and not alone)
+        fixed = node is not None and node[3] is not None and not node[1]  # on every page, and the same
+        return list(path[:len(region)]) == region and (alone or not fixed)
 
     alone = all(n[3] is not None for n in wrapper if n[0] == "#")  # one page, or equal pages: nothing tells slots from fixed text
     chosen = {i for i, (key, _, path) in enumerate(tokens) if key == "#" and wanted(i, path)}
@@ -221,14 +221,13 @@ def inferred(pages: DataFrame) -> DataFrame:
 
     def learn(batches):
         known: dict[str, list] = {}
-        part = 0
         for batch in batches:
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 nodes = of_page(stream(page))[0]
                 known[h] = merged(known[h], nodes) if h in known else nodes
             if len(known) > 2000:  # hand out and begin anew; merging joins the parts
                 yield arrow_batch("host string, wrapper string", [list(known), [json.dumps(w) for w in known.values()]])
-                known, part = {}, part + 1
+                known = {}
         yield arrow_batch("host string, wrapper string", [list(known), [json.dumps(w) for w in known.values()]])
 
     def merge(pdf):

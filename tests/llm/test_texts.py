@@ -53,7 +53,7 @@ def test_shingles(given):
 
 
 def scored(rows):
-    tokens = [WORD.findall((t or "").translate(LOW)) + ["\0"] for _, t in rows]
+    tokens = [[*WORD.findall((t or "").translate(LOW)), None] for _, t in rows]  # None: the end
     held = [zlib.crc32((str(d) if d is not None else "").encode()) % 5 == 1 for d, _ in rows]
     c = Counter(w for t, h in zip(tokens, held) if not h for w in t)
     n, v = sum(c.values()), len(c)

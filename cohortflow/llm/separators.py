@@ -87,7 +87,7 @@ def searched(blocks: DataFrame, end: int = END) -> DataFrame:
 
 def documents(found: DataFrame, group: int = GROUP) -> DataFrame:
     """(file, doc_no, start, n_tokens, ended) from searched blocks; n_tokens counts the end id. ``found`` is read three times."""
-    s = found.select("file", "block", (F.col("block") / group).cast("long").alias("group"), "n_ids", F.size("ends").alias("n_ends"), F.element_at("ends", -1).alias("last"), "ends")
+    s = found.select("file", "block", (F.col("block") / group).cast("long").alias("group"), "n_ids", F.size("ends").alias("n_ends"), F.try_element_at("ends", F.lit(-1)).alias("last"), "ends")
     before = lambda *by: Window.partitionBy("file", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     # Inside a group: ids and ends before each block, and where the open document began, as an offset in the group.

@@ -318,7 +318,7 @@ def test_wrappers_without_article(spark):
     for i in range(12):
         menu = "".join(f"<li><a href=x>m{i}{k}</a></li>" for k in range(1 + i % 4))
         extra = "<h2>Sub &amp; title</h2>" if i % 3 == 0 else ""
-        rows.append((i, "http://h.example/x", f"<html><body><ul class='menu'>{menu}</ul><div id=c><p>Fixed line here</p>{extra}<p>Text number {i} &lt;b&gt; with\n  words</p>"
+        rows.append((i, "http://h.example/x", f"<html><body><ul class='menu'>{menu}</ul><div id=c><h4>Fixed line here</h4>{extra}<p>Text number {i} &lt;b&gt; with\n  words</p>"
                      f"<div class='comments'><p>comment {i}</p></div></div><div class=foot><p>Fixed foot</p></div><script>if (a < b) {{ '<p>' }}</script></body></html>"))
     rows += [(20, "http://one.example/", "<div><p>alone</p></div>"), (21, None, None), (22, "http://h.example/", ""), (23, "bad url", "plain <b>text</b> & more <"),
              (24, "http://a.example", "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>")]

@@ -6,9 +6,10 @@
    is a run with a common prefix of ``least`` values; one of at most ``crowd`` nodes is compared as a whole. In a larger
    region a node is compared with the neighbours of longest prefix, ``reach`` on either side: there the depth adapts.
    What these leave apart in a crowded region is compared with the whole region at the end, in blocks.
-3. Candidates are checked in rounds: each node's best one first, then 4, 16, ... more. A round estimates the similarity
-   from one-byte sketches, confirms on full sets, and unites. Candidates inside one component need no more checks, so a
-   crowd of copies costs a few checks a node. Rounds end when no candidate is left.
+3. A neighbour is a candidate if one-byte sketches of all min-hashes promise it (0.15 below the threshold, more than four
+   deviations). Candidates are checked in rounds: each node's best one first, then 4, 16, ... more. A round confirms on
+   full sets and unites. Candidates inside one component need no more checks, so a crowd of copies costs a few checks a
+   node. Rounds end when no candidate is left.
 
 No step gathers a group: orders are range partitions with the node itself as last key, components spread smallest ids
 over links of bounded degree. Stages are written to the shared folder, so a lost executor repeats only its part.
@@ -67,13 +68,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, reach: int = REACH,
-               crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+               crowd: int = CROWD, promise: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b, score), a < b, the score being the prefixes they share, summed over all trees; and the nodes
     (node, region) of regions that are too crowded to be compared as a whole."""
     spark = nodes.sparkSession
-    keys = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
+    keys = nodes.select("node", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
                         lambda t: F.substring(F.col("keys"), t * (2 * depth) + 1, F.lit(2 * depth)))).alias("tree", "key"))
-    keys = written(keys, "forest-keys")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keys.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
 
@@ -90,9 +90,10 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
             out = mix(out ^ vals[:, i].astype(np.uint64))
         return out.astype(np.int64)
 
-    def near(vals, run, crowded, node, before, after):
-        """Pairs of a run, the first ahead of position ``before``, the second from ``after`` on; in a crowded run at most
-        ``reach`` apart in the order."""
+    def near(vals, run, crowded, node, sketch, before, after):
+        """Pairs of a run whose sketches promise ``promise`` or more, the first ahead of position ``before``, the second from
+        ``after`` on; in a crowded run at most ``reach`` apart in the order."""
+        bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
         step, at = 1, np.arange(len(node))
         while True:
             at = at[at + step < len(node)]
@@ -100,6 +101,7 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
             if not len(at):
                 return
             i = at[(at < before) & (at + step >= after)]
+            i = i[likeness(bits[i], bits[i + step]) >= promise]
             if len(i):
                 lcp = np.cumprod(vals[i] == vals[i + step], axis=1).sum(axis=1)
                 x, y = node[i], node[i + step]
@@ -124,10 +126,10 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
             first = int(np.searchsorted(run, run[-1]))
             open_ = not last and not crowded[-1]
             stop = first if open_ else len(node)
-            for a, b, s in near(vals[:stop], run[:stop], crowded[:stop], node[:stop], stop, done):
-                yield pd.DataFrame({"a": a, "b": b, "score": s, "part": -1, "tree": 0, "key": None, "pos": 0})
+            for a, b, s in near(vals[:stop], run[:stop], crowded[:stop], node[:stop], pdf["sketch"].tolist()[:stop], stop, done):
+                yield pd.DataFrame({"a": a, "b": b, "score": s, "part": -1, "tree": 0, "key": None, "sketch": None, "pos": 0})
             new = np.flatnonzero(crowded[done:stop]) + done
-            yield pd.DataFrame({"a": node[new], "b": region(pdf["tree"].to_numpy()[new], vals[new]), "score": 0, "part": -2, "tree": 0, "key": None, "pos": 0})
+            yield pd.DataFrame({"a": node[new], "b": region(pdf["tree"].to_numpy()[new], vals[new]), "score": 0, "part": -2, "tree": 0, "key": None, "sketch": None, "pos": 0})
             size = int(sizes[-1])
             held = pdf.iloc[first:] if open_ else pdf.iloc[max(first, len(pdf) - reach):]
             done = 0 if open_ else len(held)
@@ -143,9 +145,9 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
             yield from pairs(held.reset_index(drop=True), True)
         if tail is not None:  # the ends of this partition meet those of the next
             for rows, at, pos in ((tail, part, np.arange(len(tail)) - len(tail)), (head, part - 1, np.arange(len(head)))):
-                yield pd.DataFrame({"a": rows["node"].to_numpy(), "b": rows["node"].to_numpy(), "score": 0, "part": at, "tree": rows["tree"].to_numpy(), "key": rows["key"].tolist(), "pos": pos})
+                yield pd.DataFrame({"a": rows["node"].to_numpy(), "b": rows["node"].to_numpy(), "score": 0, "part": at, "tree": rows["tree"].to_numpy(), "key": rows["key"].tolist(), "sketch": rows["sketch"].tolist(), "pos": pos})
 
-    found = written(ordered.mapInPandas(scan, "a long, b long, score long, part int, tree int, key binary, pos int"), "forest-pairs")
+    found = written(ordered.mapInPandas(scan, "a long, b long, score long, part int, tree int, key binary, sketch binary, pos int"), "forest-pairs")
 
     def meet(pdf):
         import pandas as pd
@@ -153,7 +155,7 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
         pdf = pdf.sort_values("pos")
         vals, run = runs(pdf["tree"].to_numpy(), pdf["key"].tolist())
         cut, node, crowded = int((pdf["pos"] < 0).sum()), pdf["a"].to_numpy(), np.bincount(run)[run] > crowd
-        got = list(near(vals, run, crowded, node, cut, cut))
+        got = list(near(vals, run, crowded, node, pdf["sketch"].tolist(), cut, cut))
         a, b, s = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
         at = np.flatnonzero(crowded & np.isin(run, np.intersect1d(run[:cut], run[cut:])))
         over = pd.DataFrame({"a": node[at], "b": region(pdf["tree"].to_numpy()[at], vals[at]), "score": 0, "part": -2})
@@ -185,17 +187,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
     return sets.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("full").alias("full"))
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
-    """Pairs whose sketches promise a similarity of ``floor`` or more."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                x, y = (np.stack([np.frombuffer(v, np.uint8) for v in pdf[c]]) for c in ("sketch_a", "sketch_b"))
-                yield pdf.loc[((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= floor, ["a", "b"]]
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInPandas(run, "a long, b long")
+def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of sets as their sketches (last axis) tell it, by chance agreements corrected."""
+    return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +232,7 @@ def strays(crowds: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFra
             sketch, label, node = np.stack([np.frombuffer(x, np.uint8) for x in base["sketch"]]), base["label"].to_numpy(), base["node"].to_numpy()
             full = [np.frombuffer(x, np.uint64) for x in base["full"]]
             for v, lab, sk, raw in zip(asking["node"], asking["label"], asking["sketch"], asking["full"]):
-                alike = ((sketch == np.frombuffer(sk, np.uint8)).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                alike = likeness(sketch, np.frombuffer(sk, np.uint8))
                 x, seen = np.frombuffer(raw, np.uint64), {lab}
                 for i in np.flatnonzero(alike >= percent / 100 - floor).tolist():
                     if label[i] not in seen and enough(x, full[i], percent):
@@ -280,9 +274,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_shingles, component_id) of every row of ``docs``; ``floor``: how far below ``percent`` a sketch may say."""
     rows = written(signatures(docs, id_col, text_col, k), "signatures")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
-    pairs, crowds = neighbours(nodes, **forest)
+    pairs, crowds = neighbours(nodes, promise=percent / 100 - floor, **forest)
     pairs, crowds = written(pairs, "candidates"), written(crowds, "crowds")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
     wanted = written(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "sketch"), "in-pairs")
     sets = written(full_sets(docs, wanted, id_col, text_col, k), "sets")
     # Nodes without a smaller id than null sort last: their label is their own hash among nodes with no id at all.
@@ -292,8 +286,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ends = pairs.select(F.col("a").alias("node"), "score", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "score", "a", "b"))
         top = F.slice(F.sort_array(F.collect_list(F.struct("score", "a", "b")), False), 1, best)  # a node has at most 2 * reach * trees pairs
         now = written(ends.groupBy("node").agg(top.alias("top")).select(F.explode("top").alias("p")).select("p.a", "p.b").distinct(), "round")
-        likely = written(estimated(now, wanted, percent / 100 - floor), "likely")
-        links = written(confirmed(likely, sets, percent), "links")
+        links = written(confirmed(now, sets, percent), "links")
         labels = united(labels, links)
         rest = pairs.join(now, ["a", "b"], "left_anti")
         one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")

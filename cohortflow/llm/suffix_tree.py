@@ -1,15 +1,18 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts are word sequences of variable length. A sequence is counted if its relative frequency in the training words is
-``RARE`` or more (and it occurs twice), so each level of the tree has at most ``1 / RARE`` entries whatever the corpus, and
-that is the bound of what is broadcast. A context becomes a node if its next-word distribution differs from that of its
+Contexts are word sequences of variable length. Every sequence that occurs ``LEAST`` times in the training words is counted,
+however large the corpus. A context becomes a node if its next-word distribution differs from that of its
 suffix: its count times the divergence must reach ``TAU`` nats; the suffixes of a node are nodes. The distribution of a node
 is smoothed by its parent: counted next words share ``count / (node's count + MU)``, the rest goes to the parent's
 distribution; the root is add-one-half over all words and one unknown word. All of these sum to one. A text is scored from
 the longest suffix of what was read that is a node.
 
-Counts: every training word is counted (map-side sums, one shuffle a level). Words below ``RARE`` are not broadcast: texts
-meet their counts in a shuffle join by word hash.
+Sequences are 64-bit hashes. Each length is a written table of (sequence, context, suffix, count), and the tree is joins of
+these tables. A score is the root's plus one gain for each sequence of the tree found in the text (see :func:`gains`), so
+texts meet the tree by sequence, and only sums are left. Nothing that is collected grows with the corpus: gains of sequences
+with a share of ``RARE`` or more go to every task (at most ``1 / RARE`` of a length), the others are joined by shuffle; which
+way a sequence takes changes no result. Filters of a fixed size tell tasks what cannot be in a table; what they let through
+wrongly is dropped by the join.
 
 A null or empty text is its end alone. A null id is the empty id for the training split. Repeated rows are scored each.
 Other columns are ignored. Without training words all counts are zero.
@@ -17,17 +20,21 @@ Other columns are ignored. Without training words all counts are zero.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortflow.session import written, written_with
 
 from .textkit import Hasher, Piece, arrow_batch, mix, pieces
 
-RARE, BITS = 2.0**-21, 21
+RARE, BITS, LEAST = 2.0**-21, 21, 2
 TAU, MU, CONTEXT = 10.0, 16.0, 3
+FILTER = 26  # bits of a slot's number in a filter
+COUNTED = "key long, n long, context long, suffix long"
 END_HASH = np.int64(0x5BF03635D1B54A32)
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, keys array<long>, times array<int>, n_words int"
 
 
 class Lookup:
@@ -60,15 +67,14 @@ class Lookup:
 
 
 class Sums:
-    """Counts of 64-bit keys in bounded memory: what grows beyond ``most`` is handed out."""
+    """Counts of 64-bit keys, with columns that each key decides, in bounded memory: what grows beyond ``most`` is handed out."""
 
     def __init__(self, most: int = 2_000_000):
-        self.most, self.keys, self.counts, self.size = most, [], [], 0
+        self.most, self.parts, self.size = most, [], 0
 
-    def add(self, keys: np.ndarray):
-        k, n = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(n)
+    def add(self, keys: np.ndarray, *more: np.ndarray):
+        k, first, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append([k, n, *(x[first] for x in more)])
         self.size += len(k)
         if self.size > self.most:
             self.merge()
@@ -76,19 +82,21 @@ class Sums:
                 yield from self.out()
 
     def merge(self):
-        k = np.concatenate(self.keys) if self.keys else np.zeros(0, np.int64)
-        n = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
+        if not self.parts:
+            return
+        k, n, *more = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(k, kind="stable")
         k, n = k[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        self.keys, self.counts = [k[first]], [np.add.reduceat(n, first) if len(k) else n]
+        self.parts = [[k[first], np.add.reduceat(n, first) if len(k) else n, *(x[order[first]] for x in more)]]
         self.size = len(first)
 
     def out(self):
         self.merge()
         for lo in range(0, self.size, 1 << 18):
-            yield arrow_batch("key long, n long", [self.keys[0][lo:lo + (1 << 18)].astype(np.int64), self.counts[0][lo:lo + (1 << 18)].astype(np.int64)])
-        self.keys, self.counts, self.size = [], [], 0
+            cols = [x[lo:lo + (1 << 18)].astype(np.int64) for x in self.parts[0]]
+            yield arrow_batch(", ".join(COUNTED.split(", ")[:len(cols)]), cols)
+        self.parts, self.size = [], 0
 
 
 def token_hashes(texts: list, hasher: Hasher):
@@ -105,51 +113,104 @@ def token_hashes(texts: list, hasher: Hasher):
         yield lo, out, doc
 
 
-def grams(tokens: np.ndarray, doc: np.ndarray, words: Lookup, levels: list[Lookup]) -> list[np.ndarray]:
-    """For each length, the number of the counted sequence that ends at each token, or -1."""
-    found = [words.find(tokens)]
-    for level in levels:
-        out, code, at = np.full(len(tokens), -1, np.int64), *extended(found[-1], found[0], doc)
-        out[at] = level.find(code)
-        found.append(out)
+def sequences(tokens: np.ndarray, doc: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the hash of the sequence that ends at each token, and whether the text has it."""
+    word = mix(tokens.view(np.uint64))
+    found = [(tokens, np.ones(len(tokens), bool))]
+    for _ in range(1, longest):
+        h, ok = found[-1]
+        key, has = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        key[1:] = mix(mix(h[:-1].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + word[1:]).view(np.int64)
+        has[1:] = ok[:-1] & (doc[1:] == doc[:-1])
+        found.append((key, has))
     return found
 
 
-def extended(last: np.ndarray, word: np.ndarray, doc: np.ndarray):
-    """Codes (sequence that ends before, this word) where both are counted, and their positions."""
-    at = np.flatnonzero((last[:-1] >= 0) & (word[1:] >= 0) & (doc[:-1] == doc[1:])) + 1
-    return (last[at - 1] << BITS) | word[at], at
+def filtered(keys: DataFrame) -> np.ndarray:
+    """Filter of the column ``key``: one bit a slot, of a fixed size."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER) - 1))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    t = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER - 6), np.int64)
+    out[t["at"].to_numpy()] = t["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def passes(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.int64((1 << FILTER) - 1)
+    return (seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
-def counted(rows: DataFrame, model) -> DataFrame:
-    """(key, n): counts of words, or of sequences one longer than the model's, in the training texts."""
+def counted(rows: DataFrame, length: int, model) -> DataFrame:
+    """COUNTED of the sequences of this length in the training texts, those whose context and suffix pass the filter; words
+    have a key and a count alone."""
+    schema = COUNTED if length > 1 else "key long, n long"
 
     def run(batches):
         hasher, sums = Hasher(), Sums()
-        words, levels = model.value if model else (None, [])
         for batch in batches:
             for _, tokens, doc in token_hashes(batch.column(0).to_pylist(), hasher):
-                if words is None:
+                found = sequences(tokens, doc, length)
+                if length == 1:
                     yield from sums.add(tokens)
-                else:
-                    found = grams(tokens, doc, words, levels)
-                    yield from sums.add(extended(found[-1], found[0], doc)[0])
-        yield from sums.out()
-
-    parts = rows.where("NOT held_out").select("text").mapInArrow(run, "key long, n long")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def gathered(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of at least ``least`` (a share RARE of all, so 1 / RARE of them at most), sorted by key."""
-    t = counts.where(F.col("n") >= F.lit(float(least))).toArrow()
-    key, n = t["key"].to_numpy(), t["n"].to_numpy()
+                    continue
+                (shorter, _), (key, has) = found[-2:]
+                at = np.flatnonzero(has)
+                at = at[passes(model.value, shorter[at - 1]) & passes(model.value, shorter[at])]
+                yield from sums.add(key[at], shorter[at - 1], shorter[at])
+        if sums.parts:
+            yield from sums.out()
+
+    parts = rows.where("NOT held_out").select("text").mapInArrow(run, schema)
+    return parts.groupBy("key").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "suffix") if length > 1))
+
+
+def grown(found: DataFrame, shorter: DataFrame, tau: float = TAU, mu: float = MU) -> DataFrame:
+    """Sequences of one length with ``p``, their last word's probability after their context were it a node, ``gain``, ``rest``
+    (log10 of what the context leaves to its parent), ``total`` (the context's count), and ``node``: it diverges enough.
+    ``shorter`` has (key, n, p)."""
+    with_parent = found.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix")
+    both = with_parent.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+    each = Window.partitionBy("context")
+    share = F.col("n") / F.col("total")
+    of = both.withColumns({"seen": F.sum("n").over(each) / F.col("total"), "by_parent": F.least(F.sum("parent").over(each), F.lit(1 - 1e-9)),
+                           "apart": F.sum(share * F.log(share / F.col("parent"))).over(each), "left": 1 - F.sum("n").over(each) / (F.col("total") + mu)})
+    other = 1 - F.col("seen")
+    apart = F.col("apart") + F.when(other > 1e-12, other * F.log(other / (1 - F.col("by_parent")))).otherwise(0.0)
+    p = F.col("n") / (F.col("total") + mu) + F.col("left") * F.col("parent")
+    return of.select("key", "context", "suffix", "n", "total", p.alias("p"), F.log10(p / (F.col("left") * F.col("parent"))).alias("gain"),
+                     F.log10("left").alias("rest"), (F.col("total") * apart >= tau).alias("node"))
+
+
+def gains(levels: list[DataFrame]) -> DataFrame:
+    """(key, n, gain) of the tree's sequences.
+
+    After a node an unseen word has the parent's probability times the rest, a counted one its own. So every node adds its
+    rest to the score wherever it precedes a word, and every counted word after a node the log of its probability over rest
+    times parent's. Suffixes of nodes are nodes and counted words are counted after the suffix, so these add up to the longest
+    one's. A sequence may be a context and the end of another: its gains are summed.
+    """
+    out, longer = [], None
+    for k in range(len(levels) - 1, -1, -1):
+        nodes = levels[k].where("node").select("context")
+        nodes = written((nodes if longer is None else nodes.unionByName(longer)).distinct(), "nodes")
+        mine = levels[k].join(nodes, "context", "left_semi")
+        out += [mine.select("key", "n", "gain"), mine.groupBy("context").agg(F.first("total").alias("n"), F.first("rest").alias("gain")).withColumnRenamed("context", "key")]
+        longer = levels[k - 1].join(nodes.withColumnRenamed("context", "key"), "key", "left_semi").select(F.col("suffix").alias("context")) if k else None
+    return reduce(DataFrame.unionByName, out).groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain"))
+
+
+def gathered(table: DataFrame, least: float, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a count of at least ``least`` (a share RARE of all, so 1 / RARE of a length at most), sorted by key."""
+    t = table.where(F.col("n") >= F.lit(float(least))).select("key", value).toArrow()
+    key, x = t["key"].to_numpy(), t[value].to_numpy()
     order = np.argsort(key)
-    return key[order].astype(np.int64), n[order].astype(np.int64)
+    return key[order].astype(np.int64), x[order]
 
 
 def tree(keys: list[np.ndarray], counts: list[np.ndarray], root: np.ndarray, tau: float = TAU, mu: float = MU):
-    """Per level: log10 probabilities of entries given their context, and log10 of what nodes leave to their parents.
+    """The tree of counts in memory (:func:`grown` and :func:`gains` are its form for tables). Per level: log10 probabilities of
+    entries given their context, and log10 of what nodes leave to their parents.
 
     ``keys[k]`` are codes (context's number in level k - 1, word), ``root`` the words' probabilities. A context that is no
     node has NaN as its rest.
@@ -189,70 +250,83 @@ def tree(keys: list[np.ndarray], counts: list[np.ndarray], root: np.ndarray, tau
     return [np.log10(x) for x in final[1:]], [np.where(node, np.log10(rest), np.nan) for node, rest in rests]
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, context: int = CONTEXT) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, context: int = CONTEXT,
+           rare: float = RARE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; training: other folds."""
     sc = docs.sparkSession.sparkContext
     fold = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), (fold == held).alias("held_out"), docs[id_col].cast("long").alias("doc_id"))
-    vocabulary, size = written_with(counted(rows, None), "words", total=F.sum("n"), distinct=F.count("*"))
+    vocabulary, size = written_with(counted(rows, 1, None), "words", total=F.sum("n"), distinct=F.count("*"))
     total, distinct = size["total"] or 0, size["distinct"] or 0
-    least = max(2.0, RARE * total)
+    least = max(float(LEAST), rare * total)
     below = total + 0.5 * (distinct + 1)
-    key, n = gathered(vocabulary, least)
-    keys, counts, words = [key], [n], Lookup(key)
-    levels: list[Lookup] = []
-    while len(levels) < context and len(keys[-1]):
-        model = sc.broadcast((words, levels))
-        key, n = gathered(counted(rows, model), least)
-        keys.append(key)
-        counts.append(n)
-        levels.append(Lookup(key))
-    root = (counts[0] + 0.5) / below
-    entries, rests = tree(keys, counts, root)
+    shorter = vocabulary.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(float(below)))
+    levels: list[DataFrame] = []
+    for length in range(2, context + 2):
+        found = counted(rows, length, sc.broadcast(filtered(shorter))).where(F.col("n") >= LEAST)
+        levels.append(written(grown(found, shorter), "sequences"))
+        shorter = levels[-1]
+    tree_gains = written(gains(levels), "gains")
+    word, n = gathered(vocabulary, least, "n")
+    key, gain = gathered(tree_gains, least, "gain")
+    few = tree_gains.where(F.col("n") < F.lit(least))
     unknown = float(np.log10(0.5 / below)) if below else 0.0
-    model = sc.broadcast((words, levels, np.log10(root), entries, rests))
+    model = sc.broadcast((Lookup(word), np.log10((n + 0.5) / below), Lookup(key), gain, filtered(few)))
 
     def run(batches):
         from pyspark import TaskContext
 
         hasher, rid = Hasher(), TaskContext.get().partitionId() << 40
-        words, levels, base, entries, rests = model.value
+        words, base, often, gain, seldom = model.value
+
+        def once(keys, doc, n):
+            """Each text's distinct keys, how often it has them, and where its own begin."""
+            code = mix(keys.view(np.uint64) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+            _, first, times = np.unique(code, return_index=True, return_counts=True)
+            order = np.argsort(doc[first], kind="stable")
+            first = first[order]
+            return keys[first], times[order].astype(np.int32), np.searchsorted(doc[first], np.arange(n + 1))
+
         for batch in batches:
             texts, out = batch.column(0).to_pylist(), []
-            for lo, tokens, doc in token_hashes(texts, hasher):
+            for _, tokens, doc in token_hashes(texts, hasher):
                 n = int(doc[-1]) + 1
-                found = grams(tokens, doc, words, levels)
-                known = found[0] >= 0
-                v = np.where(known, base[found[0]] if len(base) else 0.0, 0.0)
-                base_sum = np.bincount(doc, v, n)
-                for k in range(1, len(found)):
-                    before = np.full(len(tokens), -1, np.int64)
-                    before[1:] = np.where(doc[1:] == doc[:-1], found[k - 1][:-1], -1)
-                    rest = np.where(before >= 0, rests[k - 1][before], np.nan) if len(rests[k - 1]) else np.full(len(tokens), np.nan)
-                    entry = np.where(found[k] >= 0, entries[k - 1][found[k]], 0.0) if len(entries[k - 1]) else np.zeros(len(tokens))
-                    v = np.where(np.isnan(rest), v, np.where(found[k] >= 0, entry, rest + v))
-                score = np.bincount(doc, v, n)
-                # Rarer words meet their counts later; one entry for each word of a text.
-                at = np.flatnonzero(~known)
-                code = mix(tokens[at].view(np.uint64) ^ mix(doc[at].astype(np.uint64) + np.uint64(1)))
-                _, first, times = np.unique(code, return_index=True, return_counts=True)
-                order = np.argsort(doc[at[first]], kind="stable")
-                first, times = at[first[order]], times[order]
-                cut = np.searchsorted(doc[first], np.arange(n + 1))
+                at = words.find(tokens)
+                known = at >= 0
+                base_sum = np.bincount(doc, np.where(known, base[at] if len(base) else 0.0, 0.0), n)
+                more, keys, docs_ = np.zeros(n), [], []
+                for key, has in sequences(tokens, doc, context + 1):
+                    i = np.flatnonzero(has)
+                    j = often.find(key[i])
+                    hit = j >= 0
+                    more += np.bincount(doc[i[hit]], gain[j[hit]], n)
+                    i = i[~hit]
+                    i = i[passes(seldom, key[i])]
+                    keys.append(key[i])
+                    docs_.append(doc[i])
+                # Rarer words and sequences meet their tables later; one entry for each of a text.
+                w, w_times, w_cut = once(tokens[~known], doc[~known], n)
+                g, g_times, g_cut = once(np.concatenate(keys), np.concatenate(docs_), n)
                 sizes, heads = np.bincount(doc, minlength=n), np.bincount(doc, known, n).astype(np.int64)
                 for i in range(n):
-                    mine = slice(cut[i], cut[i + 1])
-                    out.append((sizes[i], heads[i], base_sum[i], score[i], tokens[first[mine]], times[mine].astype(np.int32)))
+                    a, b = slice(w_cut[i], w_cut[i + 1]), slice(g_cut[i], g_cut[i + 1])
+                    out.append((sizes[i], heads[i], base_sum[i], more[i], np.concatenate([w[a], g[b]]), np.concatenate([w_times[a], g_times[b]]), a.stop - a.start))
             ids = np.arange(rid, rid + len(texts))
             rid += len(texts)
-            yield arrow_batch(SCORED, [ids, batch.column(2), batch.column(1), *(zip(*out) if out else [[]] * 6)])
+            yield arrow_batch(SCORED, [ids, batch.column(2), batch.column(1), *(zip(*out) if out else [[]] * 7)])
 
     found = written(rows.mapInArrow(run, SCORED), "scored")
-    rare = found.select("rid", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "key")
-    known = rare.join(vocabulary.where(F.col("n") < F.lit(float(least))), "key", "left")
-    sums = known.groupBy("rid").agg(F.sum(F.col("times") * F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(below)), F.lit(unknown))).alias("rare_base"),
-                                    F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
+    asked = found.select("rid", "n_words", F.posexplode(F.arrays_zip("keys", "times"))).select(
+        "rid", F.col("col.keys").alias("key"), F.col("col.times").alias("times"), (F.col("pos") < F.col("n_words")).alias("word"))
+    log = F.log10((F.col("n") + 0.5) / F.lit(float(below)))
+    values = vocabulary.where(F.col("n") < F.lit(least)).select("key", F.lit(True).alias("word"), log.alias("value")).unionByName(
+        few.select("key", F.lit(False).alias("word"), F.col("gain").alias("value")))
+    met = asked.join(values, ["key", "word"], "left")
+    sums = met.groupBy("rid").agg(F.sum(F.when(F.col("word"), F.col("times") * F.coalesce("value", F.lit(unknown)))).alias("rare_base"),
+                                  F.sum(F.when(~F.col("word"), F.col("times") * F.col("value"))).alias("rare_gain"),
+                                  F.sum(F.when(F.col("word") & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return found.drop("words", "times").join(sums, "rid", "left").select(
+    base = F.col("base") + zero("rare_base")
+    return found.drop("keys", "times").join(sums, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare_base")).alias("base_score"), (F.col("score") + zero("rare_base")).alias("score"))
+        base.alias("base_score"), (base + F.col("gain") + zero("rare_gain")).alias("score"))

@@ -114,6 +114,50 @@ def test_suffix_tree_probabilities_sum_to_one():
     assert nodes
 
 
+def tree_scores(rows, tau=suffix_tree.TAU, mu=suffix_tree.MU, context=suffix_tree.CONTEXT):
+    """Scores by a tree of dictionaries over every sequence that occurs twice."""
+    tokens = [[*WORD.findall((t or "").translate(LOW)), None] for _, t in rows]
+    train = [t for (d, _), t in zip(rows, tokens) if zlib.crc32((str(d) if d is not None else "").encode()) % 5 != 1]
+    c = [Counter(tuple(t[i:i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, context + 2)]
+    below = sum(c[0].values()) + 0.5 * (len(c[0]) + 1)
+    p, rest, nodes = {g: (n + 0.5) / below for g, n in c[0].items()}, {}, set()
+    for k in range(1, context + 1):
+        after = {}
+        for g, n in c[k].items():
+            if n >= 2:
+                after.setdefault(g[:-1], []).append((g, n))
+        for ctx, found in after.items():
+            total = c[k - 1][ctx]
+            rest[ctx] = 1 - sum(n for _, n in found) / (total + mu)
+            other = 1 - sum(n for _, n in found) / total
+            apart = sum(n / total * math.log(n / total / p[g[1:]]) for g, n in found)
+            apart += other * math.log(other / (1 - min(sum(p[g[1:]] for g, _ in found), 1 - 1e-9))) if other > 1e-12 else 0
+            if total * apart >= tau:
+                nodes |= {ctx[i:] for i in range(k)}
+            p.update({g: n / (total + mu) + rest[ctx] * p[g[1:]] for g, n in found})
+
+    def one(t, i):
+        v = math.log10(p.get((t[i],), 0.5 / below))
+        for k in range(1, min(context, i) + 1):
+            ctx = tuple(t[i - k:i])
+            if ctx in nodes:
+                g = (*ctx, t[i])
+                v = math.log10(p[g]) if c[k][g] >= 2 else v + math.log10(rest[ctx])
+        return v
+
+    return sorted(((d, len(t), sum(one(t, i) for i in range(len(t)))) for (d, _), t in zip(rows, tokens)))
+
+
+@pytest.mark.parametrize("rare", [suffix_tree.RARE, 2.0**-9, 1.0])
+def test_suffix_tree_learns_by_count_at_every_size(spark, given, rare):
+    """A table whose rare share is far above two occurrences, as on a large corpus, has the same tree."""
+    rows = given + [(10**6 + i, f"x{i} one rare phrase of ten y{i}") for i in range(14)]
+    found = suffix_tree.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rare=rare).collect()
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in found)
+    for x, y in zip(got, tree_scores(rows), strict=True):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 * max(1, abs(y[2]))
+
+
 def counted(t):
     w = WORD.findall(t or "")
     tri, covered, seen, dups = Counter(zip(w, w[1:], w[2:])), set(), set(), 0

@@ -15,13 +15,15 @@ No step gathers a group: orders are range partitions with the node itself as las
 over links of bounded degree. Stages are written to the shared folder, so a lost executor repeats only its part.
 
 Nulls, empty texts and texts without words have no set and are alone. A null id is never a component's smallest; a group
-of null ids only has a null component. Repeated rows fall into one node. Other columns are ignored.
+of null ids only has a null component. Repeated rows fall into one node. A component is told apart by its smallest
+(id, node), not by the id: texts that share an id, or have none, are linked only if their sets are. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortflow.session import written
 
@@ -177,9 +179,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
         for pdf in batches:
             node, full = [], []
             for x in distinct_shingles(pdf["text"].tolist(), hasher, k):
-                node.append(node_of(x))
-                full.append(x.tobytes())
-            yield pd.DataFrame({"node": node, "full": full})
+                if len(x):  # a null among them would make the hashes floats
+                    node.append(node_of(x))
+                    full.append(x.tobytes())
+            yield pd.DataFrame({"node": np.array(node, np.int64), "full": full})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = wanted.select("doc_id").distinct()
@@ -211,7 +214,7 @@ def strays(crowds: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFra
     blocks meet in tasks of bounded size, sketches sort out the unlikely, and only links leave a task (one for each query
     and component). A region that is one component already costs nothing.
     """
-    member = written(crowds.join(labels, "node"), "crowd")
+    member = written(crowds.join(labels.select("node", F.col("label.node").alias("label")), "node"), "crowd")
     sizes = member.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.groupBy("region").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     dealt = member.join(shape, "region").select(
@@ -269,9 +272,10 @@ def united(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = written(after.select("node", F.least("now", "to").alias("label")), "labels")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = SHINGLE,
-               floor: float = 0.15, **forest) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``; ``floor``: how far below ``percent`` a sketch may say."""
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = SHINGLE,
+             floor: float = 0.15, **forest) -> DataFrame:
+    """(doc_id, n_shingles, node, label) of every row of ``docs``; ``label``: (no_id, id, node) of its component's first node, null
+    for a row without a set. ``floor``: how far below ``percent`` a sketch may say."""
     rows = written(signatures(docs, id_col, text_col, k), "signatures")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     pairs, crowds = neighbours(nodes, promise=percent / 100 - floor, **forest)
@@ -279,8 +283,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
     wanted = written(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "sketch"), "in-pairs")
     sets = written(full_sets(docs, wanted, id_col, text_col, k), "sets")
-    # Nodes without a smaller id than null sort last: their label is their own hash among nodes with no id at all.
-    labels = written(wanted.select("node", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("label")), "labels")
+    # Nodes without an id sort last. The node itself is part of a label: others may have the same id, or none.
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("node").alias("node"))
+    labels = written(wanted.select("node", own.alias("label")), "labels")
     best = 1
     while not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("node"), "score", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "score", "a", "b"))
@@ -294,9 +299,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         best *= 4
     if not crowds.isEmpty():
         labels = united(labels, written(strays(crowds, wanted, sets, labels, percent, floor), "links"))
-    labels = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce(F.when(F.col("label") < 2**63 - 1, F.col("label")), "doc_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "node").join(written(labels, "components"), "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = nodes.select("node", own.alias("own")).join(labels, "node", "left").select("node", F.coalesce("label", "own").alias("label"))
+    return rows.select("doc_id", "n_shingles", "node").join(written(labels, "components"), "node", "left").select("doc_id", "n_shingles", "node", "label")
+
+
+def components(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; options as of :func:`labelled`."""
+    id_ = F.when(F.col("node").isNull(), F.col("doc_id")).when(~F.col("label.no_id"), F.col("label.id"))
+    return labelled(docs, **options).select("doc_id", "n_shingles", id_.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -304,10 +314,39 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return components(docs, **options).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs``, all columns, that stay: of each component the row with the smallest id, once. Rows with a null id
-    cannot be named apart: one of them stays if any is near to no row with an id."""
-    found = near_duplicates(docs, id_col=id_col, **options).where("kept").groupBy(F.col("doc_id").alias("__kept_id")).count()
-    found = written(found.withColumnRenamed("count", "__kept_rows"), "kept")
-    stay = docs.join(found.select("__kept_id").hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return stay if found.where("__kept_rows > 1").isEmpty() else stay.dropDuplicates([id_col])
+def with_node(docs: DataFrame, text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """``docs`` with ``__node``, the hash of the text's set."""
+    at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField("__node", LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        hasher = Hasher()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            node = pa.array([node_of(x) for x in distinct_shingles(texts, hasher, k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "__node"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, **options) -> DataFrame:
+    """Rows of ``docs``, all columns, that stay: of each component one row of its first node with its smallest id; and every row
+    without a set. A row is known by its id and its node, so rows with a null or repeated id are decided each for itself."""
+    rows = labelled(docs, id_col=id_col, text_col=text_col, k=k, **options)
+    first = (F.col("node") == F.col("label.node")) & F.col("doc_id").eqNullSafe(F.when(~F.col("label.no_id"), F.col("label.id")))
+    rows = written(rows.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), (F.col("node").isNull() | first).alias("stays")), "kept")
+    ids = rows.where("__id IS NOT NULL").groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays")).where("stays")
+    ids = written(ids, "kept-ids")
+    of_id = docs[id_col].cast("long")
+    sole, many = ids.where("n = 1").select("__id"), ids.where("n > 1").select("__id")
+    stay = docs.join(sole.hint("merge"), of_id == F.col("__id"), "left_semi")
+    named = rows.where("__id IS NULL").isEmpty(), many.isEmpty()
+    if all(named):
+        return stay
+    # Ids that do not name one row: here a row is looked up by its set as well.
+    rest = docs.where(of_id.isNull()) if named[1] else docs.join(many.hint("merge"), of_id == F.col("__id"), "left_semi").unionByName(docs.where(of_id.isNull()))
+    rest = with_node(rest, text_col, k)
+    wanted = rows.where("stays AND __node IS NOT NULL").select("__id", F.col("__node").alias("__its")).distinct()
+    found = rest.join(wanted, (F.col("__node") == F.col("__its")) & rest[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return stay.unionByName(found.dropDuplicates([id_col, "__node"]).drop("__node")).unionByName(rest.where("__node IS NULL").drop("__node"))

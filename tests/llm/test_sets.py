@@ -68,6 +68,21 @@ def test_forest_odd_rows(odd, nothing):
     assert sorted(r.doc_id for r in stay.collect() if r.doc_id is not None and r.text and r.text.strip()) == [4, 5, 8, 10, 2**62 + 1]
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Rows are told apart by id and set: unrelated texts stay whatever their ids, copies go whatever theirs."""
+    text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    near = lambda x: text(x) + " end"
+    rows = [(1, text("a"), "stays"), (None, text("b"), "stays"), (None, text("c"), "stays"), (None, near("c"), "b or c"), (None, near("a"), "goes"),
+            (5, text("d"), "stays"), (5, text("e"), "stays"), (5, text("a"), "goes"), (5, text("e"), "copy"), (6, near("d"), "goes"),
+            (7, text("f"), "stays"), (None, text("f"), "goes"), (None, None, "empty"), (None, "", "empty"), (8, "", "empty"), (8, " ", "empty"), (9, text("g"), "stays"), (9, near("g"), "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(4)
+    stay = near_dedup.one_of_each(docs).collect()
+    assert sorted((r.text or "")[:1].strip() for r in stay) == ["", "", "", "", *"abcdefg"]
+    assert not [r for r in stay if r.note == "goes"]
+    found = near_dedup.components(docs).collect()
+    assert keyed(map(tuple, found)) == keyed(brute_components([r[:2] for r in rows]))
+
+
 def test_forest_chains_and_crowds(spark, partitions):
     """A crowd of near copies, copies of its members, and chains whose ends are not alike; several partitions."""
     partitions(13)

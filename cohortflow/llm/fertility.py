@@ -3,7 +3,8 @@
 Two public vocabularies read every text: one of pieces with byte fallback, one of byte pairs. Measures of a text: characters
 per token for each (over words without digits), the share of byte-fallback tokens, and token entropy (mean over consecutive windows of ``SPAN`` tokens,
 each divided by what its size allows, so that it does not drift with length). Bands are Tukey's far fences, three
-interquartile ranges beyond the quartiles, over all texts of a language that pass the base rules; short texts, whose measures
+interquartile ranges beyond the quartiles, over the distinct texts of a language that pass the base rules (copies count
+once); a fence is never nearer to its quartile than ``WIDTH``, so texts that hardly differ from the others stay. Short texts, whose measures
 scatter, are drawn towards the median (``STEADY``). A text without a language
 belongs to the script of most of its letters. A text is rejected if it fails the base rules or leaves a band on the bad side.
 
@@ -23,6 +24,8 @@ from .textkit import Hasher, Piece, SpanTokens, arrow_batch, byte_bpe, mix, piec
 SYMBOLS = "#*$%&|<>"
 SPAN = 128
 FENCE = 3.0
+# Smallest widths of fences: shares of the median (characters per token), absolute values (byte share, entropy).
+WIDTH = {"chars_per_piece": 0.05, "chars_per_pair": 0.05, "byte_share": 0.01, "entropy": 0.02}
 MOST_BANDS = 10_000
 STEADY = 50  # words at which a measure counts for half of its distance from the median
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_piece double, "
@@ -141,6 +144,7 @@ def measured(docs: DataFrame, piece_path: str, pair_path: str, text_col: str = "
     """The columns ``keep`` (all by default) of every row as one struct ``row``, and its measures."""
     rows = docs.select(F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"),
                        (docs["lang"] if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -149,9 +153,9 @@ def measured(docs: DataFrame, piece_path: str, pair_path: str, text_col: str = "
         tokens, pairs = SpanTokens(pieces_with_bytes(piece_path)), SpanTokens(byte_bpe(pair_path))
         for batch in batches:
             found = arrow_batch(MEASURES, measure(batch.column(1).to_pylist(), hasher, tokens, pairs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found.columns], ["row", "lang", *found.schema.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *found.columns], ["row", "lang", "text_hash", *found.schema.names])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang string, {MEASURES}")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang string, text_hash long, {MEASURES}")
 
 
 def judged(found: DataFrame, fence: float = FENCE) -> DataFrame:
@@ -159,15 +163,16 @@ def judged(found: DataFrame, fence: float = FENCE) -> DataFrame:
     found = found.withColumn("band", F.coalesce("lang", "script")).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     quart = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"q_{c}")
-    names = ["chars_per_piece", "chars_per_pair", "byte_share", "entropy"]
-    bands = written(found.where("NOT base_failed").groupBy("band").agg(*[quart(c) for c in names]), "bands")
+    texts = found.where("NOT base_failed").groupBy("band", "text_hash").agg(*[F.first(c).alias(c) for c in WIDTH])
+    bands = written(texts.groupBy("band").agg(*[quart(c) for c in WIDTH]), "bands")
     if bands.count() <= MOST_BANDS:  # twelve numbers a language; more than that are joined by shuffle
         bands = F.broadcast(bands)
 
     def off(c):  # distance from the median, less for short texts, in interquartile ranges beyond the quartile on that side
         q = F.col(f"q_{c}")
         away = (F.col(c) - q[1]) * F.col("n_words") / (F.col("n_words") + STEADY)
-        return away, q[0] - q[1] - fence * (q[2] - q[0]), q[2] - q[1] + fence * (q[2] - q[0])
+        width = F.greatest(fence * (q[2] - q[0]), WIDTH[c] * (q[1] if c.startswith("chars") else F.lit(1.0)))
+        return away, q[0] - q[1] - width, q[2] - q[1] + width
 
     low = lambda c: off(c)[0] < off(c)[1]
     high = lambda c: off(c)[0] > off(c)[2]

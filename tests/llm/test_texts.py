@@ -193,6 +193,16 @@ def test_fertility_keeps_good_and_rejects_bad(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
 
 
+def test_fertility_bands_have_width(spark):
+    """Copies count once, and a text that hardly leaves a narrow band stays; one that leaves it far goes."""
+    row = lambda i, h, piece=4.0, share=0.0, entropy=0.9: (i, "en", h, 400, 0, "latin", piece, 4.0, share, entropy)
+    rows = [row(i, 0, 4.5, 0.0, 0.95) for i in range(60)] + [row(100 + i, 1 + i, 3.6 + 0.02 * i, 0.0, 0.86 + 0.002 * i) for i in range(30)]
+    rows += [row(200, 201, 4.0, 0.002), row(201, 202, 4.0, 0.4), row(202, 203, 1.0)]
+    cols = "id long, lang string, text_hash long, n_words long, n_repeat_words long, script string, chars_per_piece double, chars_per_pair double, byte_share double, entropy double"
+    kept = {r.id: r.kept for r in fertility.judged(spark.createDataFrame(rows, cols)).collect()}
+    assert all(kept[r[0]] for r in rows[:-2]) and not kept[201] and not kept[202]
+
+
 def test_fertility_script_groups():
     h = textkit.Hasher()
     tokens = textkit.SpanTokens(fertility.pieces_with_bytes(vocabulary("piece_bpe_32k.model"))), textkit.SpanTokens(textkit.byte_bpe(vocabulary("byte_bpe_50k.json")))

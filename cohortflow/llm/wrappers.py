@@ -20,6 +20,7 @@ import html
 import json
 import re
 from bisect import bisect_left
+from hashlib import blake2b
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,17 +41,18 @@ ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "
                "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related",
                "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 MAIN_WORDS = {"article", "articlebody", "main"}
-DEEP = 60  # containers of one path; deeper ones count as the last
+DEEP = 60  # containers of one path; of deeper ones only the first aside and the first article are kept
 
 
 def stream(page: str) -> list[tuple[str, str, tuple[str, ...]]]:
     """(key, text, path) of each token: tags have keys like ``<p`` and ``</p``, texts have the key ``#``."""
     out, stack, at, n = [], [], 0, len(page)
+    deep: list[tuple[str, ...]] = []  # for each container beyond DEEP, what of it and those around it is kept
     while at <= n:
         m = TOKEN.search(page, at)
         text = page[at:m.start()] if m else page[at:]
         if text and not text.isspace():
-            out.append(("#", text, tuple(stack[:DEEP])))
+            out.append(("#", text, (*stack[:DEEP], *(deep[-1] if deep else ()))))
         if not m:
             break
         at = m.end()
@@ -62,6 +64,7 @@ def stream(page: str) -> list[tuple[str, str, tuple[str, ...]]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].split(" ", 1)[0] == name:
                     del stack[i:]
+                    del deep[max(i - DEEP, 0):]
                     break
             continue
         if name in RAW and name != "head":
@@ -73,6 +76,10 @@ def stream(page: str) -> list[tuple[str, str, tuple[str, ...]]]:
         out.append((f"<{label}", "", ()))
         if name not in VOID and name not in INLINE and name != "p":
             stack.append(label)
+            if len(stack) > DEEP:
+                kept = deep[-1] if deep else ()
+                new = (aside((label,)) and not aside(kept)) or (in_article((label,)) and not in_article(kept))
+                deep.append((*kept, label) if new else kept)
     return out
 
 
@@ -106,7 +113,8 @@ def of_page(tokens) -> tuple[list[list], list[int]]:
     for (key, text, _), at in zip(tokens, place):
         if key == "#":
             node, text = nodes[at], " ".join(text.split())
-            node[3] = text[:200] if node[5] == 0 or node[3] == text[:200] else None
+            code = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+            node[3] = code if node[5] == 0 or node[3] == code else None
             node[5] += len(text)
     return nodes, place
 

@@ -365,3 +365,25 @@ def test_pipeline(spark, tmp_path):
         elif name == "pack":
             packed_right(had, rows)
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def wrapped(pages):
+    """Main texts by the wrapper of all pages."""
+    wrapper = None
+    for page in pages:
+        nodes = wrappers.of_page(wrappers.stream(page))[0]
+        wrapper = nodes if wrapper is None else wrappers.merged(wrapper, nodes)
+    return [wrappers.main_text(p, wrapper, wrappers.main_path(wrapper)) for p in pages]
+
+
+def test_wrapper_compares_whole_texts():
+    """Paragraphs that start alike for 200 characters are no template text."""
+    lead = "From our correspondent in the capital, all rights reserved. " * 5
+    pages = [f"<body><div class='x'><p>{lead}{w} news of the day</p></div><div class='y'>Fixed words</div></body>" for w in ("Good", "Bad", "Odd")]
+    assert wrapped(pages) == [f"{lead}{w} news of the day" for w in ("Good", "Bad", "Odd")]
+
+
+def test_wrapper_sees_deep_containers():
+    deep = "<div>" * 70
+    pages = [f"<body>{deep}<nav>menu {i}</nav><article><p>text {i}</p><div class='sidebar'>side {i}</div></article></div><p>after {i}</p></body>" for i in range(3)]
+    assert wrapped(pages) == [f"text {i}" for i in range(3)]

@@ -9,6 +9,8 @@ host with a third of all pages costs no more than others. Pages meet their host'
 A wrapper knows for each text its place (the open containers), whether it was ever unequal, and its length. The main region
 is the article where the host has one; else the deepest container that holds most of the text in unequal slots. Menus,
 headers, footers, asides, forms, notices, adverts, comments, scripts and styles inside or outside of it are no main text.
+A page of another template, without text in its host's region, has the region of its own slots. A class word rules out a
+container it names ("has-sidebar" names none), unless hardly any unequal text of the wrapper is left without the container.
 
 A null or empty page, or one without main text, has the empty text. A page without a host in its url belongs to the host
 ``''``. Repeated rows are extracted each. Other columns are ignored. An empty table gives an empty result.
@@ -40,6 +42,8 @@ ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "but
 ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies",
                "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related",
                "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+MODIFIERS = {"has", "have", "with", "without", "no", "not", "non", "hide", "hides", "show", "shows"}  # a class with one tells of another container
+SPARED = 0.1  # share of unequal text outside of containers ruled out by class below which these are not ruled out
 MAIN_WORDS = {"article", "articlebody", "main"}
 DEEP = 60  # containers of one path; of deeper ones only the first aside and the first article are kept
 
@@ -71,7 +75,7 @@ def stream(page: str) -> list[tuple[str, str, tuple[str, ...]]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        words = sorted({w for a in ATTRIBUTE.findall(m[3]) for w in re.split(r"[\s_-]+", (a[1] or a[2] or a[3]).lower()) if w}) if m[3] else []
+        words = sorted({w for a in ATTRIBUTE.findall(m[3]) for c in (a[1] or a[2] or a[3]).lower().split() for w in named(c)}) if m[3] else []
         label = " ".join([name, *words]) if name not in INLINE else name
         out.append((f"<{label}", "", ()))
         if name not in VOID and name not in INLINE and name != "p":
@@ -83,6 +87,12 @@ def stream(page: str) -> list[tuple[str, str, tuple[str, ...]]]:
     return out
 
 
+def named(name: str) -> list[str]:
+    """Words of a class, id or role; one that tells of another container stays whole."""
+    words = [w for w in re.split(r"[_-]+", name) if w]
+    return words if MODIFIERS.isdisjoint(words) else [name]
+
+
 def folded(keys: list[str], longest: int = 12) -> tuple[list[int], list[int], list[bool]]:
     """Runs of equal blocks become one: (positions kept, kept position's place for every position, whether repeated)."""
     keep, place, rep, i = [], [0] * len(keys), [], 0
@@ -159,20 +169,16 @@ def merged(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def aside(path) -> bool:
-    return any(w[0] in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(w[1:]) for w in (label.split(" ") for label in path))
+def aside(path, spared=frozenset()) -> bool:
+    return any(w[0] in ASIDE_TAGS or (label not in spared and not ASIDE_WORDS.isdisjoint(w[1:])) for label, w in ((label, label.split(" ")) for label in path))
 
 
 def in_article(path) -> bool:
     return any(w[0] in ("article", "main") or not MAIN_WORDS.isdisjoint(w[1:]) for w in (label.split(" ") for label in path))
 
 
-def main_path(wrapper: list[list]) -> list[str] | None:
-    """None if the wrapper has an article; else the path of the deepest container with most of the unequal text."""
-    texts = [n for n in wrapper if n[0] == "#" and not aside(n[4])]
-    if any(in_article(n[4]) for n in texts):
-        return None
-    slots = [n for n in texts if n[3] is None] or texts
+def deepest(slots: list[list]) -> list[str]:
+    """Path of the deepest container with most of the text in ``slots``."""
     total, path = sum(n[5] for n in slots), []
     while True:
         share: dict[str, int] = {}
@@ -185,27 +191,54 @@ def main_path(wrapper: list[list]) -> list[str] | None:
         path = [*path, best]
 
 
-def main_text(page: str, wrapper: list[list], region: list[str] | None) -> str:
-    tokens = stream(page)
+def spared(wrapper: list[list]) -> frozenset:
+    """Containers that hold most of the unequal text and are not ruled out by a class, as hardly any would be left."""
+    texts = [n for n in wrapper if n[0] == "#" and not any(label.split(" ")[0] in ASIDE_TAGS for label in n[4])]
+    slots = [n for n in texts if n[3] is None] or texts
+    total = sum(n[5] for n in slots)
+    if sum(n[5] for n in slots if not aside(n[4])) >= SPARED * total:
+        return frozenset()
+    return frozenset(deepest(slots))
+
+
+def main_path(wrapper: list[list]) -> list[str] | None:
+    """None if the wrapper has an article; else the path of the deepest container with most of the unequal text."""
+    keep = spared(wrapper)
+    texts = [n for n in wrapper if n[0] == "#" and not aside(n[4], keep)]
+    if any(in_article(n[4]) for n in texts):
+        return None
+    return deepest([n for n in texts if n[3] is None] or texts)
+
+
+def main_text(page: str, wrapper: list[list], region: list[str] | None, keep: frozenset | None = None) -> str:
+    tokens, keep = stream(page), spared(wrapper) if keep is None else keep
     nodes, place = of_page(tokens)
     if [n[0] for n in nodes] == [n[0] for n in wrapper]:
         seen = dict(enumerate(range(len(nodes))))
     else:
         seen = {j: i for i, j in aligned(wrapper, nodes)}
 
+    def at(index: int):
+        return wrapper[seen[place[index]]] if place[index] in seen else None
+
     def wanted(index: int, path) -> bool:
-        if aside(path):
+        if aside(path, keep):
             return False
         if region is None:
             return in_article(path)
-        node = wrapper[seen[place[index]]] if place[index] in seen else None
+        node = at(index)
         fixed = node is not None and node[3] is not None and not node[1]  # on every page, and the same
         return list(path[:len(region)]) == region and (alone or not fixed)
 
     alone = all(n[3] is not None for n in wrapper if n[0] == "#")  # one page, or equal pages: nothing tells slots from fixed text
     chosen = {i for i, (key, _, path) in enumerate(tokens) if key == "#" and wanted(i, path)}
-    if not chosen:  # the page has not the region of its host
-        chosen = {i for i, (key, _, path) in enumerate(tokens) if key == "#" and not aside(path)} if not any(in_article(t[2]) for t in tokens) and region is None else set()
+    if not chosen and region is not None:  # a page of another template: the region of its own slots
+        own = [(i, ["#", False, False, None, list(path), len(text)]) for i, (key, text, path) in enumerate(tokens) if key == "#" and not aside(path, keep)]
+        slots = [n for i, n in own if at(i) is None or at(i)[3] is None] or [n for i, n in own if at(i)[1]]
+        region = deepest(slots)
+        chosen = {i for i, n in own if slots and wanted(i, n[4])}
+    elif not chosen and not any(in_article(t[2]) for t in tokens):  # the page has no article, unlike its host
+        chosen = {i for i, (key, _, path) in enumerate(tokens) if key == "#" and not aside(path, keep)}
     blocks, now = [], []
     for i, (key, text, _) in enumerate(tokens):
         if key == "#":
@@ -270,7 +303,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if len(known) > 500:
                         known = {}
                     wrapper = json.loads(text)
-                    known[text] = wrapper, main_path(wrapper)
+                    known[text] = wrapper, main_path(wrapper), spared(wrapper)
                 main = main_text(page, *known[text]) if page and text is not None else ""
                 out.append((main, len(main)))
             yield arrow_batch(EXTRACTED, [batch.column(0), batch.column(1), *(zip(*out) if out else [[]] * 2)])

@@ -387,3 +387,20 @@ def test_wrapper_sees_deep_containers():
     deep = "<div>" * 70
     pages = [f"<body>{deep}<nav>menu {i}</nav><article><p>text {i}</p><div class='sidebar'>side {i}</div></article></div><p>after {i}</p></body>" for i in range(3)]
     assert wrapped(pages) == [f"text {i}" for i in range(3)]
+
+
+def test_wrapper_of_two_templates():
+    """Both templates of a host keep their texts; a page of menus and fixed text has none."""
+    story = lambda i: f"story {i} " + f"w{i} " * 40
+    one = [f"<body><nav>Menu</nav><div class='story'><p>{story(i)}</p></div><div class='low'>Fixed</div></body>" for i in range(6)]
+    two = [f"<body><nav>Menu</nav><section class='blog'><div class='entry'><p>{story(i)}</p></div></section><div class='low'>Fixed</div></body>" for i in range(6, 10)]
+    bare = "<body><nav>Menu</nav><div class='low'>Fixed</div></body>"
+    assert wrapped([*one, *two, bare]) == [*(story(i).strip() for i in range(10)), ""]
+
+
+@pytest.mark.parametrize("outer", ["<body class='has-sidebar'><div>", "<body><div class='content-with-sidebar'>", "<body><article class='post no-comments'>", "<body id='share'><div>"])
+def test_wrapper_class_words_rule_out_what_they_name(outer):
+    pages = [f"{outer}<p>text {i} of the page</p><div class='post-comments'>c{i}</div></div></article></body>" for i in range(3)]
+    got = wrapped(pages)
+    assert all(f"text {i} of the page" in x for i, x in enumerate(got))
+    assert outer.startswith("<body id") or got == [f"text {i} of the page" for i in range(3)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -33,22 +34,35 @@ def work_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-_SCOPE: dict[str, str] = {}  # folder for tables written now, by application
+_SCOPE: ContextVar[str] = ContextVar("scope", default="tables")  # folder for tables written now, of this thread or task
 
 
-def new_scope(spark: SparkSession) -> str:
-    """Until :func:`end_scope`, tables go to a folder of their own, which :func:`drop_scope` removes when nothing reads it."""
-    name = _SCOPE[spark.sparkContext.applicationId] = f"scope-{uuid.uuid4().hex}"
-    return name
+class Scope:
+    """Tables written inside ``with Scope(spark) as scope`` go to a folder of their own, which is removed at the end.
 
+    What is computed from them must be stored before: in a folder of the caller's, or by :meth:`keep`. Scopes nest, and
+    every thread has its own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"scope-{uuid.uuid4().hex}"
 
-def end_scope(spark: SparkSession) -> None:
-    _SCOPE.pop(spark.sparkContext.applicationId, None)
+    def __enter__(self) -> "Scope":
+        self.outer = _SCOPE.get()
+        self.token = _SCOPE.set(self.name)
+        return self
 
+    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """:func:`written` to the folder outside, so it outlives this scope."""
+        token = _SCOPE.set(self.outer)
+        try:
+            return written(df, name)
+        finally:
+            _SCOPE.reset(token)
 
-def drop_scope(spark: SparkSession, name: str) -> None:
-    """Remove the tables of a scope; what was computed from them must be stored before."""
-    _drop(spark, f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}/{name}")
+    def __exit__(self, *_) -> None:
+        _SCOPE.reset(self.token)
+        _drop(self.spark, f"{work_folder(self.spark)}/cohortflow/{self.spark.sparkContext.applicationId}/{self.name}")
 
 
 def _drop(spark: SparkSession, folder: str) -> None:
@@ -56,6 +70,11 @@ def _drop(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of this scope in the shared folder that nothing has used."""
+    return f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}/{_SCOPE.get()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
@@ -63,8 +82,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     of recomputing every earlier round, and the next plan knows the real table size.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{work_folder(spark)}/cohortflow/{app}/{_SCOPE.get(app, 'tables')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

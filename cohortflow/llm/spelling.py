@@ -7,9 +7,9 @@
    L and L + 1 only by one up. For each length a k-d tree of splits ``count of a letter >= t`` is learned from a sample of
    words in hash order (``SAMPLE`` at most, which decides balance only, never a result), with a leaf for about ``LEAF``
    words of the whole vocabulary.
-3. Every word lies in one leaf of its length's tree. As a query it goes to the leaves of its own length and of the next
-   whose box is within one up and one down (one up for the next): a box-prune range search, done level by level for a
-   batch of words at once. A path crosses few planes within that distance, so a word meets a number of leaves that grows
+3. Every word lies in one leaf of its length's tree. As a query it goes to the leaves of its own length (from its own leaf
+   on, so a pair of leaves meets once) and of the next whose box is within one up and one down (one up for the next): a
+   box-prune range search, done level by level for a batch of words at once. A path crosses few planes within that distance, so a word meets a number of leaves that grows
    with the square of the tree's depth at worst and not with the vocabulary.
 4. A task gets the words of a leaf and the queries that reached it, searches a small tree over the leaf's words the same
    way, checks vectors and then letter order: one place differs, or the longer word less one letter is the shorter.
@@ -36,7 +36,7 @@ SAMPLE, LEAF, SMALL = 65_536, 2_000, 8
 OWN, ASKED = 8_000, 100_000  # words and queries of a leaf in one block
 PAIRS = 1 << 18
 LETTERS = 90  # a to z and U+00C0 to U+00FF; upper-case letters of the latter stay what they are
-COUNTED, VISITS, NEAR = "word string, n long", "word string, n long, leaf int, own boolean", "word string, near string, near_n long"
+COUNTED, VISITS, NEAR = "word string, n long", "word string, n long, leaf int, own boolean, home boolean", "word string, near string, near_n long"
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, every: int = EVERY) -> DataFrame:
@@ -126,7 +126,7 @@ class Tree:
         """The letter and count that cut the rows most evenly, or None where all vectors are equal."""
         best = None
         for at in range(1, int(v.max(initial=0)) + 1):
-            share = (v >= at).mean(axis=0)
+            share = np.count_nonzero(v >= at, axis=0) / len(v)
             gap = np.where((share > 0) & (share < 1), np.abs(share - 0.5), 1.0)
             letter = int(gap.argmin())
             if gap[letter] < 1 and (best is None or gap[letter] < best[0]):
@@ -164,6 +164,21 @@ class Tree:
         return np.concatenate(rows or [row]), np.concatenate(leaves or [node])
 
 
+def packed(vectors: np.ndarray) -> np.ndarray:
+    """Counts of the letters that differ at all, four bits each (15 stands for all above), 16 letters in a number."""
+    v = np.minimum(vectors[:, (vectors != vectors[:1]).any(axis=0)], 15).astype(np.uint64)
+    v = np.concatenate([v, np.zeros((len(v), -v.shape[1] % 16), np.uint64)], axis=1)
+    return np.bitwise_or.reduce(v.reshape(len(v), -1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
+
+
+def letters_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many letters have unlike counts, of rows of :func:`packed`."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.uint8)
+
+
 def same_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which word pairs of one length differ in exactly one place."""
     return (a != b).sum(axis=1) == 1
@@ -181,12 +196,13 @@ def one_longer(short: np.ndarray, long: np.ndarray, size: np.ndarray) -> np.ndar
 
 def near_in_leaf(own: list, asked: list):
     """(index of the query, index of the word) of all near pairs of queries and the words of one leaf, which all have one
-    length; queries are of that length (those of a pair find each other) or one shorter."""
+    length; queries are of that length or one shorter."""
     both, size, v = codes(own + asked)
-    n = len(own)
+    v, n = np.ascontiguousarray(v[:, v.any(axis=0)]), len(own)
     tree = Tree(v[:n], SMALL)
     sizes = np.array([len(r) for r in tree.rows])
     flat, starts = np.concatenate(tree.rows), np.cumsum(sizes) - sizes
+    bits = packed(v)
     for up, down in ((1, 1), (1, 0)):
         which = n + np.flatnonzero(size[n:] == size[0] - (down == 0))
         for lo in range(0, len(which), 4096):
@@ -196,6 +212,8 @@ def near_in_leaf(own: list, asked: list):
             cuts = [0, *np.searchsorted(ends, np.arange(PAIRS, int(ends[-1]) if len(ends) else 0, PAIRS)).tolist(), len(leaf)]
             for a, b in zip(cuts, cuts[1:]):
                 q, w = np.repeat(ask[row[a:b]], sizes[leaf[a:b]]), ragged(flat, starts[leaf[a:b]], sizes[leaf[a:b]])
+                close = letters_apart(bits[q], bits[w]) <= up + down
+                q, w = q[close], w[close]
                 close = np.abs(v[q] - v[w]).sum(axis=1) == up + down
                 q, w = q[close], w[close]
                 right = same_length(both[q], both[w]) if down else one_longer(both[q], both[w], size[q])
@@ -218,8 +236,9 @@ def trees(words: DataFrame, total: int, leaf: int = LEAF, sample: int = SAMPLE)
 
 
 def visits(words: DataFrame, found: dict[int, Tree]) -> DataFrame:
-    """(word, n, leaf, own): each word in its leaf, and as a query in every leaf within reach. Lengths that the sample
-    lacks have leaf -length for all their words."""
+    """(word, n, leaf, own, home): each word in its leaf, and as a query in every leaf within reach; of its own length only
+    in its own leaf (``home``) and those of higher number, as the others' words come to its leaf. Lengths that the sample lacks
+    have leaf -length for all their words."""
 
     def run(batches):
         for batch in batches:
@@ -227,21 +246,23 @@ def visits(words: DataFrame, found: dict[int, Tree]) -> DataFrame:
             if not words:
                 continue
             _, size, v = codes(words)
-            rows, leaves, own = [], [], []
+            lists: list[list] = [[], [], [], []]  # rows of the batch, leaves, own, home
             for length in np.unique(size).tolist():
                 at = np.flatnonzero(size == length)
+                place = found[length].place(v[at]) if length in found else np.full(len(at), -length)
                 for target, up, down in ((length, 1, 1), (length + 1, 1, 0)):
                     r, l = found[target].within(v[at], up, down) if target in found else (np.arange(len(at)), np.full(len(at), -target))
-                    rows.append(at[r])
-                    leaves.append(l)
-                    own.append(np.zeros(len(r), bool))
-                rows.append(at)
-                leaves.append(found[length].place(v[at]) if length in found else np.full(len(at), -length))
-                own.append(np.ones(len(at), bool))
-            row = np.concatenate(rows)
+                    if down:
+                        first = l >= place[r]
+                        r, l = r[first], l[first]
+                    for x, y in zip(lists, (at[r], l, np.zeros(len(r), bool), (l == place[r]) & (target == length))):
+                        x.append(y)
+                for x, y in zip(lists, (at, place, np.ones(len(at), bool), np.ones(len(at), bool))):
+                    x.append(y)
+            row, leaves, own, home = (np.concatenate(x) for x in lists)
             for lo in range(0, len(row), 1 << 17):
-                r = row[lo:lo + (1 << 17)]
-                yield arrow_batch(VISITS, [[words[i] for i in r.tolist()], n[r], np.concatenate(leaves)[lo:lo + (1 << 17)], np.concatenate(own)[lo:lo + (1 << 17)]])
+                part = slice(lo, lo + (1 << 17))
+                yield arrow_batch(VISITS, [[words[i] for i in row[part].tolist()], n[row[part]], leaves[part], own[part], home[part]])
 
     return words.select("word", "n").mapInArrow(run, VISITS)
 
@@ -258,7 +279,7 @@ def near_pairs(words: DataFrame, total: int, leaf: int = LEAF, sample: int = SAM
     mine, its = F.pmod("h", "own_blocks").cast("int"), F.pmod("h", "asked_blocks").cast("int")
     # A word of the leaf meets every block of queries and a query every block of words: each pair meets once.
     dealt = dealt.withColumn("b", F.explode(F.when(F.col("own"), all_asked).otherwise(all_own)))
-    dealt = dealt.select("word", "n", "own", "leaf", F.when(F.col("own"), mine).otherwise(F.col("b")).alias("a"), F.when(F.col("own"), F.col("b")).otherwise(its).alias("b"))
+    dealt = dealt.select("word", "n", "own", "home", "leaf", F.when(F.col("own"), mine).otherwise(F.col("b")).alias("a"), F.when(F.col("own"), F.col("b")).otherwise(its).alias("b"))
 
     def search(pdf):
         import pandas as pd
@@ -271,9 +292,9 @@ def near_pairs(words: DataFrame, total: int, leaf: int = LEAF, sample: int = SAM
                 b.append(w)
         q, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         asked, words = its.iloc[q], mine.iloc[w]
-        longer = words["word"].str.len().to_numpy() > asked["word"].str.len().to_numpy()  # the longer does not ask for the shorter
+        once = ~asked["home"].to_numpy()  # its words do not ask here in turn
         out = [pd.DataFrame({"word": asked["word"].to_numpy(), "near": words["word"].to_numpy(), "near_n": words["n"].to_numpy()}),
-               pd.DataFrame({"word": words["word"].to_numpy(), "near": asked["word"].to_numpy(), "near_n": asked["n"].to_numpy()})[longer]]
+               pd.DataFrame({"word": words["word"].to_numpy(), "near": asked["word"].to_numpy(), "near_n": asked["n"].to_numpy()})[once]]
         return pd.concat(out, ignore_index=True)
 
     return dealt.groupBy("leaf", "a", "b").applyInPandas(search, NEAR)

@@ -179,7 +179,7 @@ def confusion_matrix(spark, sf):
 
 # ---- bootstrap -----------------------------------------------------------------------------------------------------
 
-DRAWS = 50
+DRAWS = 1000
 BIN = "bin AS (SELECT vec_id, (CAST(embedding[1] AS DOUBLE) + 1) / 2 AS score, CAST(label < 5 AS INTEGER) AS y FROM embeddings)"
 
 
@@ -218,7 +218,7 @@ def bootstrap_ci(spark, sf):
 
 @query("bootstrap_ci_cells")
 def bootstrap_ci_cells(spark, sf):
-    return bootstrap.bootstrap_binary(predictions(spark, sf), "coarse", "label", 200)
+    return bootstrap.bootstrap_binary(predictions(spark, sf), "coarse", "label", DRAWS)
 
 
 @query("bootstrap_regression", f"""WITH reg AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS p, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), {draw_sql('reg')},
@@ -230,7 +230,7 @@ def bootstrap_regression(spark, sf):
     return _rounded(bootstrap.bootstrap_regression(e, "p", "y", DRAWS, id_col="vec_id"))
 
 
-@query("bootstrap_multiclass", f"""WITH {SOFT}, {draw_sql('sm', 20)},
+@query("bootstrap_multiclass", f"""WITH {SOFT}, {draw_sql('sm')},
 rr AS (SELECT replicate, label AS y, list_position(p, list_max(p)) - 1 AS pr, unnest(p) AS score, unnest(range(0, 10)) AS class FROM smp),
 oc2 AS (SELECT replicate, class, score, CAST(class = y AS INTEGER) AS hit, pr FROM rr),
 pc AS (SELECT replicate, class, score AS s, sum(hit) AS pos, sum(1 - hit) AS neg FROM oc2 GROUP BY 1, 2, 3),
@@ -249,7 +249,7 @@ m AS (SELECT replicate, auc_micro, auc_macro, auc_weighted, macro_f1, accuracy,
 u AS (UNPIVOT m ON auc_micro, auc_macro, auc_weighted, macro_f1, accuracy, f1_macro, f1_micro INTO NAME metric VALUE v) {stats_sql('u')}""")
 def bootstrap_multiclass(spark, sf):
     d = metrics.as_probabilities(_classes(spark, sf), "probs")
-    return _rounded(bootstrap.bootstrap_multiclass(d, "probs", "label", 20, id_col="vec_id"))
+    return _rounded(bootstrap.bootstrap_multiclass(d, "probs", "label", DRAWS, id_col="vec_id"))
 
 
 @query("choice_accuracy_ci", f"""WITH ch AS (SELECT vec_id, CAST(CASE WHEN embedding[1] > 0 THEN 'A' ELSE 'B' END = CASE WHEN label < 5 THEN 'A' ELSE 'B' END AS INTEGER) AS ok FROM embeddings),

@@ -489,8 +489,8 @@ def pick_random(spark, sf):
 @query("resample", f"""
 WITH n AS (SELECT count(*) AS n FROM embeddings),
 d AS (SELECT b.generate_series AS replicate, CAST(floor({sql_uniform('b.generate_series', 'j.generate_series', '42')} * n.n) AS BIGINT) AS rank0
-      FROM n CROSS JOIN generate_series(0, 19) b CROSS JOIN generate_series(0, (SELECT count(*) - 1 FROM embeddings)) j),
+      FROM n CROSS JOIN generate_series(0, 999) b CROSS JOIN generate_series(0, (SELECT count(*) - 1 FROM embeddings)) j),
 r AS (SELECT vec_id, row_number() OVER (ORDER BY {sql_hash('vec_id', '42')}, vec_id) - 1 AS rank0 FROM embeddings)
 SELECT replicate, vec_id, count(*) AS weight FROM d JOIN r USING (rank0) GROUP BY replicate, vec_id""")
 def resample(spark, sf):
-    return splits.resample(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 20, 42)
+    return splits.resample(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 1000, 42)

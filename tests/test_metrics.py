@@ -134,23 +134,79 @@ def test_epochs_and_choices(spark):
         metrics.choice_validity(none, "pred", "label").collect()
 
 
-def test_multinomial_weights_are_exact_draws(spark):
+def weights_of(df, cols, draws, seed):
+    return [(tuple(r[c] for c in cols), np.frombuffer(r["w"], "<i4")) for r in bootstrap.weighted_cells(df, cols, draws, seed).collect()]
+
+
+def test_cell_weights_are_exact_draws(spark, partitions):
     df = spark.range(5000).select((F.col("id") % 7).alias("a"), (F.col("id") % 2).alias("b"))
-    w = bootstrap.multinomial_weights(df, ["a", "b"], 40, 1)
-    per = w.groupBy("replicate").agg(F.sum("weight").alias("s")).collect()
-    assert len(per) == 40 and {r["s"] for r in per} == {5000}
-    means = [r["m"] for r in w.groupBy("a", "b").agg((F.sum("weight") / 40).alias("m")).collect()]
-    assert len(means) == 14 and all(abs(m - 5000 / 14) < 15 for m in means)
-    again = bootstrap.multinomial_weights(df, ["a", "b"], 40, 1)
-    assert sorted(map(tuple, w.collect())) == sorted(map(tuple, again.collect()))
+    w = weights_of(df, ["a", "b"], 400, 1)
+    assert len(w) == 14 and (sum(x for _, x in w) == 5000).all()
+    assert all(abs(x.mean() - 5000 / 14) < 5 and abs(x.std() / np.sqrt(5000 / 14 * 13 / 14) - 1) < 0.15 for _, x in w)
+    partitions(3)
+    again = weights_of(df.repartition(5), ["a", "b"], 400, 1)
+    assert sorted((k, x.tolist()) for k, x in w) == sorted((k, x.tolist()) for k, x in again)
 
 
 def test_cells_split_over_pieces(spark, monkeypatch):
     monkeypatch.setattr(bootstrap, "CELLS_PER_PIECE", 50)
-    w = bootstrap.multinomial_weights(spark.range(1000).select("id"), ["id"], 20, 2)
-    assert {r["s"] for r in w.groupBy("replicate").agg(F.sum("weight").alias("s")).collect()} == {1000}
-    var = w.groupBy("id").agg((F.sum(F.col("weight") * F.col("weight")) / 20).alias("m2")).agg(F.avg("m2")).first()[0]
-    assert 1.85 < var < 2.15  # E[w^2] = 2 - 1/N
+    w = np.stack([x for _, x in weights_of(spark.range(1000).select("id"), ["id"], 60, 2)])
+    assert w.shape == (1000, 60) and (w.sum(axis=0) == 1000).all()
+    assert 1.9 < (w * w).mean() < 2.1  # E[w^2] = 2 - 1/N
+
+
+def test_shares_of_a_tree_add_up():
+    sizes = np.array([5, 0, 7, 100, 1, 0, 30])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    parts = [bootstrap.share(ends, i, 500, 9) for i in range(7)]
+    assert (sum(p[0] for p in parts) == 143).all() and not parts[1][0].any() and not parts[5][0].any()
+    for i in range(7):
+        assert (parts[i][1] == sum((p[0] for p in parts[:i]), np.zeros(500, int))).all()
+    assert [p[0].mean() for p in parts] == pytest.approx(sizes, rel=0.15, abs=0.2)
+
+
+@pytest.mark.parametrize("ranges", [1, 40])
+def test_weighted_curves_equal_repeated_rows(spark, monkeypatch, ranges):
+    """Each replicate's report is that of the plain metrics over its rows, in one range of scores or many; a missing score
+    is the lowest."""
+    monkeypatch.setattr(bootstrap, "CELLS_PER_PIECE", 200 // ranges)
+    rng = np.random.default_rng(4)
+    rows = [(i % 2 - 1, float(s), int(y), rng.integers(0, 3, 6)) for i, (s, y) in enumerate(zip(rng.random(200).round(2), rng.random(200) < 0.4))]
+    df = spark.createDataFrame([(c, s, y, bytearray(w.astype("<i4").tobytes())) for c, s, y, w in rows], "class int, score double, hit int, w binary")
+    got = {(r["class"], r["replicate"]): r for r in bootstrap.curve_replicates(df, 6).collect()}
+    flat = spark.createDataFrame([(c, b, s, y, int(w[b])) for c, s, y, w in rows for b in range(6) if w[b]], "class int, replicate int, score double, y int, weight int")
+    want = metrics.binary_metrics(flat, "score", "y", ["class", "replicate"], "weight").collect()
+    assert len(want) == len(got) == 12
+    for r in want:
+        for c in bootstrap.BINARY:
+            assert got[r["class"], r["replicate"]][c] == pytest.approx(r[c], abs=1e-12), c
+
+
+def test_multiclass_replicates_equal_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "CELLS_PER_PIECE", 30)
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet(np.ones(3), 80).round(3)
+    rows = [(x.tolist(), int(rng.choice(3, p=x / x.sum())), rng.integers(0, 3, 5)) for x in p]
+    df = spark.createDataFrame([(x, y, bytearray(w.astype("<i4").tobytes())) for x, y, w in rows], "p array<double>, y int, w binary")
+    got = {r["replicate"]: r for r in bootstrap.multiclass_replicates(df, "p", "y", 5, 3).collect()}
+    flat = spark.createDataFrame([(b, x, y, int(w[b])) for x, y, w in rows for b in range(5) if w[b]], "replicate int, p array<double>, y int, weight int")
+    want = bootstrap.multiclass_wide(flat, "p", "y", ["replicate"], "weight").collect()
+    assert len(want) == len(got) == 5
+    for r in want:
+        for c in bootstrap.MULTICLASS:
+            assert got[r["replicate"]][c] == pytest.approx(r[c], abs=1e-12), c
+
+
+def test_cell_draws_over_many_ranges(spark, monkeypatch, partitions):
+    """The scan over ranges gives the same replicates for every partitioning, with totals that fit the table."""
+    monkeypatch.setattr(bootstrap, "CURVE_CELLS", 10)
+    rng = np.random.default_rng(3)
+    s = rng.random(500).round(2)
+    df = spark.createDataFrame([(float(a), int(rng.random() < a)) for a in s] + [(None, 0)], "s double, y int")
+    rows = [sorted(map(tuple, bootstrap.binary_replicates(d, "s", "y", 30, 4).collect())) for d in (df, df.repartition(7)) if partitions(5) is None]
+    assert rows[0] == rows[1] and len(rows[0]) == 30
+    per = bootstrap.binary_replicates(df, "s", "y", 30, 4).collect()
+    assert {r["n_pos"] + r["n_neg"] for r in per} == {501} and len({r["n_pos"] for r in per}) > 5
 
 
 def test_both_bootstraps_agree_with_numpy(spark):

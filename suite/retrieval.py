@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortflow.functions.hashing import hash_prefix
 from cohortflow.operators import cohorts, entropy, retrieval, splits, vectors
 from cohortflow.operators.scoring import score_batches
 from cohortflow.plans.retrieve import RetrievalSettings, retrieve
@@ -178,16 +179,29 @@ def frontier_growth(spark, sf):
     return retrieval.grow_frontier(picked, _knn(spark, sf), picked, front)
 
 
-@query("exemplar_join", f"""WITH {CENT}
-SELECT cohort, count(*) AS n, CAST(sum(d.n_chars) AS BIGINT) AS chars, CAST(sum(e.label) AS BIGINT) AS labels
-FROM tc JOIN documents d ON d.doc_id = tc.query_id JOIN embeddings e ON e.vec_id = tc.query_id GROUP BY cohort""")
+TOK = r"[\p{L}\p{N}_]{2,}"
+PATIENTS = f"""
+tb AS (SELECT id, CAST('0x' || substr(md5(term), 1, 4) AS BIGINT) % 64 AS b, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term
+       FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) GROUP BY 1, 2),
+tm AS (SELECT id, map_from_entries(list((b, n))) AS m FROM tb GROUP BY id),
+pt0 AS (SELECT vec_id AS node, CAST(label AS BIGINT) AS label, text, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings JOIN documents ON vec_id = doc_id
+        UNION ALL SELECT doc_id, 10 + CAST('0x' || substr(md5(coalesce(source, '')), 1, 2) AS BIGINT) % 8, text,
+          list_transform(range(64), lambda j: CAST(coalesce(m[j], 0) AS DOUBLE)) FROM documents LEFT JOIN tm ON id = doc_id WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))"""
+
+
+@query("exemplar_join", f"""WITH {PATIENTS},
+pu AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u FROM pt0),
+pc AS (SELECT label AS cohort, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM pt0) GROUP BY 1, 2) GROUP BY 1),
+ps AS (SELECT node, cohort, round(list_dot_product(u, c) / (sqrt(list_dot_product(c, c)) + 1e-12), 12) AS weight FROM pu CROSS JOIN pc),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, cohort) AS rank FROM ps) WHERE rank <= 3)
+SELECT pk.cohort, count(text) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(label) AS BIGINT) AS labels FROM pk JOIN pt0 USING (node) GROUP BY pk.cohort""")
 def exemplar_join(spark, sf):
-    train = table(spark, sf, "documents").join(_emb(spark, sf), F.col("doc_id") == F.col("vec_id")).select(
-        F.col("doc_id").alias("node"), "text", "n_chars", "label")
-    picks = _cands(spark, sf).select(F.col("cohort").alias("query_id"), "rank", F.col("query_id").alias("node"))
-    joined = retrieval.attach_exemplars(picks, train)
+    train = written(_all_patients(spark, sf), "patients")
+    near = retrieval.top_cohorts(train.select(F.col("node").alias("query_id"), "vec"), vectors.centroids(train, "label", "vec"), 3)
+    picks = near.select(F.col("cohort").alias("query_id"), "rank", F.col("query_id").alias("node"))
+    joined = retrieval.attach_exemplars(picks, train.drop("vec"))
     return joined.groupBy(F.col("query_id").alias("cohort")).agg(
-        F.count("text").alias("n"), F.sum("n_chars").alias("chars"), F.sum("label").alias("labels"))
+        F.count("detail").alias("n"), F.sum(F.length("detail")).alias("chars"), F.sum("label").alias("labels"))
 
 
 @query("reverse_lookup", """
@@ -203,11 +217,25 @@ def reverse_lookup(spark, sf):
 
 # ---- entropy and walks ---------------------------------------------------------------------------------------------
 
+def _all_patients(spark, sf):
+    """All documents: with the vector and label of the same id, else with counts of their terms in 64 hash buckets as vector and
+    a label by the source."""
+    docs, emb = table(spark, sf, "documents"), _emb(spark, sf)
+    given = emb.join(docs, F.col("vec_id") == F.col("doc_id")).select(
+        F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("vec"), F.col("text").alias("detail"), F.col("label").cast("bigint").alias("label"))
+    others = docs.join(emb.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    bucket = hash_prefix(F.md5("term"), 4) % 64
+    terms = vectors.term_counts(others, "doc_id", "text").select("id", "tf", bucket.alias("b"))
+    counts = terms.groupBy("id").agg(F.array(*[F.sum(F.when(F.col("b") == j, F.col("tf")).otherwise(0)).cast("double") for j in range(64)]).alias("vec"))
+    label = 10 + hash_prefix(F.md5(F.coalesce("source", F.lit(""))), 2) % 8
+    derived = others.join(counts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        F.col("doc_id").alias("node"), F.coalesce("vec", F.array_repeat(F.lit(0.0), 64)).alias("vec"), F.col("text").alias("detail"), label.alias("label"))
+    return given.unionByName(derived)
+
+
 def _patients(spark, sf):
-    """Vectors with a text of the same id, split into train, val and test."""
-    p = _emb(spark, sf).join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select(
-        F.col("vec_id").alias("node"), F.col("embedding").alias("vec"), F.col("text").alias("detail"), "label")
-    return splits.split_ratio(p, "node", 0.8, SEED)
+    """All documents as patients, split into train, val and test."""
+    return splits.split_ratio(written(_all_patients(spark, sf), "patients"), "node", 0.8, SEED)
 
 
 def _train_test(spark, sf):
@@ -218,9 +246,7 @@ def _train_test(spark, sf):
 
 
 # Train patients are nodes, all others are queries; known labels serve as cohorts.
-TOK = r"[\p{L}\p{N}_]{2,}"
-WALK = f"""
-pt0 AS (SELECT vec_id AS node, label, text, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings JOIN documents ON vec_id = doc_id),
+WALK = f"""{PATIENTS},
 pt AS (SELECT *, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u,
          row_number() OVER (ORDER BY {sql_hash('node', str(SEED))}, node) - 1 < floor((SELECT count(*) FROM pt0) * CAST(0.8 AS DOUBLE)) AS train FROM pt0),
 ce AS (SELECT label AS cohort, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM

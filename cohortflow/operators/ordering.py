@@ -37,6 +37,23 @@ def ranked(df: DataFrame, ids, seed, by=(), rank: str = "rank0", total: str = "n
             .drop("_key", "_piece", "_at", "_before"))
 
 
+def first_n(df: DataFrame, by, order, n: int) -> DataFrame:
+    """The first ``n`` rows of each group in the order of the columns ``order``.
+
+    Each group is first cut into as many parts as the session has shuffle partitions, by a hash of its rows, and only the
+    first n of a part go on; so a group with most of the rows is ranked by all tasks. What one task then ranks is n rows
+    a part.
+    """
+    by, order = list(by), list(order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [f"_{x}{i}" for i, x in enumerate(("part", "at"))]
+    few = df.withColumn(own[0], F.pmod(F.xxhash64(*order), F.lit(parts)))
+    for keys in ([*by, own[0]], by):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        few = few.withColumn(own[1], rank).filter(F.col(own[1]) <= n)
+    return few.drop(*own)
+
+
 def numbered(df: DataFrame, col: str, name: str) -> DataFrame:
     """Add the 0-based place of each row in the order of ``col``, which has no repeats: ranges are sorted on their own and
     shifted by the rows before them."""

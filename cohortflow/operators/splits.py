@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.hashing import hash_key, hash_uniform
-from .ordering import ranked
+from .ordering import first_n, ranked
 
 
 def ordered(df: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -40,9 +40,9 @@ def head_per_split(df: DataFrame, sizes: dict[str, int], order_col: str, split_c
     """The first n rows of each named split."""
     limit = F.try_element_at(F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv]), F.col(split_col))
     top = max(sizes.values())
-    w = Window.partitionBy(split_col).orderBy(order_col)
-    return (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
-            .filter(F.col("_rn") <= limit).drop("_rn"))
+    few = first_n(df.filter(limit.isNotNull()), [split_col], [order_col], top)
+    w = Window.partitionBy(split_col).orderBy(order_col)  # over the first ``top`` rows of each split
+    return few.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
 def token_count(c):
@@ -105,8 +105,7 @@ def sample_subgraph(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: in
     """
     cohorts = nodes.agg(F.countDistinct("cohort").alias("k")).first()["k"]
     quota = max_nodes // max(cohorts, 1)
-    w = Window.partitionBy("cohort").orderBy(hash_key("node", seed), "node")
-    kept = nodes.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= quota).drop("_rn")
+    kept = first_n(nodes.withColumn("_key", hash_key("node", seed)), ["cohort"], ["_key", "node"], quota).drop("_key")
     ends = kept.select("node")
     induced = (edges.join(ends.withColumnRenamed("node", "a"), "a", "left_semi")
                .join(ends.withColumnRenamed("node", "b"), "b", "left_semi"))

@@ -1,8 +1,8 @@
 """Vectors: normalisation, TF-IDF, exact top-k cosine search, centroids.
 
-Exact search never lists pairs. Small right sides (checked bytes) go to every task; larger ones are cut into
-blocks of bounded size, block products run in numpy, and block pairs that cannot beat the current k-th
-neighbour are skipped by an exact angle bound.
+Exact search never lists pairs. Small right sides (checked bytes) go to every task; larger ones form a ball tree in
+tables, whose pivots grow with the data: blocks of left rows descend it, and balls that cannot beat the current k-th
+neighbour are skipped with all that is below them, by an exact angle bound. Block products run in numpy.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.scalars import array_sum, let
 from ..session import written, written_with
 from .joins import join_per_key
-from .ordering import numbered
+from .ordering import first_n, numbered
 
 BLOCK_ROWS = 2048
 SMALL_BYTES = 32 * 1024 * 1024
-MAX_PIVOTS = 256
+BRANCH = 32  # pivots of a node of the ball tree
+NEAREST = 4  # leaves that a block visits before the others are bounded again
 SLACK = 1e-9  # angles are compared with a little room, so rounding can only keep a block, never drop it
 
 
@@ -172,7 +173,7 @@ def _spread(pairs: DataFrame, n_pairs: int, *keys) -> DataFrame:
 
 def all_pairs_topk(a: DataFrame, b: DataFrame, k: int, a_id: str = "id", a_vec: str = "vec", b_id: str = "id",
                    b_vec: str = "vec", exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
-                   small_bytes: int = SMALL_BYTES) -> DataFrame:
+                   small_bytes: int = SMALL_BYTES, effort: list | None = None) -> DataFrame:
     """Exact k nearest rows of ``b`` by cosine for every row of ``a``: ``(src, dst, weight, rank)``.
 
     Order: weight descending (to 12 decimals), then the smaller id. With ``exclude_self`` a row is not its
@@ -202,7 +203,7 @@ def all_pairs_topk(a: DataFrame, b: DataFrame, k: int, a_id: str = "id", a_vec:
         carriers = F.broadcast(carriers)
     else:
         top = Window.partitionBy("src").orderBy(F.desc("weight"), "first")
-        found = _blocked(left, right, groups, n, block_rows, schema)
+        found = _blocked(left, right, groups, n, block_rows, schema, effort)
         found = found.withColumn("_g", F.row_number().over(top)).filter(F.col("_g") <= groups).drop("_g")
     pairs = found.join(carriers, "first").select("src", F.explode("ids").alias("dst"), "weight")
     if exclude_self:
@@ -211,73 +212,155 @@ def all_pairs_topk(a: DataFrame, b: DataFrame, k: int, a_id: str = "id", a_vec:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _blocked(left: DataFrame, right: DataFrame, k: int, n: int, block_rows: int, schema: T.StructType) -> DataFrame:
-    """Pivot cells, bounded blocks inside cells, and block products limited by an angle bound."""
-    m = min(MAX_PIVOTS, max(2, -(-n // block_rows)))
-    chosen = right.orderBy(F.xxhash64("first"), "first").limit(m).select("vec").collect()
-    pivots = np.array([r["vec"] for r in chosen], dtype=np.float64)
-    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+def _packed_pivots(rows: DataFrame, open_nodes: DataFrame, branch: int) -> DataFrame:
+    """(node, pivots): up to ``branch`` rows of each open node, of smallest hash, their vectors in one flat array."""
+    some = first_n(rows.join(open_nodes, "node", "left_semi").select("node", F.xxhash64("first").alias("h"), "first", "vec"), ["node"], ["h", "first"], branch)
+    content = F.array_sort(F.collect_list(F.struct("h", "first", "vec")))  # ``branch`` at most
+    return some.groupBy("node").agg(F.flatten(F.transform(content, lambda c: c["vec"])).alias("pivots"))
+
+
+def _descended(rows: DataFrame, pivots: DataFrame, branch: int) -> DataFrame:
+    """Rows of open nodes go to the child of the nearest pivot and note the angle to it; others stay as they are."""
+    both = join_per_key(rows.drop("pivots"), pivots, "node", "left")
+    fields = [f for f in both.schema.fields if f.name != "pivots"]
+    names = [f.name for f in fields]
 
     def place(batches):
         for pdf in batches:
-            if len(pdf):
-                near = np.clip(_matrix(pdf["vec"]) @ pivots.T, -1, 1)
-                cell = near.argmax(axis=1)
-                pdf["cell"] = cell
-                pdf["angle"] = np.arccos(near[np.arange(len(pdf)), cell])
-                yield pdf
-
-    def placed(df, id_col, name):
-        fields = df.schema.fields + [T.StructField("cell", T.LongType()), T.StructField("angle", T.DoubleType())]
-        rows = written(df.mapInPandas(place, T.StructType(fields)), name)
-        counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        pieces = counts.select("cell", F.ceil(F.col("n") / F.lit(block_rows)).alias("pieces"))
-        # One row per pivot cell; a crowded cell is spread over as many blocks as it needs.
+            for node, at in pdf.groupby("node").indices.items():
+                flat = pdf["pivots"].iloc[at[0]]
+                if flat is None or not len(flat):
+                    continue
+                x = _matrix(pdf["vec"].iloc[at])
+                near = np.clip(x @ np.asarray(flat, dtype=np.float64).reshape(-1, x.shape[1]).T, -1, 1)
+                child = near.argmax(axis=1)
+                pdf.iloc[at, pdf.columns.get_loc("node")] = node * branch + 1 + child
+                pdf.iloc[at, pdf.columns.get_loc("angle")] = np.arccos(near[np.arange(len(at)), child])
+            yield pdf[names]
+
+    return both.mapInPandas(place, T.StructType(fields))
+
+
+def ball_tree(left: DataFrame, right: DataFrame, leaf_rows: int, branch: int = BRANCH):
+    """(left rows, right rows, nodes): a tree over ``right(first, vec)`` in tables, one level after another, that the rows of
+    ``left(id, vec)`` descend as well.
+
+    A node with more than ``leaf_rows`` right rows gets ``branch`` of them as pivots, and its rows go to the nearest; so
+    there are about as many leaves as rows / leaf_rows, whatever the size. Rows have ``node`` (their leaf) and ``angle``
+    (to its pivot). ``nodes(node, parent, center, radius, leaf)``: the radius covers all right rows below. A node whose rows
+    all go to one child, as nearly equal vectors do, is not cut further.
+    """
+    start = [F.lit(0).cast("long").alias("node"), F.lit(0.0).alias("angle")]
+    a, b = written(left.select("*", *start), "left"), written(right.select("first", "vec", *start), "right")
+    open_nodes = written(b.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows), "open")
+    dim, levels = b.agg(F.max(F.size("vec")).alias("d")).first()["d"], []
+    while not open_nodes.isEmpty():
+        pivots = written(_packed_pivots(b, open_nodes.select("node"), branch), "pivots")
+        a, b = written(_descended(a, pivots, branch), "left"), written(_descended(b, pivots, branch), "right")
+        centers = pivots.withColumn("d", F.lit(dim)).select(
+            F.col("node").alias("parent"), F.explode(F.sequence(F.lit(0), (F.size("pivots") / F.col("d")).cast("int") - 1)).alias("j"), "d", "pivots")
+        centers = centers.select("parent", (F.col("parent") * branch + 1 + F.col("j")).alias("node"), F.slice("pivots", F.col("j") * F.col("d") + 1, F.col("d")).alias("center"))
+        sizes = b.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
+        whole = open_nodes.select(F.col("node").alias("parent"), F.col("n").alias("whole"))
+        level = centers.join(sizes, "node").join(whole, "parent").withColumn("leaf", (F.col("n") <= leaf_rows) | (F.col("n") == F.col("whole")))
+        level = written(level, "level")
+        levels.append(level.select("node", "parent", "center", "radius", "leaf"))
+        open_nodes = written(level.where("NOT leaf").select("node", "n"), "open")
+    nodes = levels[0]
+    for level in levels[1:]:
+        nodes = nodes.unionByName(level)
+    return a, b, nodes, len(levels)
+
+
+def _reached(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Children of the nodes of ``frontier(ab, at, radius, floor, node)`` whose ball may hold a row within the floor, with the
+    best possible weight; ``at`` and ``radius`` are the block's own ball."""
+    child = F.array_sort(F.collect_list(F.struct("node", "center", "radius", "leaf")))  # ``branch`` at most
+    packed = nodes.groupBy(F.col("parent").alias("node")).agg(child.alias("c")).select(
+        "node", F.transform("c", lambda c: c["node"]).alias("ids"), F.flatten(F.transform("c", lambda c: c["center"])).alias("flat"),
+        F.transform("c", lambda c: c["radius"]).alias("radii"), F.transform("c", lambda c: c["leaf"]).alias("leaves"))
+
+    def bound(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                at = np.asarray(row.at, dtype=np.float64)
+                gap = np.arccos(np.clip(np.asarray(row.flat, dtype=np.float64).reshape(-1, len(at)) @ at, -1, 1))
+                best = np.cos(np.clip(gap - row.radius - np.asarray(row.radii) - SLACK, 0, np.pi))
+                ok = best >= row.floor - SLACK
+                out.append(pd.DataFrame({"ab": row.ab, "at": [row.at] * int(ok.sum()), "radius": row.radius, "floor": row.floor,
+                                         "node": np.asarray(row.ids)[ok], "leaf": np.asarray(row.leaves)[ok], "bound": best[ok]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    schema = "ab bigint, at array<double>, radius double, floor double, node bigint, leaf boolean, bound double"
+    return frontier.join(packed, "node").select("ab", "at", "radius", "floor", "ids", "flat", "radii", "leaves").mapInPandas(bound, schema)
+
+
+def _blocked(left: DataFrame, right: DataFrame, k: int, n: int, block_rows: int, schema: T.StructType, effort: list | None = None) -> DataFrame:
+    """Exact candidates by a ball tree: blocks of left rows of one leaf meet that leaf first, which gives a k-th weight; then
+    they descend from the root past all balls that cannot reach it, meet the most promising leaves, and last those that
+    the better k-th weight leaves. ``effort`` receives the number of row pairs compared."""
+    a_rows, b_rows, nodes, depth = ball_tree(left, right, block_rows)
+
+    def cut(rows, id_col, name):
+        """Leaves in blocks of bounded size; a crowded leaf is spread over as many as it needs."""
+        pieces = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("pieces"))
         piece = F.pmod(F.xxhash64(id_col, F.lit(7)), F.col("pieces"))
-        return rows.join(F.broadcast(pieces), "cell").withColumn("block", F.shiftleft("cell", 32) + piece).drop("pieces")
-
-    a_rows = placed(left, "id", "left")
-    b_rows = placed(right.select("first", "vec"), "first", "right")
-    b_meta = b_rows.groupBy("block", "cell").agg(F.max("angle").alias("radius"))
-    a_meta = a_rows.groupBy("block", "cell").agg(F.max("angle").alias("radius"))
-    a_pack = written(_packed(a_rows.withColumnRenamed("block", "ab"), ["ab"], "id", "a"), "left-blocks")
-    b_pack = written(_packed(b_rows.withColumnRenamed("block", "bb"), ["bb"], "first", "b"), "right-blocks")
+        dealt = join_per_key(rows, pieces, "node").withColumn("piece", piece).drop("pieces")
+        return written(dealt.withColumn("block", F.xxhash64("node", "piece")), name)
+
+    a_rows, b_rows = cut(a_rows, "id", "left-rows"), cut(b_rows, "first", "right-rows")
+    b_meta = written(b_rows.groupBy(F.col("block").alias("bb"), "node").agg(F.count(F.lit(1)).alias("n_b")), "right-blocks")
+    a_meta = a_rows.groupBy(F.col("block").alias("ab"), "node").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n_a"))
+    a_meta = written(a_meta.join(nodes.select("node", F.col("center").alias("at")), "node"), "left-blocks")
+    a_pack = written(_packed(a_rows.select(F.col("block").alias("ab"), "id", "vec"), ["ab"], "id", "a"), "left-packs")
+    b_pack = written(_packed(b_rows.select(F.col("block").alias("bb"), "first", "vec"), ["bb"], "first", "b"), "right-packs")
     with_block = T.StructType(schema.fields + [T.StructField("ab", T.LongType())])
-
-    def products(pairs: DataFrame, name: str) -> DataFrame:
-        """Top k of every left row against one right block, per block pair."""
-        pairs, seen = written_with(pairs, name, n=F.count(F.lit(1)))
-        blocks = _spread(pairs, seen["n"], "ab", "bb").join(a_pack, "ab").join(b_pack, "bb")
-        return _block_products(blocks, k, with_block, ["ab"])
-
-    # Round one: each left block meets one right block of its own cell, which gives a first k-th weight.
-    home = b_meta.groupBy("cell").agg(F.min("block").alias("bb"))  # one row per pivot cell
-    near_pairs = a_meta.select(F.col("block").alias("ab"), "cell").join(F.broadcast(home), "cell").select("ab", "bb")
-    first_found = written(products(near_pairs, "near-pairs"), "near")
-    per_row = first_found.groupBy("ab", "src").agg(F.count(F.lit(1)).alias("c"), F.min("weight").alias("w"))
-    floors = per_row.groupBy("ab").agg(F.min(F.when(F.col("c") < k, F.lit(-2.0)).otherwise(F.col("w"))).alias("floor"))
-
-    # Round two: all other block pairs whose best possible weight reaches the block's floor.
-    cell_radius = {r["cell"]: r["r"] for r in b_meta.groupBy("cell").agg(F.max("radius").alias("r")).collect()}
-    cells = np.array(sorted(cell_radius))
-    radii = np.array([cell_radius[c] for c in cells])
-
-    def reachable(batches):
-        for pdf in batches:
-            for ab, cell, radius, floor in zip(pdf["ab"], pdf["cell"], pdf["radius"], pdf["floor"]):
-                gap = apart[int(cell)][cells]
-                bound = np.cos(np.maximum(0.0, gap - radius - radii - SLACK))
-                ok = bound >= floor - SLACK
-                yield pd.DataFrame({"ab": ab, "cell": cells[ok], "gap": gap[ok], "radius": radius, "floor": floor})
-
-    targets = (a_meta.withColumnRenamed("block", "ab").join(floors, "ab")
-               .mapInPandas(reachable, "ab bigint, cell bigint, gap double, radius double, floor double"))
-    other = b_meta.select(F.col("block").alias("bb"), "cell", F.col("radius").alias("r_b"))
-    bound = F.cos(F.greatest(F.lit(0.0), F.col("gap") - F.col("radius") - F.col("r_b") - SLACK))
-    far_pairs = (targets.join(other, "cell").filter(bound >= F.col("floor") - SLACK).select("ab", "bb")
-                 .join(near_pairs, ["ab", "bb"], "left_anti"))
-    far = products(far_pairs, "pairs")
-    return first_found.select(*schema.names).unionByName(far.select(*schema.names))
+    found: list[DataFrame] = []
+
+    def meet(pairs: DataFrame, name: str) -> None:
+        """k best of every left row in each right block it meets."""
+        pairs = pairs.join(a_meta.select("ab", "n_a"), "ab").join(b_meta.select("bb", "n_b"), "bb")
+        pairs, seen = written_with(pairs, name, n=F.count(F.lit(1)), rows=F.sum(F.col("n_a") * F.col("n_b")))
+        if effort is not None:
+            effort.append(seen["rows"] or 0)
+        if seen["n"]:
+            blocks = _spread(pairs.select("ab", "bb"), seen["n"], "ab", "bb").join(a_pack, "ab").join(b_pack, "bb")
+            found.append(written(_block_products(blocks, k, with_block, ["ab"]), "found"))
+
+    def floors() -> DataFrame:
+        """(ab, floor): the smallest k-th weight among a block's rows."""
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        top = Window.partitionBy("ab", "src").orderBy(F.desc("weight"))
+        kth = every.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).groupBy("ab", "src").agg(F.count(F.lit(1)).alias("c"), F.min("weight").alias("w"))
+        return kth.groupBy("ab").agg(F.min(F.when(F.col("c") < k, F.lit(-2.0)).otherwise(F.col("w"))).alias("floor"))
+
+    # A leaf of nearly equal vectors may have many blocks: the first gives the k-th weight.
+    home = b_meta.groupBy("node").agg(F.min("bb").alias("bb"))
+    near = written(a_meta.select("ab", "node").join(home, "node").select("ab", "bb"), "home")
+    meet(near, "home-pairs")
+    frontier = a_meta.select("ab", "at", "radius").join(floors(), "ab").withColumn("node", F.lit(0).cast("long"))
+    leaves = []
+    for _ in range(depth):
+        step = written(_reached(frontier, nodes), "reached")
+        leaves.append(step.where("leaf").select("ab", "node", "bound"))
+        frontier = step.where("NOT leaf").drop("leaf", "bound")
+    targets = leaves[0]
+    for more in leaves[1:]:
+        targets = targets.unionByName(more)
+    order = Window.partitionBy("ab").orderBy(F.desc("bound"), "node")
+    targets = targets.join(b_meta.select("node", "bb"), "node").join(near, ["ab", "bb"], "left_anti")
+    targets = written(targets.withColumn("r", F.row_number().over(order)), "targets")
+    meet(targets.where(F.col("r") <= NEAREST).select("ab", "bb"), "next-pairs")
+    rest = targets.where(F.col("r") > NEAREST).join(floors(), "ab").where(F.col("bound") >= F.col("floor") - SLACK)
+    meet(rest.select("ab", "bb"), "last-pairs")
+    out = found[0].select(*schema.names)
+    for f in found[1:]:
+        out = out.unionByName(f.select(*schema.names))
+    return out
 
 
 def knn_graph(df: DataFrame, id_col: str, vec: str, k: int, **blocks) -> DataFrame:

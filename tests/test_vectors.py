@@ -73,6 +73,18 @@ def test_zero_vectors_have_no_direction(spark):
     assert [j for j, _ in got[3]] == [0, 1] and [w for _, w in got[3]] == [0, 0]
 
 
+def test_ball_tree_compares_few_of_clustered_vectors(spark):
+    """Exact, with several levels of pivots, nearly equal vectors that no pivot parts, and far fewer products than pairs."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(40, 8)) for c in rng.normal(size=(50, 8))] + [np.ones((60, 8)) + 1e-14 * np.arange(60)[:, None]])
+    effort: list = []
+    df = frame(spark, x)
+    same(edges(vectors.knn_graph(df, "id", "vec", 3, block_rows=20, effort=effort)), brute(x, x, 3, True))
+    assert len(effort) == 3 and sum(effort) < 0.2 * len(x) ** 2
+    *_, nodes, depth = vectors.ball_tree(df.select("id", vectors.l2_normalize(F.col("vec")).alias("vec")), df.select(F.col("id").alias("first"), vectors.l2_normalize(F.col("vec")).alias("vec")), 20, 4)
+    assert depth >= 3 and nodes.count() > 100
+
+
 @pytest.mark.parametrize("block", [2048, 10])
 def test_top_in_one_hot_group(spark, block):
     rng = np.random.default_rng(4)

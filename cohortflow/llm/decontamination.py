@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortflow.session import written
 
+from .textkit import free_name
+
 K, RADIUS, PERCENT = 5, 19, 80
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]  # first bit and width
 MOST_BROADCAST = 1_000_000  # rows of three numbers
@@ -133,5 +135,6 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs``, all columns, whose text matches no item."""
-    found = written(hits(docs, items, text_col=text_col, **options).select(F.col("th").alias("__th")).distinct(), "hits")
-    return docs.join(found, text_key(F.col(text_col)) == F.col("__th"), "left_anti")
+    key = free_name(docs.columns, "__th")
+    found = written(hits(docs, items, text_col=text_col, **options).select(F.col("th").alias(key)).distinct(), "hits")
+    return docs.join(found, text_key(F.col(text_col)) == F.col(key), "left_anti")

@@ -4,8 +4,9 @@
    steps see nodes only, so copies cost nothing more.
 2. A node gets ``trees * depth`` min-hashes. In each tree the nodes are sorted by their ``depth`` values. A region
    is a run with a common prefix of ``least`` values; one of at most ``crowd`` nodes is compared as a whole. In a larger
-   region a node is compared with the neighbours of longest prefix, ``reach`` on either side: there the depth adapts.
-   What these leave apart in a crowded region is compared with the whole region at the end, in blocks.
+   region, or one that lies over an end of a partition, a node is compared with the neighbours of longest prefix, ``reach``
+   on either side: there the depth adapts, and a node has few pairs whatever the region's size. What these leave apart
+   is compared with the whole region at the end, in blocks, so no pair of a region is lost.
 3. A neighbour is a candidate if one-byte sketches of all min-hashes promise it (0.15 below the threshold, more than four
    deviations). Candidates are checked in rounds: each node's best one first, then 4, 16, ... more. A round confirms on
    full sets and unites. Candidates inside one component need no more checks, so a crowd of copies costs a few checks a
@@ -27,9 +28,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortflow.session import written
 
-from .textkit import SHINGLE, Hasher, arrow_batch, distinct_shingles, mix
+from .textkit import SHINGLE, Hasher, arrow_batch, distinct_shingles, free_name, mix
 
-TREES, DEPTH, LEAST, REACH, CROWD = 16, 8, 3, 6, 256
+TREES, DEPTH, LEAST, REACH, CROWD = 16, 8, 3, 2, 5
 SIGNED = "doc_id long, n_shingles long, node long, keys binary, sketch binary"
 
 
@@ -157,9 +158,10 @@ def neighbours(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, least:
         pdf = pdf.sort_values("pos")
         vals, run = runs(pdf["tree"].to_numpy(), pdf["key"].tolist())
         cut, node, crowded = int((pdf["pos"] < 0).sum()), pdf["a"].to_numpy(), np.bincount(run)[run] > crowd
+        # A region may go on in more partitions than these two: it counts as crowded, so its strays are looked for.
         got = list(near(vals, run, crowded, node, pdf["sketch"].tolist(), cut, cut))
         a, b, s = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
-        at = np.flatnonzero(crowded & np.isin(run, np.intersect1d(run[:cut], run[cut:])))
+        at = np.flatnonzero(np.isin(run, np.intersect1d(run[:cut], run[cut:])))
         over = pd.DataFrame({"a": node[at], "b": region(pdf["tree"].to_numpy()[at], vals[at]), "score": 0, "part": -2})
         return pd.concat([pd.DataFrame({"a": a, "b": b, "score": s, "part": -1}), over])
 
@@ -314,9 +316,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return components(docs, **options).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def with_node(docs: DataFrame, text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``__node``, the hash of the text's set."""
-    at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField("__node", LongType())])
+def with_node(docs: DataFrame, text_col: str = "text", k: int = SHINGLE, name: str = "node") -> DataFrame:
+    """``docs`` with the column ``name``, the hash of the text's set."""
+    at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField(name, LongType())])
 
     def run(batches):
         import pyarrow as pa
@@ -325,7 +327,7 @@ def with_node(docs: DataFrame, text_col: str = "text", k: int = SHINGLE) -> Data
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             node = pa.array([node_of(x) for x in distinct_shingles(texts, hasher, k)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -335,18 +337,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without a set. A row is known by its id and its node, so rows with a null or repeated id are decided each for itself."""
     rows = labelled(docs, id_col=id_col, text_col=text_col, k=k, **options)
     first = (F.col("node") == F.col("label.node")) & F.col("doc_id").eqNullSafe(F.when(~F.col("label.no_id"), F.col("label.id")))
-    rows = written(rows.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), (F.col("node").isNull() | first).alias("stays")), "kept")
-    ids = rows.where("__id IS NOT NULL").groupBy("__id").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays")).where("stays")
+    one, node, its = (free_name(docs.columns, x) for x in ("__id", "__node", "__its"))
+    rows = written(rows.select(F.col("doc_id").alias(one), F.col("node").alias(node), (F.col("node").isNull() | first).alias("stays")), "kept")
+    ids = rows.where(F.col(one).isNotNull()).groupBy(one).agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays")).where("stays")
     ids = written(ids, "kept-ids")
     of_id = docs[id_col].cast("long")
-    sole, many = ids.where("n = 1").select("__id"), ids.where("n > 1").select("__id")
-    stay = docs.join(sole.hint("merge"), of_id == F.col("__id"), "left_semi")
-    named = rows.where("__id IS NULL").isEmpty(), many.isEmpty()
+    sole, many = ids.where("n = 1").select(one), ids.where("n > 1").select(one)
+    stay = docs.join(sole.hint("merge"), of_id == F.col(one), "left_semi")
+    named = rows.where(F.col(one).isNull()).isEmpty(), many.isEmpty()
     if all(named):
         return stay
     # Ids that do not name one row: here a row is looked up by its set as well.
-    rest = docs.where(of_id.isNull()) if named[1] else docs.join(many.hint("merge"), of_id == F.col("__id"), "left_semi").unionByName(docs.where(of_id.isNull()))
-    rest = with_node(rest, text_col, k)
-    wanted = rows.where("stays AND __node IS NOT NULL").select("__id", F.col("__node").alias("__its")).distinct()
-    found = rest.join(wanted, (F.col("__node") == F.col("__its")) & rest[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return stay.unionByName(found.dropDuplicates([id_col, "__node"]).drop("__node")).unionByName(rest.where("__node IS NULL").drop("__node"))
+    rest = docs.where(of_id.isNull()) if named[1] else docs.join(many.hint("merge"), of_id == F.col(one), "left_semi").unionByName(docs.where(of_id.isNull()))
+    rest = with_node(rest, text_col, k, node)
+    wanted = rows.where(F.col("stays") & F.col(node).isNotNull()).select(one, F.col(node).alias(its)).distinct()
+    found = rest.join(wanted, (F.col(node) == F.col(its)) & rest[id_col].cast("long").eqNullSafe(F.col(one)), "left_semi")
+    return stay.unionByName(found.dropDuplicates([id_col, node]).drop(node)).unionByName(rest.where(F.col(node).isNull()).drop(node))

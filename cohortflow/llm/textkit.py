@@ -44,6 +44,14 @@ def arrow_batch(schema: str, columns: list):
                                        for c, f in zip(columns, fields)], schema=fields)
 
 
+def free_name(columns, name: str) -> str:
+    """``name``, with underscores in front until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def source_array(rows: list):
     import pyarrow as pa
 

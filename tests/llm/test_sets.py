@@ -8,6 +8,7 @@ from math import log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check_oracle import compare, duck
@@ -104,7 +105,7 @@ def test_forest_chains_and_crowds(spark, partitions):
     order = rng.permutation(len(rows))
     data = [(int(i), rows[j]) for i, j in enumerate(order)]
     docs, want = spark.createDataFrame(data, "doc_id long, text string").repartition(7), keyed(brute_components(data))
-    for crowd in (256, 20):  # whole regions; crowded ones, whose strays are found at the end
+    for crowd in (256, 5):  # whole regions; crowded ones, whose strays are found at the end
         assert keyed(map(tuple, near_dedup.components(docs, crowd=crowd).collect())) == want
 
 
@@ -116,6 +117,17 @@ def test_edges_of_partitions_meet(spark, partitions):
         assert all(r.component_id == r.doc_id // 2 * 2 for r in found)
 
 
+def test_clashing_names(spark, odd):
+    """Columns with the names that the operators use for themselves."""
+    docs = odd.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("__id", "__node", "__its", "__TH", "label", "stays"))])
+    kept = near_dedup.one_of_each(docs).collect()
+    assert kept[0].asDict().keys() == set(docs.columns) and sorted(map(tuple, (r[:2] for r in kept)), key=str) == sorted(
+        map(tuple, near_dedup.one_of_each(odd.select("doc_id", "text")).collect()), key=str)
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    assert decontamination.clean(docs, items).columns == docs.columns
+    assert decontamination.clean(docs, items).count() == odd.count() - 4
+
+
 def words(t):
     return (t or "").lower().split()
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -284,12 +285,49 @@ def test_deobfuscation_query(spark, given):
     ("ｊｏｈｎ＠example．com", ["ｊｏｈｎ＠example．com"]), ("аbc@exаmple.com", ["аbc@exаmple.com"]), ("me@ex​ample.org", ["me@ex​ample.org"]),
     ("look at the dot on the page at noon", []), ("one two three four cats at 10.30", [])])
 def test_disguises_map_back(text, want):
+    maps_back(text, want)
+
+
+def maps_back(text, want):
     base, both = deobfuscation.spans(text)
     got = sorted((a, text[a:b]) for v in both.values() for a, b in v)
     assert [x for _, x in got] == want
     assert all(set(base[k]) <= set(both[k]) for k in base)
 
 
+@pytest.mark.parametrize("at", ["@", " at ", "  AT\n", " @ ", "(at)", " [at] ", "{ @ }", "<At>"])
+@pytest.mark.parametrize("dot", [".", " dot ", " Dot  ", " . ", "(dot)", " [.] ", "{ dot }"])
+@pytest.mark.parametrize("inner", [".", " dot ", "[dot]"])
+def test_every_pair_of_disguises(at, dot, inner):
+    address = f"jane{inner}doe{at}mail{dot}example{dot}com"
+    plain = (at, dot) == ("@", ".")
+    base = len(deobfuscation.plain(address)["email"])
+    got = deobfuscation.spans(f"Email: {address}, soon")[1]["email"]
+    # An address whose host is plain is a base span; its local part is not changed.
+    assert got == ([(7, 7 + len(address))] if not plain or inner == "." else [(7 + len("jane" + inner), 7 + len(address))]) and base == plain
+
+
+@pytest.mark.parametrize("text", ["look at example.com today", "see it at evil[.]com", "email us at example.com", "she worked at a dot com firm", "arrived at the dot on the map",
+                                  "met at noon . It rained", "at 10.30 or at 5.pm", "x@ y dot com", "@home dot com", "at dot com", "[at] example dot com"])
+def test_prose_is_no_address(text):
+    maps_back(text, [])
+
+
+@pytest.mark.parametrize("text, want", [
+    ("jane at example.com", ["jane at example.com"]), ("From: bob at lists.example.org (Bob)", ["bob at lists.example.org"]), ("ask (bob at site.org) now", ["bob at site.org"]),
+    ("jane at example dot se", ["jane at example dot se"]), ("five point six point seven point eight", ["five point six point seven point eight"]),
+    ("10 dot 0 dot 0 dot 1, 10[.]1[.]2[.]3", ["10 dot 0 dot 0 dot 1", "10[.]1[.]2[.]3"]), ("a@b dot com, c at d dot org; e[at]f.net", ["a@b dot com", "c at d dot org", "e[at]f.net"])])
+def test_mixed_disguises(text, want):
+    maps_back(text, want)
+
+
+@pytest.mark.parametrize("text", [" " * 300_000 + "at x dot com", "a dot " * 50_000, " at a" * 50_000, "at dot " * 50_000, "[ " * 100_000, "a." * 100_000 + "b at c dot com", "one" + " " * 300_000])
+def test_disguise_scans_are_linear(text):
+    began = time.perf_counter()
+    deobfuscation.spans(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_redaction(odd, nothing):
     found = deobfuscation.redacted(odd)
     assert found.columns == odd.columns and found.schema["doc_id"].dataType == odd.schema["doc_id"].dataType

@@ -49,19 +49,18 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         from collections import Counter
 
         runs = re.compile("[A-Za-zÀ-ÿ]{%d,}" % least_length)
-        lower = {c: c + 32 for c in range(65, 91)}
+        lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # other letters have no such bytes in UTF-8
         counts: Counter = Counter()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text, at = text.as_py(), 0
+                text, at, begun = text.as_buffer().to_pybytes().translate(lower).decode(), 0, zlib.crc32(f"{doc}:".encode())
                 while at < len(text):  # a long text in pieces that end after a run
                     end = len(text)
                     if end - at > 1 << 20:
                         gap = re.compile("[^A-Za-zÀ-ÿ]").search(text, at + (1 << 20))
                         end = gap.start() if gap else end
                     for word, n in Counter(runs.findall(text, at, end)).items():
-                        word = word.translate(lower)
-                        h = zlib.crc32(f"{doc}:{word}".encode())
+                        h = zlib.crc32(word.encode(), begun)
                         if h % every == 0:
                             cut = h % len(word)
                             word = word[:cut] + word[cut + 1:]

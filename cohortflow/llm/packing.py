@@ -1,7 +1,8 @@
 """Packing by non-negative least squares over length combinations that fill a window.
 
-1. Tokenise: a document of n ids is cut into whole windows and a rest; whole windows are sequences of their own. The rest's
-   ids are kept (two bytes each), with the row's place among rests of its length in its partition.
+1. Tokenise (added tokens in a text have their own ids): a document of n ids is cut into whole windows and a rest; whole
+   windows are sequences of their own. The rest's ids are kept (two bytes each), with the row's place among rests of its
+   length in its partition.
 2. The histogram of rest lengths (at most ``window`` numbers) goes to the driver. Combinations of up to four lengths that
    sum to the window are enumerated, and repeat counts that best explain the histogram are solved by non-negative least
    squares (coordinate descent), rounded down and held to what is there.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortflow.session import written
 
-from .textkit import Hasher, SpanTokens, arrow_batch, byte_bpe, source_array, token_ids
+from .textkit import Hasher, SpanTokens, added_tokens, arrow_batch, byte_bpe, ids_with_added, source_array
 
 WINDOW, END = 1024, 0
 TOKENISED = "doc_id long, n long, crcs array<long>, rest binary, at long, full_at long, part int, len int"
@@ -102,10 +103,10 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, wind
         from pyspark import TaskContext
 
         part, places, full = TaskContext.get().partitionId(), {}, 0
-        hasher, spans = Hasher(), SpanTokens(byte_bpe(vocabulary))
+        hasher, spans, added = Hasher(), SpanTokens(byte_bpe(vocabulary)), added_tokens(vocabulary)
         for batch in batches:
             rows = []
-            for ids in token_ids(batch.column(1).to_pylist(), spans, hasher):
+            for ids in ids_with_added(batch.column(1).to_pylist(), spans, hasher, added):
                 n = len(ids) + 1
                 ids = np.append(ids, END).astype("<u4")
                 whole, rest = divmod(n, window)

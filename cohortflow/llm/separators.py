@@ -6,6 +6,7 @@ read, so files should be of bounded size, as such shards are). Every block is se
 blocks' counts and lengths (inside groups of ``GROUP`` blocks, then over groups) gives each block its first document's number
 and where that document began, so documents that cross blocks are whole and no task sees more than a block at a time.
 
+``flat_files`` encodes an added token in a text as ordinary characters: its id is the end id, so it would end the document.
 A null or empty text is its end id alone. Two ends in a row are an empty document of one id. Ids after a file's last end are
 a document that is not ``ended``. Empty files and tables give no documents. Repeated rows are counted each.
 """

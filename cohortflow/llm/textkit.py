@@ -279,3 +279,25 @@ def token_ids(texts: list, spans: SpanTokens, hasher: Hasher):
         for i in range(p.n):
             yield flat[at[i]:at[i + 1]]
 
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokenizer file's added tokens: strings that have an id of their own wherever they stand in a text."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
+
+
+def ids_with_added(texts: list, spans: SpanTokens, hasher: Hasher, added: dict[str, int]):
+    """:func:`token_ids`, with added tokens cut out first: the text between two of them is encoded by itself. Where added
+    tokens overlap the leftmost counts, and of those the longest."""
+    if not any(a in t for t in texts for a in added):
+        yield from token_ids(texts, spans, hasher)
+        return
+    import regex
+
+    pattern = regex.compile("(%s)" % "|".join(map(regex.escape, sorted(added, key=len, reverse=True))))
+    parts = [pattern.split(t) for t in texts]  # every second one is an added token
+    found = token_ids([x for p in parts for x in p[::2]], spans, hasher)
+    for p in parts:
+        yield np.concatenate([np.array([added[x]], np.int32) if i % 2 else next(found) for i, x in enumerate(p)])

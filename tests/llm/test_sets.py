@@ -243,7 +243,6 @@ def packed_right(rows, found, window=1024):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     want = Counter((d, tuple(t.encode(x or "", add_special_tokens=False).ids + [0])) for d, x in rows)
     docs, sequences = defaultdict(list), defaultdict(list)
     for r in found:
@@ -279,6 +278,13 @@ def test_packing_odd_rows(odd, nothing):
     assert packing.pack(nothing, BPE).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"don't{end}stop {end[:-1]} {end}", "plain text", "", f"x  {end}\n{end}  y", None, f"<{end}>" * 700]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    packed_right(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), BPE).collect())
+
+
 def test_packing_plan_uses_what_is_there():
     rng = np.random.default_rng(4)
     hist = np.bincount(rng.integers(1, 1024, 20_000), minlength=1024)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 _LOCAL: dict[str, str] = {}  # of local sessions without a setting, by application
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -79,11 +80,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     Used between rounds of iterative jobs: the plan stays short, a lost executor re-reads files instead
-    of recomputing every earlier round, and the next plan knows the real table size.
+    of recomputing every earlier round, and the next plan knows the real table size. Shuffle files of the write are removed
+    as soon as it ends, so a job of many rounds holds those of one round.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before) if before is not None else spark.conf.unset(RELEASE)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,6 +101,12 @@ def written_with(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame,
     return table, watch.get
 
 
+def drop_table(table: DataFrame) -> None:
+    """Remove one table that :func:`written` returned, before its scope ends."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _drop(table.sparkSession, folder)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Remove all tables this application wrote through :func:`written`; results must be stored before."""
     _drop(spark, f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}")

@@ -1,8 +1,12 @@
 import threading
+import time
+from pathlib import Path
 
 import pytest
 
-from cohortflow.session import Scope, written
+from pyspark.sql import functions as F
+
+from cohortflow.session import RELEASE, Scope, drop_table, written
 
 
 def test_scopes_keep_and_remove(spark):
@@ -24,3 +28,22 @@ def test_scopes_keep_and_remove(spark):
     assert (outside.count(), other[0].count(), last.count()) == (3, 6, 3)
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    def files():
+        folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in folder for f in Path(d).rglob("shuffle_*.data")}
+
+    before, had = spark.conf.get(RELEASE, None), files()
+    counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    table, other = written(counts, "counts"), written(counts, "counts")
+    for _ in range(50):  # they are removed in the background
+        if files() <= had:
+            break
+        time.sleep(0.1)
+    assert files() <= had
+    assert table.count() == other.count() == counts.count() == 10
+    assert spark.conf.get(RELEASE, None) == before
+    drop_table(table)
+    assert other.count() == 10 and written(counts, "counts").count() == 10

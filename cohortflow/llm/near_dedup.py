@@ -216,12 +216,23 @@ def strays(crowds: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFra
     blocks meet in tasks of bounded size, sketches sort out the unlikely, and only links leave a task (one for each query
     and component). A region that is one component already costs nothing.
     """
-    member = written(crowds.join(labels.select("node", F.col("label.node").alias("label")), "node"), "crowd")
-    sizes = member.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    of_node = crowds.groupBy("node").agg(F.collect_list("region").alias("regions"))  # one of a tree at most
+    label = labels.select("node", F.col("label.node").alias("label"))
+
+    def tally(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            regions = pdf["regions"].tolist()
+            each = pd.DataFrame({"region": np.concatenate(regions) if regions else np.zeros(0, np.int64), "label": np.repeat(pdf["label"].to_numpy(), [len(x) for x in regions])})
+            yield each.groupby(["region", "label"]).size().reset_index(name="n")
+
+    sizes = of_node.join(label, "node").select("regions", "label").mapInPandas(tally, "region long, label long, n long").groupBy("region", "label").agg(F.sum("n").alias("n"))
     shape = sizes.groupBy("region").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    dealt = member.join(shape, "region").select(
+    # Only members of a region with two components or more are looked at one by one.
+    dealt = written(crowds.join(written(shape, "mixed"), "region").join(label, "node").select(
         "region", "node", "label", (F.col("label") != F.col("main.label")).alias("asks"), F.ceil(F.col("total") / block).cast("int").alias("nb"),
-        F.ceil((F.col("total") - F.col("main.n")) / block).cast("int").alias("nq"))
+        F.ceil((F.col("total") - F.col("main.n")) / block).cast("int").alias("nq")), "crowd")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = dealt.select("region", "node", "label", F.lit(False).alias("asks"), own("nb").alias("bb"), each("nq").alias("qb"))

@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its SQL where SQL can say it."""
 
-from . import evaluation, features, retrieval, texts  # noqa: F401
+from . import evaluation, features, retrieval, stores, texts  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
 
 import sys

@@ -17,7 +17,8 @@ most ``per_file`` records.
   aggregated before the shuffle; a digest that many records share is dealt to salts in the join. A file's revisits meet
   its content in a join by file name, at most ``per_file`` of them.
 
-Files are written by Spark's text writer, whose line separator is the end of a record, through the session's file system.
+Files are written by Spark's text writer, whose line separator is the end of a record, through the session's file system,
+gzipped at ``LEVEL``: its fastest one, as compression at the usual level was most of the job's work.
 Null html is the empty payload; a null page id leaves its header field out; a null url is written as ``-``, and blanks in
 urls percent-encoded. Repeated rows have a record each. Other columns are ignored; an empty table gives no rows.
 """
@@ -36,6 +37,7 @@ from .textkit import arrow_batch
 
 PER_FILE, LEAST_BYTES, CROWDED = 1000, 100, 100_000
 BATCH_BYTES = 1 << 23
+LEVEL = "BEST_SPEED"  # a name of Hadoop's zlib.compress.level
 # The header fields of each version, as the version block lists them.
 FIELDS = {1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
           2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]}
@@ -83,6 +85,12 @@ def arc_file(pages: list, version: int, name: str, date: str) -> list[bytes]:
     return out
 
 
+def write_records(records: DataFrame, folder: str, end: str, per_file: int) -> None:
+    """The column ``value``, a record each, as gzipped files."""
+    texts = records.select(F.col("value").cast("string").alias("value"))
+    texts.write.options(lineSep=end, compression="gzip", maxRecordsPerFile=per_file).option("zlib.compress.level", LEVEL).text(folder)
+
+
 def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
               date: str = "20010203040506", per_file: int = PER_FILE) -> None:
     """Pages as gzipped ARC files, files of version 1 and 2 in turn."""
@@ -109,8 +117,7 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    texts = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    texts.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+    write_records(rows.mapInArrow(run, "value binary"), folder, "\n", per_file)
 
 
 def arc_records(data: bytes, path: str):
@@ -239,8 +246,7 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes:
     arcs = archives(spark, arc_folder)
     by_file = revisits(parsed(arcs), least_bytes, crowded).groupBy("path").agg(F.collect_list(F.struct("at", "record_id", "url", "date")).alias("again"))
     rows = arcs.select("path", "content").join(by_file.hint("merge"), "path", "left")
-    texts = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    texts.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(warc_folder)
+    write_records(rows.mapInArrow(run, "value binary"), warc_folder, "\r\n\r\n", per_file)
 
 
 def warc_records(data: bytes, path: str):

@@ -228,6 +228,21 @@ def test_archives_in_small_files_with_crowded_payloads(spark):
     assert records.exceptAll(legacy_archives.read_warc(legacy_archives.archives(spark, again))).count() == 0  # ids are the same again
 
 
+def test_archives_are_gzipped_at_the_fast_level(spark, tmp_path):
+    """Which leaves most of the time to the records; the files are larger than at the usual level."""
+    words = [f"word{i}" for i in range(300)]
+    html = " ".join(random.Random(1).choices(words, k=60_000))
+    pages = spark.createDataFrame([(1, "http://a", html)], "page_id long, url string, html string").coalesce(1)
+    legacy_archives.write_arc(pages, str(tmp_path / "arc"))
+    legacy_archives.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    for kind in ("arc", "warc"):
+        (file,) = (f for f in (tmp_path / kind).glob("part-*") if f.stat().st_size > 1000)
+        data = legacy_archives.plain(file.read_bytes())
+        fast, usual = (len(zlib.compress(data, level)) for level in (1, 6))
+        assert html.encode() in data
+        assert abs(file.stat().st_size - fast) < abs(file.stat().st_size - usual)
+
+
 def test_arc_versions_lengths_and_faults():
     one = legacy_archives.arc_file([(1, "http://a", b"\n\nbody\n"), (2, "http://b", b"")], 1, "x.arc", "1996")
     two = legacy_archives.arc_file([(1, "http://a", b"\n\nbody\n"), (2, "http://b", b"")], 2, "x.arc", "19960102")

@@ -12,8 +12,8 @@
    full sets and unites. Candidates inside one component need no more checks, so a crowd of copies costs a few checks a
    node. Rounds end when no candidate is left.
 
-No step gathers a group: orders are range partitions with the node itself as last key, components spread smallest ids
-over links of bounded degree. Stages are written to the shared folder, so a lost executor repeats only its part.
+No step gathers a group: orders are range partitions with the node itself as last key, tasks unite a bounded number of links
+between components, and smallest labels spread over what several tasks found. Stages are written to the shared folder, so a lost executor repeats only its part.
 
 Nulls, empty texts and texts without words have no set and are alone. A null id is never a component's smallest; a group
 of null ids only has a null component. Repeated rows fall into one node. A component is told apart by its smallest
@@ -26,11 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cohortflow.session import written
+from cohortflow.session import written, written_with
 
 from .textkit import SHINGLE, Hasher, arrow_batch, distinct_shingles, free_name, mix
 
 TREES, DEPTH, LEAST, REACH, CROWD = 16, 8, 3, 2, 5
+LINKS = 1 << 18  # that a task unites
 SIGNED = "doc_id long, n_shingles long, node long, keys binary, sketch binary"
 
 
@@ -259,7 +260,58 @@ def enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def united(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that links (x, y) join each of 0 to n - 1 with."""
+    root = np.arange(n)
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def united(labels: DataFrame, links: DataFrame, most: int = LINKS) -> DataFrame:
+    """(node, label): each label becomes the smallest one that ``links`` (a, b) join it with.
+
+    Links become links of labels, and tasks unite ``most`` of them each. What several tasks found is united by :func:`spread`.
+    """
+    one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    ends = [F.col(f"label_{x}.{f}").alias(f"{f}_{x}") for x in "ab" for f in ("no_id", "id", "node")]
+    between, seen = written_with(links.join(one, "a").join(two, "b").where("label_a <> label_b").select(*ends), "between", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return labels
+    tasks = -(-seen["n"] // most)
+
+    def run(batches):
+        import pandas as pd
+
+        pdf = pd.concat(batches, ignore_index=True) if (batches := list(batches)) else None
+        if pdf is None or not len(pdf):
+            return
+        no, id_, node = (np.concatenate([pdf[f"{f}_{x}"].to_numpy() for x in "ab"]) for f in ("no_id", "id", "node"))
+        order = np.lexsort((node, id_, no))
+        fresh = np.concatenate([[True], node[order][1:] != node[order][:-1]])  # a node has one id
+        at, code = order[fresh], np.empty(len(node), np.int64)
+        code[order] = np.cumsum(fresh) - 1
+        to = at[merged(code[:len(pdf)], code[len(pdf):], len(at))]
+        yield pd.DataFrame({f"{f}_{x}": v[i] for x, i in (("a", at), ("b", to)) for f, v in (("no_id", no), ("id", id_), ("node", node))})
+
+    found = written(between.repartition(tasks).mapInPandas(run, between.schema), "united")
+    old, now = (F.struct(*[F.col(f"{f}_{x}").alias(f) for f in ("no_id", "id", "node")]) for x in "ab")
+    if tasks == 1:
+        found = found.select(F.col("node_a").alias("old"), now.alias("now"))
+    else:
+        own = written(found.select(old.alias("label")).unionByName(found.select(now.alias("label"))).distinct().select(F.col("label.node").alias("node"), "label"), "labels")
+        found = spread(own, found.where("node_a <> node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).select(F.col("node").alias("old"), F.col("label").alias("now"))
+    after = labels.join(found, F.col("label.node") == F.col("old"), "left")
+    return written(after.select("node", F.coalesce("now", "label").alias("label")), "labels")
+
+
+def spread(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) after spreading the smallest label over links, and from each label's own node to its followers."""
     edges = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))), "edges")
     while True:

@@ -1,6 +1,7 @@
 """Groups, windows, shards, packs, token files and pages against plain Python."""
 
 import html
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -117,6 +118,30 @@ def test_edges_of_partitions_meet(spark, partitions):
         assert all(r.component_id == r.doc_id // 2 * 2 for r in found)
 
 
+
+def test_uniting_takes_few_tables(spark, monkeypatch):
+    """Long chains unite in the same few writes as short ones; many tasks find the same as one."""
+    rng = random.Random(5)
+    nodes = rng.sample(range(10**6), 120)
+    links = [(min(p), max(p)) for p in list(zip(nodes[:70], nodes[1:70])) + [tuple(rng.sample(nodes[70:], 2)) for _ in range(30)]]
+    own = {v: (rng.random() < 0.2, rng.randrange(50), v) for v in nodes}  # ids repeat, some nodes have none
+    want = dict(own)
+    while True:
+        before = dict(want)
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    labels = spark.createDataFrame([(v, own[v]) for v in nodes], "node long, label struct<no_id: boolean, id: long, node: long>")
+    found = spark.createDataFrame(links, "a long, b long")
+    writes, write = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name="table": writes.append(name) or write(df, name))
+    assert {r.node: tuple(r.label) for r in near_dedup.united(labels, found).collect()} == want
+    assert len(writes) <= 3
+    assert {r.node: tuple(r.label) for r in near_dedup.united(labels, found, most=20).collect()} == want
+    assert {r.node: tuple(r.label) for r in near_dedup.united(labels, found.limit(0)).collect()} == own
+
+
 def test_clashing_names(spark, odd):
     """Columns with the names that the operators use for themselves."""
     docs = odd.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("__id", "__node", "__its", "__TH", "label", "stays"))])

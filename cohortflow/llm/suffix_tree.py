@@ -7,8 +7,9 @@ is smoothed by its parent: counted next words share ``count / (node's count + MU
 distribution; the root is add-one-half over all words and one unknown word. All of these sum to one. A text is scored from
 the longest suffix of what was read that is a node.
 
-Sequences are 64-bit hashes. Each length is a written table of (sequence, context, suffix, count), and the tree is joins of
-these tables. A score is the root's plus one gain for each sequence of the tree found in the text (see :func:`gains`), so
+Sequences are 64-bit hashes of their context (all but the last word) and suffix (all but the first). Tasks count them in sorted
+blocks, which are dealt by ranges of hashes and summed there; only sequences that occur ``LEAST`` times become rows. Each
+length is a written table of (context, suffix, count), and the tree is joins of these tables. A score is the root's plus one gain for each sequence of the tree found in the text (see :func:`gains`), so
 texts meet the tree by sequence, and only sums are left. Nothing that is collected grows with the corpus: gains of sequences
 with a share of ``RARE`` or more go to every task (at most ``1 / RARE`` of a length), the others are joined by shuffle; which
 way a sequence takes changes no result. Filters of a fixed size tell tasks what cannot be in a table; what they let through
@@ -25,14 +26,15 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortflow.session import written, written_with
+from cohortflow.session import drop_table, written, written_with
 
 from .textkit import Hasher, Piece, arrow_batch, mix, pieces
 
 RARE, BITS, LEAST = 2.0**-21, 21, 2
 TAU, MU, CONTEXT = 10.0, 16.0, 3
-FILTER = 26  # bits of a slot's number in a filter
-COUNTED = "key long, n long, context long, suffix long"
+FILTER = 26  # bits of a slot's number in a filter; a key has two slots
+BLOCK = 20  # bits of the words that a range of hashes may hold
+COUNTED, BLOCKS = "context long, suffix long, n long", "part long, rows long, block binary"
 END_HASH = np.int64(0x5BF03635D1B54A32)
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, keys array<long>, times array<int>, n_words int"
 
@@ -94,11 +96,61 @@ class Sums:
     def out(self):
         self.merge()
         for lo in range(0, self.size, 1 << 18):
-            cols = [x[lo:lo + (1 << 18)].astype(np.int64) for x in self.parts[0]]
-            yield arrow_batch(", ".join(COUNTED.split(", ")[:len(cols)]), cols)
+            yield [x[lo:lo + (1 << 18)].astype(np.int64) for x in self.parts[0]]
         self.parts, self.size = [], 0
 
 
+class Pairs(Sums):
+    """:class:`Sums` of sequences as (context, suffix), handed out as one block (number, rows, bytes) for each of ``2 ** bits`` ranges of keys."""
+
+    def __init__(self, bits: int, most: int = 2_000_000):
+        super().__init__(most)
+        self.bits = bits
+
+    def out(self):
+        self.merge()
+        if self.size:
+            key, n, context, suffix = self.parts[0]
+            part = key >> np.int64(64 - self.bits)
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                order = a + np.argsort(context[a:b])
+                yield int(part[a]), int(b - a), packed(np.diff(context[order], prepend=np.int64(0)), suffix[order], n[order])
+        self.parts, self.size = [], 0
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """64-bit columns of one length as compressed bytes, all lowest bytes first: what is small or repeated takes little."""
+    import pyarrow as pa
+
+    planes = [np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T) for c in columns]
+    return pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(block: bytes, rows: int, columns: int) -> list[np.ndarray]:
+    import pyarrow as pa
+
+    planes = np.frombuffer(pa.decompress(block, decompressed_size=8 * rows * columns, codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in planes.reshape(columns, 8, rows)]
+
+
+def by_part(blocks: DataFrame, merge, schema: str) -> DataFrame:
+    """``merge`` of each part's list of (rows, block), as record batches; all blocks of a part meet in one task."""
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for part, rows, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at and held:
+                    yield from merge(at, held)
+                    held = []
+                at = part
+                held.append((rows, block))
+        if held:
+            yield from merge(at, held)
+
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
 def token_hashes(texts: list, hasher: Hasher):
     """(tokens, text numbers) of a piece at a time, with its first text's index: words of each text, then its end."""
     for lo, hi in pieces(texts):
@@ -113,56 +165,108 @@ def token_hashes(texts: list, hasher: Hasher):
         yield lo, out, doc
 
 
+def paired(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of a sequence: Spark's ``xxhash64(context, suffix)``, which tables use."""
+    u = np.uint64
+    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
+    turned = lambda x, r: (x << u(r)) | (x >> u(64 - r))
+    h = np.full(len(context), 42, np.uint64)
+    for column in (context, suffix):
+        h = (h + p5 + u(8)) ^ (turned(column.view(np.uint64) * p2, 31) * p1)
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        h = h ^ (h >> u(32))
+    return h.view(np.int64)
+
+
 def sequences(tokens: np.ndarray, doc: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length, the hash of the sequence that ends at each token, and whether the text has it."""
-    word = mix(tokens.view(np.uint64))
     found = [(tokens, np.ones(len(tokens), bool))]
     for _ in range(1, longest):
         h, ok = found[-1]
         key, has = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        key[1:] = mix(mix(h[:-1].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + word[1:]).view(np.int64)
+        key[1:] = paired(h[:-1], h[1:])
         has[1:] = ok[:-1] & (doc[1:] == doc[:-1])
         found.append((key, has))
     return found
 
 
+def slots(keys: np.ndarray):
+    """The two slots of each key in a filter."""
+    return [(keys >> np.int64(shift)) & np.int64((1 << FILTER) - 1) for shift in (0, FILTER)]
+
+
 def filtered(keys: DataFrame) -> np.ndarray:
-    """Filter of the column ``key``: one bit a slot, of a fixed size."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER) - 1))
-    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    t = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER - 6), np.int64)
-    out[t["at"].to_numpy()] = t["bits"].to_numpy()
-    return out.view(np.uint8)
+    """Filter of the column ``key``: two bits a key, of a fixed size."""
+    def bits(batches):
+        seen = np.zeros(1 << FILTER, bool)
+        for batch in batches:
+            for slot in slots(batch.column(0).to_numpy(zero_copy_only=False)):
+                seen[slot] = True
+        for part, words in enumerate(np.packbits(seen, bitorder="little").view(np.int64).reshape(64, -1)):
+            if words.any():
+                yield arrow_batch(BLOCKS, [[part], [len(words)], [packed(words)]])
 
+    def merge(part, held):
+        words = np.bitwise_or.reduce([unpacked(block, rows, 1)[0] for rows, block in held])
+        yield arrow_batch(BLOCKS, [[part], [len(words)], [packed(words)]])
+
+    out = np.zeros((64, 1 << (FILTER - 12)), np.int64)
+    for part, rows, block in by_part(keys.select("key").mapInArrow(bits, BLOCKS), merge, BLOCKS).collect():
+        out[part] = unpacked(bytes(block), rows, 1)[0]
+    return out.ravel().view(np.uint8)
 
-def passes(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.int64((1 << FILTER) - 1)
-    return (seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
+def passes(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    first, second = ((seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 for slot in slots(keys))
+    return (first & second) > 0
 
-def counted(rows: DataFrame, length: int, model) -> DataFrame:
-    """COUNTED of the sequences of this length in the training texts, those whose context and suffix pass the filter; words
-    have a key and a count alone."""
-    schema = COUNTED if length > 1 else "key long, n long"
 
+def counted_words(rows: DataFrame) -> DataFrame:
+    """(key, n) of all words of the training texts."""
     def run(batches):
         hasher, sums = Hasher(), Sums()
+        for batch in batches:
+            for _, tokens, _ in token_hashes(batch.column(0).to_pylist(), hasher):
+                for cols in sums.add(tokens):
+                    yield arrow_batch("key long, n long", cols)
+        for cols in sums.out() if sums.parts else ():
+            yield arrow_batch("key long, n long", cols)
+
+    return rows.where("NOT held_out").select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def counted(rows: DataFrame, length: int, model, bits: int) -> DataFrame:
+    """COUNTED of the sequences of this length that the training texts have ``LEAST`` times, of those whose context and suffix
+    pass the filter. They are summed in ``2 ** bits`` ranges of their keys."""
+    def run(batches):
+        hasher, sums = Hasher(), Pairs(bits)
+
+        def blocks(found):
+            for part, n, block in found:
+                yield arrow_batch(BLOCKS, [[part], [n], [block]])
+
         for batch in batches:
             for _, tokens, doc in token_hashes(batch.column(0).to_pylist(), hasher):
-                found = sequences(tokens, doc, length)
-                if length == 1:
-                    yield from sums.add(tokens)
-                    continue
-                (shorter, _), (key, has) = found[-2:]
+                (shorter, _), (key, has) = sequences(tokens, doc, length)[-2:]
                 at = np.flatnonzero(has)
-                at = at[passes(model.value, shorter[at - 1]) & passes(model.value, shorter[at])]
-                yield from sums.add(key[at], shorter[at - 1], shorter[at])
-        if sums.parts:
-            yield from sums.out()
+                ok = passes(model.value, shorter)
+                at = at[ok[at - 1] & ok[at]]
+                yield from blocks(sums.add(key[at], shorter[at - 1], shorter[at]))
+        yield from blocks(sums.out())
 
-    parts = rows.where("NOT held_out").select("text").mapInArrow(run, schema)
-    return parts.groupBy("key").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "suffix") if length > 1))
+    def merge(part, held):
+        steps, suffix, n = zip(*(unpacked(block, size, 3) for size, block in held))
+        context, suffix, n = np.concatenate([np.cumsum(x) for x in steps]), np.concatenate(suffix), np.concatenate(n)
+        key = paired(context, suffix)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        n = np.add.reduceat(n[order], first)
+        kept, first = n >= LEAST, order[first]
+        yield arrow_batch(COUNTED, [context[first[kept]], suffix[first[kept]], n[kept]])
+
+    return by_part(rows.where("NOT held_out").select("text").mapInArrow(run, BLOCKS), merge, COUNTED)
 
 
 def grown(found: DataFrame, shorter: DataFrame, tau: float = TAU, mu: float = MU) -> DataFrame:
@@ -178,26 +282,31 @@ def grown(found: DataFrame, shorter: DataFrame, tau: float = TAU, mu: float = MU
     other = 1 - F.col("seen")
     apart = F.col("apart") + F.when(other > 1e-12, other * F.log(other / (1 - F.col("by_parent")))).otherwise(0.0)
     p = F.col("n") / (F.col("total") + mu) + F.col("left") * F.col("parent")
-    return of.select("key", "context", "suffix", "n", "total", p.alias("p"), F.log10(p / (F.col("left") * F.col("parent"))).alias("gain"),
+    return of.select("context", "suffix", "n", "total", p.alias("p"), F.log10(p / (F.col("left") * F.col("parent"))).alias("gain"),
                      F.log10("left").alias("rest"), (F.col("total") * apart >= tau).alias("node"))
 
 
 def gains(levels: list[DataFrame]) -> DataFrame:
-    """(key, n, gain) of the tree's sequences.
+    """(key, n, gain) of the tree's sequences; the levels' tables are dropped.
 
     After a node an unseen word has the parent's probability times the rest, a counted one its own. So every node adds its
     rest to the score wherever it precedes a word, and every counted word after a node the log of its probability over rest
     times parent's. Suffixes of nodes are nodes and counted words are counted after the suffix, so these add up to the longest
     one's. A sequence may be a context and the end of another: its gains are summed.
     """
-    out, longer = [], None
+    out, longer, key = [], None, F.xxhash64("context", "suffix").alias("key")
     for k in range(len(levels) - 1, -1, -1):
         nodes = levels[k].where("node").select("context")
         nodes = written((nodes if longer is None else nodes.unionByName(longer)).distinct(), "nodes")
         mine = levels[k].join(nodes, "context", "left_semi")
-        out += [mine.select("key", "n", "gain"), mine.groupBy("context").agg(F.first("total").alias("n"), F.first("rest").alias("gain")).withColumnRenamed("context", "key")]
-        longer = levels[k - 1].join(nodes.withColumnRenamed("context", "key"), "key", "left_semi").select(F.col("suffix").alias("context")) if k else None
-    return reduce(DataFrame.unionByName, out).groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain"))
+        heads = mine.groupBy("context").agg(F.first("total").alias("n"), F.first("rest").alias("gain")).withColumnRenamed("context", "key")
+        out.append(written(mine.select(key, "n", "gain").unionByName(heads), "level-gains"))
+        drop_table(levels[k])
+        longer = levels[k - 1].withColumn("key", key).join(nodes.withColumnRenamed("context", "key"), "key", "left_semi").select(F.col("suffix").alias("context")) if k else None
+    found = written(reduce(DataFrame.unionByName, out).groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain")), "gains")
+    for table in out:
+        drop_table(table)
+    return found
 
 
 def gathered(table: DataFrame, least: float, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -256,17 +365,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     sc = docs.sparkSession.sparkContext
     fold = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), (fold == held).alias("held_out"), docs[id_col].cast("long").alias("doc_id"))
-    vocabulary, size = written_with(counted(rows, 1, None), "words", total=F.sum("n"), distinct=F.count("*"))
+    vocabulary, size = written_with(counted_words(rows), "words", total=F.sum("n"), distinct=F.count("*"))
     total, distinct = size["total"] or 0, size["distinct"] or 0
     least = max(float(LEAST), rare * total)
     below = total + 0.5 * (distinct + 1)
     shorter = vocabulary.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(float(below)))
     levels: list[DataFrame] = []
     for length in range(2, context + 2):
-        found = counted(rows, length, sc.broadcast(filtered(shorter))).where(F.col("n") >= LEAST)
+        found = written(counted(rows, length, sc.broadcast(filtered(shorter)), max(1, int(total).bit_length() - BLOCK)), "counted")
         levels.append(written(grown(found, shorter), "sequences"))
-        shorter = levels[-1]
-    tree_gains = written(gains(levels), "gains")
+        drop_table(found)
+        shorter = levels[-1].select(F.xxhash64("context", "suffix").alias("key"), "n", "p")
+    tree_gains = gains(levels)
     word, n = gathered(vocabulary, least, "n")
     key, gain = gathered(tree_gains, least, "gain")
     few = tree_gains.where(F.col("n") < F.lit(least))
@@ -321,7 +431,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     log = F.log10((F.col("n") + 0.5) / F.lit(float(below)))
     values = vocabulary.where(F.col("n") < F.lit(least)).select("key", F.lit(True).alias("word"), log.alias("value")).unionByName(
         few.select("key", F.lit(False).alias("word"), F.col("gain").alias("value")))
-    met = asked.join(values, ["key", "word"], "left")
+    met = asked.join(values, ["key", "word"], "left").where(F.col("word") | F.col("value").isNotNull())
     sums = met.groupBy("rid").agg(F.sum(F.when(F.col("word"), F.col("times") * F.coalesce("value", F.lit(unknown)))).alias("rare_base"),
                                   F.sum(F.when(~F.col("word"), F.col("times") * F.col("value"))).alias("rare_gain"),
                                   F.sum(F.when(F.col("word") & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))

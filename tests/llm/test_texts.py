@@ -159,6 +159,44 @@ def test_suffix_tree_learns_by_count_at_every_size(spark, given, rare):
         assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 * max(1, abs(y[2]))
 
 
+def test_suffix_tree_counts_in_blocks(spark):
+    """Sequences come from blocks of key ranges as brute force counts them, and no row is made for one that occurs once."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, 30)) for _ in range(40)]
+    rows = spark.createDataFrame([(t, False) for t in texts] + [("w1 w1 held out", True)], "text string, held_out boolean").repartition(3)
+    everything = np.full(1 << (suffix_tree.FILTER - 3), 255, np.uint8)
+    found = suffix_tree.counted(rows, 3, spark.sparkContext.broadcast(everything), 4).withColumn("key", suffix_tree.F.xxhash64("context", "suffix")).collect()
+    tokens = [t.split() + [None] for t in texts]
+    c = Counter(tuple(t[i:i + 3]) for t in tokens for i in range(len(t) - 2))
+    assert sorted(r.n for r in found) == sorted(n for n in c.values() if n >= 2)
+    keys, context, suffix = (np.array([r[x] for r in found]) for x in ("key", "context", "suffix"))
+    assert len(set(keys)) == len(keys) and (suffix_tree.paired(context, suffix) == keys).all()
+
+
+def test_suffix_tree_blocks_and_filters():
+    """What is packed comes back, blocks hold their ranges alone and take half of what their columns take."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(-2**63, 2**63 - 1, 3000)
+    context, suffix = words[rng.integers(0, 3000, 50_000)], words[rng.integers(0, 3000, 50_000)]
+    sums = suffix_tree.Pairs(3)
+    assert not list(sums.add(suffix_tree.paired(context, suffix), context, suffix))
+    blocks, got = list(sums.out()), Counter()
+    for part, rows, block in blocks:
+        steps, s, n = suffix_tree.unpacked(block, rows, 3)
+        c = np.cumsum(steps)
+        assert set(suffix_tree.paired(c, s) >> 61) == {part}
+        got.update(dict(zip(zip(c.tolist(), s.tolist()), n.tolist())))
+    assert got == Counter(zip(context.tolist(), suffix.tolist())) and len(blocks) == 8
+    assert 2 * sum(len(b) for *_, b in blocks) < 32 * sum(rows for _, rows, _ in blocks)
+
+
+def test_suffix_tree_filter_lets_all_its_keys_through(spark):
+    keys = np.random.default_rng(5).integers(-2**63, 2**63 - 1, 4000)
+    seen = suffix_tree.filtered(spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(3))
+    other = np.random.default_rng(6).integers(-2**63, 2**63 - 1, 200_000)
+    assert suffix_tree.passes(seen, keys).all() and suffix_tree.passes(seen, other).sum() <= 2
+
+
 def counted(t):
     w = WORD.findall(t or "")
     tri, covered, seen, dups = Counter(zip(w, w[1:], w[2:])), set(), set(), 0

@@ -10,7 +10,7 @@ the longest suffix of what was read that is a node.
 Sequences are 64-bit hashes of their context (all but the last word) and suffix (all but the first). Tasks count them in sorted
 blocks, which are dealt by ranges of hashes and summed there; only sequences that occur ``LEAST`` times become rows. Each
 length is a written table of (context, suffix, count), and the tree is joins of these tables. A score is the root's plus one gain for each sequence of the tree found in the text (see :func:`gains`), so
-texts meet the tree by sequence, and only sums are left. Nothing that is collected grows with the corpus: gains of sequences
+texts meet the tree by sequence, and only sums go back to them, both in blocks. Nothing that is collected grows with the corpus: gains of sequences
 with a share of ``RARE`` or more go to every task (at most ``1 / RARE`` of a length), the others are joined by shuffle; which
 way a sequence takes changes no result. Filters of a fixed size tell tasks what cannot be in a table; what they let through
 wrongly is dropped by the join.
@@ -33,10 +33,14 @@ from .textkit import Hasher, Piece, arrow_batch, mix, pieces
 RARE, BITS, LEAST = 2.0**-21, 21, 2
 TAU, MU, CONTEXT = 10.0, 16.0, 3
 FILTER = 26  # bits of a slot's number in a filter; a key has two slots
-BLOCK = 20  # bits of the words that a range of hashes may hold
+WORDS = 8  # bits of the ranges of words
+BLOCK = 20  # bits of the tokens that a range of sequences stands for
+MOST = 1_000_000  # keys that a group of texts asks for, about
 COUNTED, BLOCKS = "context long, suffix long, n long", "part long, rows long, block binary"
 END_HASH = np.int64(0x5BF03635D1B54A32)
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, keys array<long>, times array<int>, n_words int"
+SENT = "part long, group long, rows long, block binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+VALUES = -1  # the group of blocks with values of keys
 
 
 class Lookup:
@@ -68,54 +72,49 @@ class Lookup:
         return out
 
 
-class Sums:
-    """Counts of 64-bit keys, with columns that each key decides, in bounded memory: what grows beyond ``most`` is handed out."""
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Where each of the sorted keys begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
 
-    def __init__(self, most: int = 2_000_000):
-        self.most, self.parts, self.size = most, [], 0
 
-    def add(self, keys: np.ndarray, *more: np.ndarray):
-        k, first, n = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append([k, n, *(x[first] for x in more)])
-        self.size += len(k)
+class Sums:
+    """Counts of 64-bit keys, or of pairs and their keys, in bounded memory: what grows beyond ``most`` is handed out, as one block
+    (number, rows, bytes) for each of ``2 ** bits`` ranges of keys."""
+
+    def __init__(self, bits: int, most: int = 1_000_000):
+        self.bits, self.most, self.parts, self.size = bits, most, [], 0
+
+    def add(self, keys: np.ndarray, *pair: np.ndarray):
+        order = np.argsort(keys)
+        k = keys[order]
+        first = starts(k)
+        if len(first):
+            self.parts.append([k[first], np.diff(np.append(first, len(k))), *(x[order[first]] for x in pair)])
+            self.size += len(first)
         if self.size > self.most:
             self.merge()
             if self.size > self.most // 2:
                 yield from self.out()
 
     def merge(self):
-        if not self.parts:
-            return
-        k, n, *more = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        self.parts = [[k[first], np.add.reduceat(n, first) if len(k) else n, *(x[order[first]] for x in more)]]
-        self.size = len(first)
+        if len(self.parts) > 1:
+            k = np.concatenate([x[0] for x in self.parts])
+            order = np.argsort(k)
+            k = k[order]
+            first = starts(k)
+            n = np.add.reduceat(np.concatenate([x[1] for x in self.parts])[order], first)
+            pair = [np.concatenate([x[i] for x in self.parts])[order[first]] for i in range(2, len(self.parts[0]))]
+            self.parts, self.size = [[k[first], n, *pair]], len(first)
 
     def out(self):
         self.merge()
-        for lo in range(0, self.size, 1 << 18):
-            yield [x[lo:lo + (1 << 18)].astype(np.int64) for x in self.parts[0]]
-        self.parts, self.size = [], 0
-
-
-class Pairs(Sums):
-    """:class:`Sums` of sequences as (context, suffix), handed out as one block (number, rows, bytes) for each of ``2 ** bits`` ranges of keys."""
-
-    def __init__(self, bits: int, most: int = 2_000_000):
-        super().__init__(most)
-        self.bits = bits
-
-    def out(self):
-        self.merge()
-        if self.size:
-            key, n, context, suffix = self.parts[0]
+        for key, n, *pair in self.parts:
             part = key >> np.int64(64 - self.bits)
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            cuts = np.append(starts(part), len(part))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                order = a + np.argsort(context[a:b])
-                yield int(part[a]), int(b - a), packed(np.diff(context[order], prepend=np.int64(0)), suffix[order], n[order])
+                order = a + np.argsort(pair[0][a:b]) if pair else slice(a, b)
+                first, *rest = (x[order] for x in pair or [key])
+                yield arrow_batch(BLOCKS, [[int(part[a])], [int(b - a)], [packed(np.diff(first, prepend=np.int64(0)), *rest, n[order])]])
         self.parts, self.size = [], 0
 
 
@@ -134,21 +133,21 @@ def unpacked(block: bytes, rows: int, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in planes.reshape(columns, 8, rows)]
 
 
-def by_part(blocks: DataFrame, merge, schema: str) -> DataFrame:
-    """``merge`` of each part's list of (rows, block), as record batches; all blocks of a part meet in one task."""
+def by_part(blocks: DataFrame, merge, schema: str, tasks: int | None = None) -> DataFrame:
+    """``merge`` of each part's list of blocks (the columns after ``part``), as record batches; all blocks of a part meet in one task."""
     def run(batches):
         at, held = None, []
         for batch in batches:
-            for part, rows, block in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, *block in zip(*(c.to_pylist() for c in batch.columns)):
                 if part != at and held:
                     yield from merge(at, held)
                     held = []
                 at = part
-                held.append((rows, block))
+                held.append(block)
         if held:
             yield from merge(at, held)
 
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return blocks.repartition(*[tasks] * (tasks is not None), "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def token_hashes(texts: list, hasher: Hasher):
@@ -223,50 +222,35 @@ def passes(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (first & second) > 0
 
 
-def counted_words(rows: DataFrame) -> DataFrame:
-    """(key, n) of all words of the training texts."""
-    def run(batches):
-        hasher, sums = Hasher(), Sums()
-        for batch in batches:
-            for _, tokens, _ in token_hashes(batch.column(0).to_pylist(), hasher):
-                for cols in sums.add(tokens):
-                    yield arrow_batch("key long, n long", cols)
-        for cols in sums.out() if sums.parts else ():
-            yield arrow_batch("key long, n long", cols)
-
-    return rows.where("NOT held_out").select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 def counted(rows: DataFrame, length: int, model, bits: int) -> DataFrame:
     """COUNTED of the sequences of this length that the training texts have ``LEAST`` times, of those whose context and suffix
-    pass the filter. They are summed in ``2 ** bits`` ranges of their keys."""
+    pass the filter; (key, n) of all words. They are summed in ``2 ** bits`` ranges of their keys."""
     def run(batches):
-        hasher, sums = Hasher(), Pairs(bits)
-
-        def blocks(found):
-            for part, n, block in found:
-                yield arrow_batch(BLOCKS, [[part], [n], [block]])
-
+        hasher, sums = Hasher(), Sums(bits)
         for batch in batches:
             for _, tokens, doc in token_hashes(batch.column(0).to_pylist(), hasher):
+                if length == 1:
+                    yield from sums.add(tokens)
+                    continue
                 (shorter, _), (key, has) = sequences(tokens, doc, length)[-2:]
                 at = np.flatnonzero(has)
                 ok = passes(model.value, shorter)
                 at = at[ok[at - 1] & ok[at]]
-                yield from blocks(sums.add(key[at], shorter[at - 1], shorter[at]))
-        yield from blocks(sums.out())
+                yield from sums.add(key[at], shorter[at - 1], shorter[at])
+        yield from sums.out()
 
     def merge(part, held):
-        steps, suffix, n = zip(*(unpacked(block, size, 3) for size, block in held))
-        context, suffix, n = np.concatenate([np.cumsum(x) for x in steps]), np.concatenate(suffix), np.concatenate(n)
-        key = paired(context, suffix)
+        steps, *suffix, n = zip(*(unpacked(block, size, 2 + (length > 1)) for size, block in held))
+        cols, n = [np.concatenate([np.cumsum(x) for x in steps]), *map(np.concatenate, suffix)], np.concatenate(n)
+        key = paired(*cols) if suffix else cols[0]
         order = np.argsort(key)
-        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        first = starts(key[order])
         n = np.add.reduceat(n[order], first)
-        kept, first = n >= LEAST, order[first]
-        yield arrow_batch(COUNTED, [context[first[kept]], suffix[first[kept]], n[kept]])
+        kept, first = n >= (LEAST if suffix else 1), order[first]
+        yield arrow_batch(schema, [*(x[first[kept]] for x in cols), n[kept]])
 
-    return by_part(rows.where("NOT held_out").select("text").mapInArrow(run, BLOCKS), merge, COUNTED)
+    schema = COUNTED if length > 1 else "key long, n long"
+    return by_part(rows.where("NOT held_out").select("text").mapInArrow(run, BLOCKS), merge, schema, 1 << bits if length > 1 else None)
 
 
 def grown(found: DataFrame, shorter: DataFrame, tau: float = TAU, mu: float = MU) -> DataFrame:
@@ -309,6 +293,16 @@ def gains(levels: list[DataFrame]) -> DataFrame:
     return found
 
 
+def sent(kind: int, group: int, bits: int, key: np.ndarray, value: np.ndarray):
+    """Blocks of SENT of (key, value), one for each range of keys. Parts of words (kind 0) and sequences (1) have their own numbers."""
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    part = (kind << bits) + (key >> np.int64(64 - bits)) + (1 << (bits - 1))
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(key) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield arrow_batch(SENT, [[int(part[a])], [group], [int(b - a)], [packed(np.diff(key[a:b], prepend=np.int64(0)), value[a:b])]])
+
+
 def gathered(table: DataFrame, least: float, value: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys and values of a count of at least ``least`` (a share RARE of all, so 1 / RARE of a length at most), sorted by key."""
     t = table.where(F.col("n") >= F.lit(float(least))).select("key", value).toArrow()
@@ -365,14 +359,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     sc = docs.sparkSession.sparkContext
     fold = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), (fold == held).alias("held_out"), docs[id_col].cast("long").alias("doc_id"))
-    vocabulary, size = written_with(counted_words(rows), "words", total=F.sum("n"), distinct=F.count("*"))
+    vocabulary, size = written_with(counted(rows, 1, None, WORDS), "words", total=F.sum("n"), distinct=F.count("*"))
     total, distinct = size["total"] or 0, size["distinct"] or 0
     least = max(float(LEAST), rare * total)
     below = total + 0.5 * (distinct + 1)
+    bits = max(1, int(total).bit_length() - BLOCK)
     shorter = vocabulary.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(float(below)))
     levels: list[DataFrame] = []
     for length in range(2, context + 2):
-        found = written(counted(rows, length, sc.broadcast(filtered(shorter)), max(1, int(total).bit_length() - BLOCK)), "counted")
+        found = written(counted(rows, length, sc.broadcast(filtered(shorter)), bits), "counted")
         levels.append(written(grown(found, shorter), "sequences"))
         drop_table(found)
         shorter = levels[-1].select(F.xxhash64("context", "suffix").alias("key"), "n", "p")
@@ -382,61 +377,82 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     few = tree_gains.where(F.col("n") < F.lit(least))
     unknown = float(np.log10(0.5 / below)) if below else 0.0
     model = sc.broadcast((Lookup(word), np.log10((n + 0.5) / below), Lookup(key), gain, filtered(few)))
+    log = F.log10((F.col("n") + 0.5) / F.lit(float(below)))
+    values = [vocabulary.where(F.col("n") < F.lit(least)).select("key", log.alias("value")), few.select("key", F.col("gain").alias("value"))]
 
     def run(batches):
         from pyspark import TaskContext
 
-        hasher, rid = Hasher(), TaskContext.get().partitionId() << 40
+        hasher, group = Hasher(), TaskContext.get().partitionId() << 30
         words, base, often, gain, seldom = model.value
-
-        def once(keys, doc, n):
-            """Each text's distinct keys, how often it has them, and where its own begin."""
-            code = mix(keys.view(np.uint64) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
-            _, first, times = np.unique(code, return_index=True, return_counts=True)
-            order = np.argsort(doc[first], kind="stable")
-            first = first[order]
-            return keys[first], times[order].astype(np.int32), np.searchsorted(doc[first], np.arange(n + 1))
-
         for batch in batches:
-            texts, out = batch.column(0).to_pylist(), []
-            for _, tokens, doc in token_hashes(texts, hasher):
+            texts, heads, asked, first = batch.column(0).to_pylist(), [], ([], []), 0
+            for lo, tokens, doc in token_hashes(texts, hasher):
                 n = int(doc[-1]) + 1
                 at = words.find(tokens)
                 known = at >= 0
                 base_sum = np.bincount(doc, np.where(known, base[at] if len(base) else 0.0, 0.0), n)
-                more, keys, docs_ = np.zeros(n), [], []
-                for key, has in sequences(tokens, doc, context + 1):
-                    i = np.flatnonzero(has)
+                asked[0].append((tokens[~known], doc[~known] + lo - first))
+                more, may = np.zeros(n), np.ones(len(tokens), bool)
+                for k, (key, has) in enumerate(sequences(tokens, doc, context + 1)):
+                    i = np.flatnonzero(has & may if k > 1 else has)  # from three words on, a sequence of the tree has its suffix there
                     j = often.find(key[i])
                     hit = j >= 0
                     more += np.bincount(doc[i[hit]], gain[j[hit]], n)
-                    i = i[~hit]
-                    i = i[passes(seldom, key[i])]
-                    keys.append(key[i])
-                    docs_.append(doc[i])
-                # Rarer words and sequences meet their tables later; one entry for each of a text.
-                w, w_times, w_cut = once(tokens[~known], doc[~known], n)
-                g, g_times, g_cut = once(np.concatenate(keys), np.concatenate(docs_), n)
-                sizes, heads = np.bincount(doc, minlength=n), np.bincount(doc, known, n).astype(np.int64)
-                for i in range(n):
-                    a, b = slice(w_cut[i], w_cut[i + 1]), slice(g_cut[i], g_cut[i + 1])
-                    out.append((sizes[i], heads[i], base_sum[i], more[i], np.concatenate([w[a], g[b]]), np.concatenate([w_times[a], g_times[b]]), a.stop - a.start))
-            ids = np.arange(rid, rid + len(texts))
-            rid += len(texts)
-            yield arrow_batch(SCORED, [ids, batch.column(2), batch.column(1), *(zip(*out) if out else [[]] * 7)])
-
-    found = written(rows.mapInArrow(run, SCORED), "scored")
-    asked = found.select("rid", "n_words", F.posexplode(F.arrays_zip("keys", "times"))).select(
-        "rid", F.col("col.keys").alias("key"), F.col("col.times").alias("times"), (F.col("pos") < F.col("n_words")).alias("word"))
-    log = F.log10((F.col("n") + 0.5) / F.lit(float(below)))
-    values = vocabulary.where(F.col("n") < F.lit(least)).select("key", F.lit(True).alias("word"), log.alias("value")).unionByName(
-        few.select("key", F.lit(False).alias("word"), F.col("gain").alias("value")))
-    met = asked.join(values, ["key", "word"], "left").where(F.col("word") | F.col("value").isNotNull())
-    sums = met.groupBy("rid").agg(F.sum(F.when(F.col("word"), F.col("times") * F.coalesce("value", F.lit(unknown)))).alias("rare_base"),
-                                  F.sum(F.when(~F.col("word"), F.col("times") * F.col("value"))).alias("rare_gain"),
-                                  F.sum(F.when(F.col("word") & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    base = F.col("base") + zero("rare_base")
-    return found.drop("keys", "times").join(sums, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("gain") + zero("rare_gain")).alias("score"))
+                    rest = i[~hit]
+                    rest = rest[passes(seldom, key[rest])]
+                    asked[1].append((key[rest], doc[rest] + lo - first))
+                    may[:] = False
+                    may[i[hit]] = may[rest] = True
+                heads.append((np.bincount(doc, minlength=n), np.bincount(doc, known, n).astype(np.int64), base_sum.view(np.int64), more.view(np.int64)))
+                if sum(len(x) for kind in asked for x, _ in kind) > MOST or lo + n == len(texts):
+                    held = batch.column(1).slice(first, lo + n - first).to_numpy(zero_copy_only=False)
+                    ids = batch.column(2).slice(first, lo + n - first)
+                    cols = [ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), held, *map(np.concatenate, zip(*heads))]
+                    yield arrow_batch(SENT, [[-1 - group], [group], [len(held)], [packed(*cols)]])
+                    for kind, found in enumerate(asked):
+                        yield from sent(kind, group, bits, *map(np.concatenate, zip(*found)))
+                    heads, asked, first, group = [], ([], []), lo + n, group + 1
+
+    def given(kind):
+        def blocks(batches):
+            for batch in batches:
+                key, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                yield from sent(kind, VALUES, bits, key, value.astype(float).view(np.int64))
+        return blocks
+
+    def meet(part, blocks):
+        """Sums of each group's texts over the keys of this part: (text, value, known words). What the texts have goes on as it is."""
+        if part < 0:
+            for group, rows, block in blocks:
+                yield arrow_batch(SENT, [[group], [VALUES], [rows], [block]])
+            return
+        have = [unpacked(block, rows, 2) for group, rows, block in blocks if group == VALUES]
+        key, value = (np.concatenate(x) for x in zip([np.zeros(0, np.int64)] * 2, *([np.cumsum(k), v] for k, v in have)))
+        find, value = Lookup(key), np.append(value, 0).view(float)
+        value[-1] = 0.0 if part >> bits else unknown
+        for group, rows, block in blocks:
+            if group != VALUES:
+                step, text = unpacked(block, rows, 2)
+                at = find.find(np.cumsum(step))
+                sums, known = np.bincount(text, value[at]), np.bincount(text, (at >= 0) & (part >> bits == 0)).astype(np.int64)
+                own = np.flatnonzero(sums)
+                if len(own):
+                    yield arrow_batch(SENT, [[group], [part >> bits], [len(own)], [packed(own, sums[own].view(np.int64), known[own])]])
+
+    def total_of(_, blocks):
+        import pyarrow as pa
+
+        rows, block = next((rows, block) for kind, rows, block in blocks if kind == VALUES)
+        ids, null, held, tokens, known, *sums = unpacked(block, rows, 7)
+        known, sums = known.copy(), [x.view(float).copy() for x in sums]
+        for kind, rows, block in blocks:
+            if kind != VALUES:
+                text, value, n = unpacked(block, rows, 3)
+                sums[kind][text] += value.view(float)
+                known[text] += n
+        yield arrow_batch(SCORED, [pa.array(ids, mask=null > 0), pa.array(held > 0), tokens, known, sums[0], sums[0] + sums[1]])
+
+    asked = reduce(DataFrame.unionByName, [rows.mapInArrow(run, SENT), *(v.mapInArrow(given(kind), SENT) for kind, v in enumerate(values))])
+    scored = by_part(by_part(asked, meet, SENT, 1 << bits), total_of, SCORED, 1 << bits)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -95,6 +95,7 @@ class Hasher:
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
+        self.mixed = mix(np.arange(1 << 16, dtype=np.uint64) + _SEED)  # of the code points that nearly all texts have
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
@@ -105,7 +106,8 @@ class Hasher:
     def spans(self, cp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         self._powers(len(cp) + 1)
         run = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(mix(cp.astype(np.uint64) + _SEED) * self.up[: len(cp)], dtype=np.uint64, out=run[1:])
+        one = self.mixed[cp] if len(cp) and cp.max() < len(self.mixed) else mix(cp.astype(np.uint64) + _SEED)
+        np.cumsum(one * self.up[: len(cp)], dtype=np.uint64, out=run[1:])
         return mix((run[hi] - run[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
 
 

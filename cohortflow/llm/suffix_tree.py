@@ -278,17 +278,19 @@ def gains(levels: list[DataFrame]) -> DataFrame:
     times parent's. Suffixes of nodes are nodes and counted words are counted after the suffix, so these add up to the longest
     one's. A sequence may be a context and the end of another: its gains are summed.
     """
-    out, longer, key = [], None, F.xxhash64("context", "suffix").alias("key")
+    out, longer, done, key = [], None, [], F.xxhash64("context", "suffix").alias("key")
     for k in range(len(levels) - 1, -1, -1):
         nodes = levels[k].where("node").select("context")
         nodes = written((nodes if longer is None else nodes.unionByName(longer)).distinct(), "nodes")
         mine = levels[k].join(nodes, "context", "left_semi")
         heads = mine.groupBy("context").agg(F.first("total").alias("n"), F.first("rest").alias("gain")).withColumnRenamed("context", "key")
         out.append(written(mine.select(key, "n", "gain").unionByName(heads), "level-gains"))
-        drop_table(levels[k])
+        for table in (levels[k], *done):
+            drop_table(table)
+        done = [nodes]
         longer = levels[k - 1].withColumn("key", key).join(nodes.withColumnRenamed("context", "key"), "key", "left_semi").select(F.col("suffix").alias("context")) if k else None
     found = written(reduce(DataFrame.unionByName, out).groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain")), "gains")
-    for table in out:
+    for table in out + done:
         drop_table(table)
     return found
 

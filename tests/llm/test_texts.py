@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
@@ -14,6 +15,7 @@ from hypothesis import given as drawn, settings, strategies as st
 
 from cohortflow.llm import deobfuscation, fertility, line_crf, suffix_tree, textkit
 from cohortflow.llm.queries import QUERIES, vocabulary
+from cohortflow.session import Scope, work_folder
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -190,6 +192,15 @@ def test_suffix_tree_blocks_and_filters():
     assert 2 * sum(len(b) for *_, b in blocks) < 32 * sum(rows for _, rows, _ in blocks)
 
 
+def test_suffix_tree_keeps_two_tables(spark, given):
+    """What only builds the tree is gone before texts are scored."""
+    with Scope(spark) as scope:
+        found = suffix_tree.scores(spark.createDataFrame(given[:200], "doc_id long, text string"))
+        folder = f"{work_folder(spark)}/cohortflow/{spark.sparkContext.applicationId}/{scope.name}".removeprefix("file://")
+        assert sorted(f.rsplit("-", 1)[0] for f in os.listdir(folder)) == ["gains", "words"]
+        assert found.count() == 200
+
+
 def test_word_hashes_are_the_same_beside_rare_code_points():
     texts = ["a word é 中文", "a word é 中文 \U0001F600"]
     first, second = ([h for _, tokens, _ in suffix_tree.token_hashes([t], textkit.Hasher()) for h in tokens.tolist()] for t in texts)

@@ -35,7 +35,8 @@ TAU, MU, CONTEXT = 10.0, 16.0, 3
 FILTER = 26  # bits of a slot's number in a filter; a key has two slots
 WORDS = 8  # bits of the ranges of words
 BLOCK = 20  # bits of the tokens that a range of sequences stands for
-MOST = 1_000_000  # keys that a group of texts asks for, about
+MOST = 1_000_000  # keys that a group of texts asks for, about; values that are cut into ranges at once
+SEARCHED = 1 << 17  # keys that are looked up at once, about
 COUNTED, BLOCKS = "context long, suffix long, n long", "part long, rows long, block binary"
 END_HASH = np.int64(0x5BF03635D1B54A32)
 SENT = "part long, group long, rows long, block binary"
@@ -59,19 +60,40 @@ class Lookup:
             left, slot = left[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys):
-        return (mix(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys.astype(np.int64, copy=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        slot, out, open_ = self._slot(keys), np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        while len(open_) and self.n:
+        slot = self._slot(keys)
+        at, hit = self.at[slot], self.key[slot] == keys
+        out, open_ = np.where(hit, at, -1).astype(np.int64), np.flatnonzero(~hit & (at >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
             at, hit = self.at[slot], self.key[slot] == keys[open_]
-            found = (at >= 0) & hit
-            out[open_[found]] = at[found]
-            more = (at >= 0) & ~hit
-            open_, slot = open_[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+            out[open_[hit]] = at[hit]
+            more = ~hit & (at >= 0)
+            open_, slot = open_[more], slot[more]
         return out
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """The order that sorts 64-bit keys, equal ones as they came: their upper bits are sorted with positions in the place of the
+    lower ones, which numpy does several times faster than its sort of positions; keys that differ in lower bits alone follow."""
+    bits = max(1, len(keys) - 1).bit_length()
+    both = (keys & np.int64(-1 << bits)) | np.arange(len(keys))
+    both.sort()
+    order = both & np.int64((1 << bits) - 1)
+    k = keys[order]
+    wrong = np.flatnonzero(k[1:] < k[:-1])
+    if len(wrong):
+        upper = k >> np.int64(bits)
+        runs = np.unique(upper[wrong])
+        lo, hi = np.searchsorted(upper, runs), np.searchsorted(upper, runs, "right")
+        at = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange((hi - lo).sum())
+        order[at] = order[at[np.argsort(k[at], kind="stable")]]
+    return order
+
+
 def starts(keys: np.ndarray) -> np.ndarray:
     """Where each of the sorted keys begins."""
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
@@ -85,7 +107,7 @@ class Sums:
         self.bits, self.most, self.parts, self.size = bits, most, [], 0
 
     def add(self, keys: np.ndarray, *pair: np.ndarray):
-        order = np.argsort(keys)
+        order = ordered(keys)
         k = keys[order]
         first = starts(k)
         if len(first):
@@ -99,7 +121,7 @@ class Sums:
     def merge(self):
         if len(self.parts) > 1:
             k = np.concatenate([x[0] for x in self.parts])
-            order = np.argsort(k)
+            order = ordered(k)
             k = k[order]
             first = starts(k)
             n = np.add.reduceat(np.concatenate([x[1] for x in self.parts])[order], first)
@@ -112,7 +134,7 @@ class Sums:
             part = key >> np.int64(64 - self.bits)
             cuts = np.append(starts(part), len(part))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                order = a + np.argsort(pair[0][a:b]) if pair else slice(a, b)
+                order = a + ordered(pair[0][a:b]) if pair else slice(a, b)
                 first, *rest = (x[order] for x in pair or [key])
                 yield arrow_batch(BLOCKS, [[int(part[a])], [int(b - a)], [packed(np.diff(first, prepend=np.int64(0)), *rest, n[order])]])
         self.parts, self.size = [], 0
@@ -243,7 +265,7 @@ def counted(rows: DataFrame, length: int, model, bits: int) -> DataFrame:
         steps, *suffix, n = zip(*(unpacked(block, size, 2 + (length > 1)) for size, block in held))
         cols, n = [np.concatenate([np.cumsum(x) for x in steps]), *map(np.concatenate, suffix)], np.concatenate(n)
         key = paired(*cols) if suffix else cols[0]
-        order = np.argsort(key)
+        order = ordered(key)
         first = starts(key[order])
         n = np.add.reduceat(n[order], first)
         kept, first = n >= (LEAST if suffix else 1), order[first]
@@ -257,8 +279,8 @@ def grown(found: DataFrame, shorter: DataFrame, tau: float = TAU, mu: float = MU
     """Sequences of one length with ``p``, their last word's probability after their context were it a node, ``gain``, ``rest``
     (log10 of what the context leaves to its parent), ``total`` (the context's count), and ``node``: it diverges enough.
     ``shorter`` has (key, n, p)."""
-    with_parent = found.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix")
-    both = with_parent.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+    with_parent = found.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent")).hint("shuffle_hash"), "suffix")
+    both = with_parent.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")).hint("shuffle_hash"), "context")
     each = Window.partitionBy("context")
     share = F.col("n") / F.col("total")
     of = both.withColumns({"seen": F.sum("n").over(each) / F.col("total"), "by_parent": F.least(F.sum("parent").over(each), F.lit(1 - 1e-9)),
@@ -282,13 +304,13 @@ def gains(levels: list[DataFrame]) -> DataFrame:
     for k in range(len(levels) - 1, -1, -1):
         nodes = levels[k].where("node").select("context")
         nodes = written((nodes if longer is None else nodes.unionByName(longer)).distinct(), "nodes")
-        mine = levels[k].join(nodes, "context", "left_semi")
+        mine = levels[k].join(nodes.hint("shuffle_hash"), "context", "left_semi")  # each key is there once, so a task's share is small
         heads = mine.groupBy("context").agg(F.first("total").alias("n"), F.first("rest").alias("gain")).withColumnRenamed("context", "key")
         out.append(written(mine.select(key, "n", "gain").unionByName(heads), "level-gains"))
         for table in (levels[k], *done):
             drop_table(table)
         done = [nodes]
-        longer = levels[k - 1].withColumn("key", key).join(nodes.withColumnRenamed("context", "key"), "key", "left_semi").select(F.col("suffix").alias("context")) if k else None
+        longer = levels[k - 1].withColumn("key", key).join(nodes.withColumnRenamed("context", "key").hint("shuffle_hash"), "key", "left_semi").select(F.col("suffix").alias("context")) if k else None
     found = written(reduce(DataFrame.unionByName, out).groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain")), "gains")
     for table in out + done:
         drop_table(table)
@@ -297,7 +319,7 @@ def gains(levels: list[DataFrame]) -> DataFrame:
 
 def sent(kind: int, group: int, bits: int, key: np.ndarray, value: np.ndarray):
     """Blocks of SENT of (key, value), one for each range of keys. Parts of words (kind 0) and sequences (1) have their own numbers."""
-    order = np.argsort(key)
+    order = ordered(key)
     key, value = key[order], value[order]
     part = (kind << bits) + (key >> np.int64(64 - bits)) + (1 << (bits - 1))
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(key) else []
@@ -378,7 +400,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     key, gain = gathered(tree_gains, least, "gain")
     few = tree_gains.where(F.col("n") < F.lit(least))
     unknown = float(np.log10(0.5 / below)) if below else 0.0
-    model = sc.broadcast((Lookup(word), np.log10((n + 0.5) / below), Lookup(key), gain, filtered(few)))
+    at = Lookup(key).find(word)  # a word's own gain is found with its number
+    own, longer = np.where(at >= 0, np.append(gain, 0.0)[at], 0.0), np.ones(len(key), bool)
+    longer[at[at >= 0]] = False
+    model = sc.broadcast((Lookup(word), np.log10((n + 0.5) / below), own, Lookup(key[longer]), gain[longer], filtered(few)))
     log = F.log10((F.col("n") + 0.5) / F.lit(float(below)))
     values = [vocabulary.where(F.col("n") < F.lit(least)).select("key", log.alias("value")), few.select("key", F.col("gain").alias("value"))]
 
@@ -386,22 +411,25 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         from pyspark import TaskContext
 
         hasher, group = Hasher(), TaskContext.get().partitionId() << 30
-        words, base, often, gain, seldom = model.value
+        words, base, own, often, gain, seldom = model.value
         for batch in batches:
             texts, heads, asked, first = batch.column(0).to_pylist(), [], ([], []), 0
             for lo, tokens, doc in token_hashes(texts, hasher):
                 n = int(doc[-1]) + 1
                 at = words.find(tokens)
                 known = at >= 0
-                base_sum = np.bincount(doc, np.where(known, base[at] if len(base) else 0.0, 0.0), n)
+                base_sum, more = (np.bincount(doc[known], x[at[known]], n) for x in (base, own))
                 asked[0].append((tokens[~known], doc[~known] + lo - first))
-                more, may = np.zeros(n), np.ones(len(tokens), bool)
+                may = np.ones(len(tokens), bool)
                 for k, (key, has) in enumerate(sequences(tokens, doc, context + 1)):
-                    i = np.flatnonzero(has & may if k > 1 else has)  # from three words on, a sequence of the tree has its suffix there
-                    j = often.find(key[i])
-                    hit = j >= 0
-                    more += np.bincount(doc[i[hit]], gain[j[hit]], n)
-                    rest = i[~hit]
+                    if k:
+                        i = np.flatnonzero(has & may if k > 1 else has)  # from three words on, a sequence of the tree has its suffix there
+                        j = often.find(key[i])
+                        hit = j >= 0
+                        more += np.bincount(doc[i[hit]], gain[j[hit]], n)
+                        rest = i[~hit]
+                    else:
+                        i, hit, rest = np.zeros(0, np.int64), np.zeros(0, bool), np.flatnonzero(~known)
                     rest = rest[passes(seldom, key[rest])]
                     asked[1].append((key[rest], doc[rest] + lo - first))
                     may[:] = False
@@ -418,9 +446,20 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
 
     def given(kind):
         def blocks(batches):
+            held, size = [], 0
             for batch in batches:
-                key, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                yield from sent(kind, VALUES, bits, key, value.astype(float).view(np.int64))
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                size += batch.num_rows
+                if size > MOST:
+                    yield from values_of(held)
+                    held, size = [], 0
+            if held:
+                yield from values_of(held)
+
+        def values_of(held):
+            key, value = map(np.concatenate, zip(*held))
+            yield from sent(kind, VALUES, bits, key, value.astype(float).view(np.int64))
+
         return blocks
 
     def meet(part, blocks):
@@ -433,14 +472,16 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         key, value = (np.concatenate(x) for x in zip([np.zeros(0, np.int64)] * 2, *([np.cumsum(k), v] for k, v in have)))
         find, value = Lookup(key), np.append(value, 0).view(float)
         value[-1] = 0.0 if part >> bits else unknown
-        for group, rows, block in blocks:
-            if group != VALUES:
-                step, text = unpacked(block, rows, 2)
-                at = find.find(np.cumsum(step))
+        blocks = [x for x in blocks if x[0] != VALUES]
+        ends = np.cumsum([rows for _, rows, _ in blocks])
+        for few in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(ends // SEARCHED)) + 1):  # small blocks are looked up together
+            some = [unpacked(blocks[i][2], blocks[i][1], 2) for i in few]
+            found = find.find(np.concatenate([np.zeros(0, np.int64), *(np.cumsum(step) for step, _ in some)]))
+            for i, (_, text), at in zip(few, some, np.split(found, np.cumsum([len(step) for step, _ in some])[:-1])):
                 sums, known = np.bincount(text, value[at]), np.bincount(text, (at >= 0) & (part >> bits == 0)).astype(np.int64)
                 own = np.flatnonzero(sums)
                 if len(own):
-                    yield arrow_batch(SENT, [[group], [part >> bits], [len(own)], [packed(own, sums[own].view(np.int64), known[own])]])
+                    yield arrow_batch(SENT, [[blocks[i][0]], [part >> bits], [len(own)], [packed(own, sums[own].view(np.int64), known[own])]])
 
     def total_of(_, blocks):
         import pyarrow as pa

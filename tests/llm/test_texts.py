@@ -192,6 +192,31 @@ def test_suffix_tree_blocks_and_filters():
     assert 2 * sum(len(b) for *_, b in blocks) < 32 * sum(rows for _, rows, _ in blocks)
 
 
+def test_suffix_tree_orders_and_finds_keys():
+    """Keys are ordered as a stable sort orders them, also where they differ in lower bits alone, and each is found."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 5000):
+        for keys in (rng.integers(-2**63, 2**63 - 1, n), rng.integers(-5, 5, n), (rng.integers(-4, 4, n) << 20) + rng.integers(0, 3000, n)):
+            assert (suffix_tree.ordered(keys) == np.argsort(keys, kind="stable")).all()
+            distinct = np.unique(keys)
+            assert (distinct[suffix_tree.Lookup(distinct).find(keys)] == keys).all()
+            assert (suffix_tree.Lookup(distinct).find(np.array([2**40, 2**41 + 1])) == -1).all()
+
+
+def test_suffix_tree_values_are_sent_in_large_blocks(spark, given, monkeypatch):
+    """Values of the tree go out in a block for each task and range of keys, not in one for each batch of rows."""
+    seen, by_part = [], suffix_tree.by_part
+    monkeypatch.setattr(suffix_tree, "by_part", lambda blocks, *a: by_part((seen.append(blocks), blocks)[1], *a))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        suffix_tree.scores(spark.createDataFrame(given[:200], "doc_id long, text string"))
+        asked = seen[-2].where(f"`group` = {suffix_tree.VALUES} AND part >= 0").select("part", "rows", suffix_tree.F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sum(r.rows for r in asked) > 1000 and len(asked) == len({(r.part, r.task) for r in asked})
+
+
 def test_suffix_tree_keeps_two_tables(spark, given):
     """What only builds the tree is gone before texts are scored."""
     with Scope(spark) as scope:

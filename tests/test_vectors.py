@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +87,49 @@ def test_ball_tree_compares_few_of_clustered_vectors(spark):
     assert depth >= 3 and nodes.count() > 100
 
 
+def test_right_blocks_go_out_in_chunks(spark):
+    """Several chunks of right blocks, each a few blocks, give what one gives; also with zero vectors and copies."""
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(size=(150, 6)), 3 + 0.05 * rng.normal(size=(80, 6)), np.zeros((5, 6)), np.ones((9, 6))])
+    same(edges(vectors.knn_graph(frame(spark, x), "id", "vec", 4, block_rows=16, small_bytes=3000)), brute(x, x, 4, True))
+
+
+def test_vectors_that_no_ball_parts_leave_few_rows(spark, monkeypatch):
+    """Blocks meet nearly all others here: what tasks give out is a few rows for each left row, not some for each pair of
+    blocks, and the tables of the search are removed at its end."""
+    sizes, made, write = [], [], vectors.written
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        made.extend(out.inputFiles())
+        if name == "found":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(vectors, "written", counted)
+    x = np.random.default_rng(22).normal(size=(600, 24))
+    got = vectors.knn_graph(frame(spark, x), "id", "vec", 3, block_rows=20)
+    same(edges(got), brute(x, x, 3, True))
+    assert sum(sizes) < 6 * 4 * len(x)
+    left = [f for f in made if os.path.exists(f.removeprefix("file://"))]
+    assert made and not left
+
+
+@pytest.mark.parametrize("small", [32 * 1024 * 1024, 500])
+def test_groups_go_out_in_chunks(spark, monkeypatch, small):
+    monkeypatch.setattr(vectors, "SMALL_BYTES", small)
+    rng = np.random.default_rng(23)
+    a, b, g = rng.normal(size=(30, 4)), rng.normal(size=(80, 4)), np.where(np.arange(80) < 70, 0, 1)
+    left = frame(spark, a).withColumn("cohort", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    right = frame(spark, b).join(spark.createDataFrame([(i, int(c)) for i, c in enumerate(g)], "id bigint, cohort int"), "id")
+    got = {(r["src"], r["cohort"], r["rank"]): r["dst"] for r in vectors.topk_in_groups(left, right, 3, block_rows=8).collect()}
+    want = {}
+    for c in (0, 1):
+        ids = np.nonzero(g == c)[0]
+        want |= {(i, c, r + 1): ids[j] for i, near in brute(a, b[ids], 3).items() for r, (j, _) in enumerate(near)}
+    assert got == want
+
+
 @pytest.mark.parametrize("block", [2048, 10])
 def test_top_in_one_hot_group(spark, block):
     rng = np.random.default_rng(4)
